@@ -142,12 +142,15 @@ def query_needles(query: Column) -> Column:
     )
     nums = F.filter(tokens, lambda t: t.rlike(r"^\d+$"))
     base = F.filter(tokens, lambda t: ~t.rlike(r"^\d+$"))
-    words = base
-    for triggers, aliases in rules.NEEDLE_ALIASES:
-        stems = text_array([_alias_stem(a) for a in aliases])
-        words = F.when(
-            F.arrays_overlap(words, text_array(triggers)), F.array_union(words, stems)
-        ).otherwise(words)
+    # No alias stem is another group's trigger, so the groups do not feed each other.
+    groups = [
+        F.when(
+            F.arrays_overlap(base, text_array(triggers)),
+            text_array([_alias_stem(a) for a in aliases]),
+        ).otherwise(text_array([]))
+        for triggers, aliases in rules.NEEDLE_ALIASES
+    ]
+    words = F.array_distinct(F.concat(base, *groups))
     return F.struct(words.alias("words"), nums.alias("nums"))
 
 
@@ -194,16 +197,20 @@ def is_accessory(title: Column, tokens: Column) -> Column:
 def classify_query(query: Column) -> Column:
     """Category by hint word, else by best prototype overlap, else ``unknown``."""
     lowered = F.lower(query)
-    scores = {
-        name: token_overlap(query, F.lit(text))
-        for name, text in rules.CATEGORY_PROTOTYPES.items()
-    }
-    best = F.greatest(*scores.values())
-    by_score = F.lit("unknown")
-    for name, score in reversed(list(scores.items())):
-        by_score = F.when(
-            (score == best) & (best >= rules.CATEGORY_SIMILARITY), name
-        ).otherwise(by_score)
+    scored = F.array(
+        *[
+            F.struct(
+                token_overlap(query, F.lit(text)).alias("score"),
+                F.lit(-order).alias("earlier"),
+                F.lit(name).alias("name"),
+            )
+            for order, (name, text) in enumerate(rules.CATEGORY_PROTOTYPES.items())
+        ]
+    )
+    best = F.filter(
+        F.array(F.array_max(scored)), lambda s: s["score"] >= rules.CATEGORY_SIMILARITY
+    )
+    by_score = F.coalesce(F.get(best, 0)["name"], F.lit("unknown"))
     result = by_score
     for name, hints in reversed(rules.CATEGORY_HINTS):
         result = F.when(contains_any(lowered, hints), name).otherwise(result)
@@ -219,11 +226,10 @@ def classify_slug(slug: Column) -> Column:
     return result
 
 
-def sitemap_tokens(query: Column) -> Column:
+def sitemap_tokens(query: Column, category: Column) -> Column:
     """Query words plus the URL hints and prototype words of the query's category."""
     lowered = F.lower(query)
     own = F.filter(F.split(lowered, r"(?U)\W+"), lambda t: F.length(t) > 2)
-    category = classify_query(query)
     extra = text_array([])
     for name, keywords, hints in reversed(rules.SITEMAP_HINTS):
         words = text_array([*hints, *rules.CATEGORY_PROTOTYPES[name].split()])

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom import rules
 from offerloom.functions import url as u
-
-
-def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that later filters must not copy into themselves.
-
-    Catalyst pushes a filter below a projection by repeating the projected expression, which
-    multiplies nested pattern tests. A one-row generator is a border it does not cross, so
-    each expression is planned and evaluated once.
-    """
-    fields = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(fields)))
+from offerloom.operators.planning import computed_once
 
 
 def url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
