@@ -31,7 +31,9 @@ def normalise_queries(searches: DataFrame, corrections: DataFrame | None = None)
     corrected = computed_once(
         base, {"corrected": q.corrected_query(F.col("original"), F.col("correction"))}
     ).drop("correction")
-    return with_region(computed_once(corrected, {"category": q.classify_query(F.col("corrected"))}))
+    return with_region(
+        corrected.withColumn("category", q.classify_query(F.col("corrected")))
+    )
 
 
 def explode_variants(searches: DataFrame, text: str = "query") -> DataFrame:

@@ -391,3 +391,114 @@ DIAGNOSIS = {
     "detail_cards": "магазины не отдали карточки товаров в удобном для парсинга виде",
     "retry": "Попробуйте повторить запрос чуть позже.",
 }
+
+# --- card layouts (fixed values) ----------------------------------------------------------
+# One row per shop layout; a new shop is a new row. ``host`` is matched as a domain, or as a
+# part of the host when it starts with "*". ``card`` lists card selectors, the first with any
+# hit counts. An empty ``card`` climbs from each link towards its price instead.
+
+CARD_LAYOUTS = (
+    {
+        "host": "dns-shop.ru",
+        "card": (".catalog-product",),
+        "link": ("a.catalog-product__name", "a.catalog-product__image-link"),
+        "title": (".catalog-product__name",),
+        "min_title": 3,
+        "price": (".catalog-product__price", "[data-product-price]", ".product-buy__price"),
+        "price_fallback": "card",
+    },
+    {
+        "host": "technocity.ru",
+        "card": ("article.catalog-item, .catalog-item.item",),
+        "link": ("a[href*='/catalog/detail/']",),
+        "title": (".name",),
+        "min_title": 5,
+        "title_fallback": "card",
+        "price": (".price-above-button", "[class*='price']"),
+        "price_fallback": "digits",
+    },
+    {
+        "host": "citilink.ru",
+        "card": ('[data-meta-name="SnippetProductVerticalLayout"]',),
+        "link": ('a[href^="/product/"][title]',),
+        "href_reject": "/otzyvy/",
+        "title_attr": True,
+        "min_title": 5,
+        "price": ("[data-meta-price]", '[data-meta-name="Snippet__price"]'),
+    },
+    {
+        "host": "*e2e4online.ru",
+        "link": ("a[href*='/catalog/item/']",),
+        "min_title": 5,
+        "climb": 10,
+        "price": (
+            ".price-block__price", ".price-block", ".product-price", ".price-current",
+        ),
+        "price_fallback": "digits",
+        "price_after_code": r"Код:\s*\d+\s+(\d[\d\s]*)\s*₽",
+    },
+    {
+        "host": "*technopark.ru",
+        "card": (".product-card", "[data-entity='item']", ".catalog-item", ".product-tile"),
+        "link": ("a[href*='/product/']", "a[href*='/catalog/']"),
+        "href_match": PRODUCT_LINK,
+        "title_attr": True,
+        "title": ("[class*='title']", "h3"),
+        "title_late": True,
+        "min_title": 3,
+        "price": ("[class*='price']", "[data-price]"),
+        "price_fallback": "card",
+    },
+)
+GENERIC_LAYOUT = {
+    "host": "*",
+    "link": ("a[href]",),
+    "href_match": PRODUCT_LINK,
+    "title_attr": True,
+    "min_title": 5,
+    "climb": 8,
+}
+PRICE_ATTRIBUTES = ("data-product-price", "data-price", "content")
+
+# search front ends: result block, title link, cite line, snippet, breadcrumb reading
+SERP_LAYOUTS = {
+    "bing": ("li.b_algo", ("h2 a",), ("cite",), (".b_caption p",)),
+    "yahoo": (
+        "div.algo", ("h3.title a", "a"), ("span.fc-falcon", "cite"), (".compText p", ".fc-falcon"),
+    ),
+    "ddg": ("a.result-link", (), (), ()),
+}
+
+# tile search pages of the broad source
+TILE_CARDS = (
+    "div.tile-root",
+    "div.widget-search-result-container > div",
+    '[data-widget="tileGridDesktop"] div.tile-root',
+)
+TILE_ROOTS = ('[data-widget="tileGridDesktop"]', "div.widget-search-result-container")
+TILE_TITLES = (
+    "a.tile-hover-target span.tsBody500Medium",
+    'a[href*="/product/"] span.tsBody500Medium',
+    "span.tsBody500Medium",
+)
+TILE_PRICES = ("span.tsHead500Medium", "span.tsBody500Medium", "span.tsCompact500Medium")
+TILE_DESCRIPTIONS = (
+    '[data-widget="webDescription"]',
+    '[data-widget="webDetailDescription"]',
+    "#section-description",
+    'div[itemprop="description"]',
+)
+TILE_SPEC_ROWS = '[data-widget="webCharacteristics"] tr, .characteristics tr'
+SPEC_LISTS = ("characteristics", "attributes", "specs", "properties", "shortCharacteristics")
+DESCRIPTION_KEYS = ("description", "fullDescription", "text", "content")
+
+# article cards of the card source
+ARTICLE_FIELDS = {
+    "title": '[data-auto="snippet-title"], h3',
+    "price": '[data-auto="snippet-price-current"], [data-auto="price-value"]',
+    "link": 'a[href*="/product/"], a[href*="/card/"]',
+    "reviews": '[data-auto="reviews"]',
+    "delivery": '[data-auto="delivery-wrapper"]',
+}
+CARD_SITE = "https://market.yandex.ru"
+TILE_SITE = "https://www.ozon.ru"
