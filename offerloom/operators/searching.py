@@ -328,7 +328,7 @@ def corrections_from_pages(pages: DataFrame) -> DataFrame:
     stated = q.correction_from_text(F.col("html"))
     correction = strip(F.coalesce(stated, from_link))
     return (
-        pages.select("query", correction.alias("correction"))
+        pages.select(*[c for c in pages.columns if c != "html"], correction.alias("correction"))
         .where(F.col("correction").isNotNull() & (F.col("correction") != ""))
         .where(F.lower("correction") != F.lower(strip(F.col("query"))))
     )

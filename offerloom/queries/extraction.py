@@ -1 +1,505 @@
-"""To come."""
+"""Pages to offers. Page texts are rendered from the given rows, so the rows are the answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from offerloom import rules
+from offerloom.operators import cards, extraction
+from offerloom.queries.inputs import PART_LINKS_SQL, part_links
+from offerloom.queries.registry import query, table
+from offerloom.queries.urls import CLASSIFIED_SQL
+from offerloom.sources import serp, sitemaps
+
+_RUB = F.floor("p_retailprice").cast("string")
+_RUB_SQL = "cast(floor(p_retailprice) as bigint)"
+
+
+def _part(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"
+    )
+
+
+def _product_json():
+    offers = F.struct(
+        F.col("p_retailprice").cast("decimal(12,2)").alias("price"),
+        F.concat(F.lit("https://a.ru/item/"), "p_partkey").alias("url"),
+    )
+    return F.struct(
+        F.lit("Product").alias("@type"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("description"),
+        F.array(F.concat(F.lit("/img/"), "p_partkey", F.lit(".png"))).alias("image"),
+        F.when(F.col("p_size") % 2 == 0, F.array(offers)).alias("offers"),
+        F.when(F.col("p_size") % 2 == 1, F.concat(F.lit("https://a.ru/item/"), "p_partkey")).alias("url"),
+    )
+
+
+_OPEN = '<html><head><script type="application/ld+json">'
+_CLOSE = "</script></head><body></body></html>"
+
+
+@query("jsonld_products", f"""select p_partkey // 8 as page, p_partkey % 8 as pos, p_name as title,
+  p_type as description, 'https://a.ru/item/' || cast(p_partkey as varchar) as product_url,
+  case when p_size % 2 = 0 then {_RUB_SQL} end as price_rub
+from part
+qualify row_number() over (partition by p_partkey // 8, p_name,
+   case when p_size % 2 = 0 then p_retailprice end order by p_partkey) = 1""")
+def jsonld_products(spark, sf_dir):
+    from offerloom.functions.price import parse_price
+
+    product = _product_json()
+    pages = (
+        _part(spark, sf_dir)
+        .groupBy(F.expr("p_partkey div 8").alias("page"))
+        .agg(F.array_sort(F.collect_list(F.struct("p_partkey", product.alias("p")))).alias("ps"))
+    )
+    nodes = F.transform("ps", lambda x: x["p"])
+    items = F.transform(
+        "ps", lambda x: F.struct(F.lit("ListItem").alias("@type"), x["p"].alias("item"))
+    )
+    body = (
+        F.when(F.col("page") % 4 == 0, F.to_json(nodes))
+        .when(F.col("page") % 4 == 1, F.to_json(F.struct(nodes.alias("@graph"))))
+        .when(
+            F.col("page") % 4 == 2,
+            F.to_json(F.struct(F.lit("ItemList").alias("@type"), items.alias("itemListElement"))),
+        )
+        .otherwise(
+            F.concat(
+                F.lit("{broken</script>" + _OPEN),
+                F.to_json(F.array(F.struct(F.array(F.lit("ItemList")).alias("@type"), items.alias("itemListElement")))),
+            )
+        )
+    )
+    html = pages.select("page", F.concat(F.lit(_OPEN), body, F.lit(_CLOSE)).alias("html"))
+    found = extraction.jsonld_products(html)
+    key = F.substring_index("product_url", "/", -1).cast("bigint")
+    return found.select(
+        "page", (key % 8).alias("pos"), "title", "description", "product_url",
+        parse_price(F.col("price_raw")).alias("price_rub"),
+    )
+
+
+_TITLE_SQL = "trim(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'))"
+
+
+@query("page_meta", f"""select page_id, nullif({_TITLE_SQL}, '') as title, url as canonical_url,
+  'title,canonical_url' as extracted, 'image_url,price_rub' as missing from pages""")
+def page_meta(spark, sf_dir):
+    meta = extraction.page_meta(table(spark, sf_dir, "pages"))
+    return meta.select(
+        "page_id", "title", "canonical_url",
+        F.array_join("fields_extracted", ",").alias("extracted"),
+        F.array_join("fields_missing", ",").alias("missing"),
+    )
+
+
+@query("page_meta_tags", f"""select p_partkey, p_name as title, p_type as description,
+  case when p_size % 4 <> 3 then '/i/' || cast(p_partkey as varchar) || '.png' end as image_url,
+  {_RUB_SQL} as price_rub, case when p_size % 4 = 0 then 'RUB' end as currency,
+  'https://a.ru/' || case when p_size % 4 < 2 then 'c/' else '' end || cast(p_partkey as varchar) as canonical_url
+from part""")
+def page_meta_tags(spark, sf_dir):
+    size = F.col("p_size") % 4
+    html = F.concat(
+        F.lit("<html><head><!-- <title>no</title> --><script>var t='<h1>x</h1>'</script>"),
+        F.when(size == 0, F.concat(F.lit('<meta property="og:title" content="'), "p_name", F.lit('"/>')))
+        .when(size == 1, F.concat(F.lit("<title>\n "), "p_name", F.lit("</title>")))
+        .otherwise(""),
+        F.when(size < 2, F.concat(F.lit("<link href='https://a.ru/c/"), "p_partkey", F.lit("' rel='canonical'>"))).otherwise(""),
+        F.when(size == 0, F.concat(
+            F.lit('<meta content="'), "p_type", F.lit('" property="og:description">'),
+            F.lit('<meta property="product:price:currency" content="RUB">'),
+            F.lit('<meta property="og:image" content="/i/'), "p_partkey", F.lit('.png">'),
+            F.lit('<meta property="product:price:amount" content="'), _RUB, F.lit('.00">')))
+        .otherwise(F.concat(F.lit('<meta name="description" content="'), "p_type", F.lit('">'))),
+        F.when(size == 1, F.concat(F.lit('<link rel="image_src" href="/i/'), "p_partkey", F.lit('.png">'))).otherwise(""),
+        F.lit("</head><body><h1><b>"), "p_name", F.lit("</b></h1>"),
+        F.when(size == 2, F.concat(F.lit('<img class=a src="/i/'), "p_partkey", F.lit('.png">'))).otherwise(""),
+        F.lit("<p>"), _RUB, F.lit(" ₽</p></body></html>"),
+    )
+    pages = _part(spark, sf_dir).select(
+        "p_partkey", F.concat(F.lit("https://a.ru/"), "p_partkey").alias("url"), html.alias("html")
+    )
+    return extraction.page_meta(pages).select(
+        "p_partkey", "title", "description", "image_url", "price_rub", "currency", "canonical_url"
+    )
+
+
+@query("extract_offers", f"""select p_partkey, p_name as title, {_RUB_SQL} as price_rub,
+  case p_size % 5 when 0 then 'json_ld' when 1 then 'og' when 2 then 'regex' when 3 then 'regex'
+    else 'adapter:citilink.ru' end as method,
+  case p_size % 5 when 0 then 0.8 when 1 then 0.6 when 2 then 0.5 when 3 then 0.4 else 1.0 end::double
+    as confidence,
+  case p_size % 5 when 1 then 'https://a.ru/i/1.png' when 3 then 'https://a.ru/lazy.png' else '' end as image_url,
+  case when p_size % 5 = 4 then 'citilink.ru' else 'a.ru' end as source_domain
+from part""")
+def extract_offers(spark, sf_dir):
+    size = F.col("p_size") % 5
+    ld = F.to_json(
+        F.struct(
+            F.lit("Product").alias("@type"), F.col("p_name").alias("name"),
+            F.struct(_RUB.alias("price")).alias("offers"),
+        )
+    )
+    og = F.concat(F.lit('<meta property="og:title" content="'), "p_name", F.lit('">'))
+    html = (
+        F.when(size.isin(0, 4), F.concat(F.lit(_OPEN), ld, F.lit("</script><title>x</title>")))
+        .when(size == 1, F.concat(og, F.lit('<meta property="og:image" content="/i/1.png"><meta property="product:price:amount" content="'), _RUB, F.lit('">')))
+        .when(size == 2, F.concat(og, F.lit('<i itemprop="price" content="'), _RUB, F.lit('"></i>')))
+        .otherwise(F.concat(og, F.lit('<img src="data:image/gif;x" ><img data-src="/lazy.png"><b>'), _RUB, F.lit(" руб.</b>")))
+    )
+    pages = _part(spark, sf_dir).select(
+        "p_partkey",
+        F.concat(F.when(size == 4, "https://www.citilink.ru/").otherwise("https://a.ru/"), "p_partkey").alias("url"),
+        F.concat(F.lit("<html>"), html, F.lit("</html>")).alias("html"),
+    )
+    return extraction.extract_offers(pages).select(
+        "p_partkey", "title", "price_rub", "method", "confidence", "image_url", "source_domain"
+    )
+
+
+def _grid_pages(spark, sf_dir, card, host, tail=""):
+    """Pages of eight cards each."""
+    return (
+        _part(spark, sf_dir)
+        .withColumn("card", card)
+        .groupBy(F.expr("p_partkey div 8").alias("page"))
+        .agg(
+            F.array_join(
+                F.transform(
+                    F.array_sort(F.collect_list(F.struct("p_partkey", "card"))), lambda x: x["card"]
+                ),
+                "",
+            ).alias("cards")
+        )
+        .select(
+            "page",
+            F.concat(F.lit(f"https://{host}/catalog/list/"), "page").alias("url"),
+            F.concat(F.lit("<html><body><div id=grid>"), "cards", F.lit(tail + "</div></body></html>")).alias("html"),
+        )
+    )
+
+
+def _cards_html():
+    """The same product as a card of five layouts, chosen by page."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    kind = F.expr("(p_partkey div 8) % 5")
+    generic = F.concat(
+        F.lit('<div class="box"><a href="/product/'), key, F.lit('/#r"><img src="/i.png"></a><a href="/product/'),
+        key, F.lit('/">'), name, F.lit(" item</a><span>1 ₽</span><b>"), _RUB, F.lit(" ₽</b></div>"))
+    dns = F.concat(
+        F.lit('<div class="catalog-product ui"><a class="catalog-product__name" href="/product/'), key,
+        F.lit('/">'), name, F.lit(' item</a><div class="catalog-product__price">'), _RUB, F.lit(" ₽</div><img data-src='/i.png'></div>"))
+    city = F.concat(
+        F.lit('<article class="catalog-item"><a href="/catalog/detail/'), key, F.lit('/"><img src="/i.png"></a><p class="name">'),
+        name, F.lit(' item</p><span class="price-above-button">'), _RUB, F.lit("</span></article>"))
+    citi = F.concat(
+        F.lit('<div data-meta-name="SnippetProductVerticalLayout"><a href="/product/'), key, F.lit('/" title="'),
+        name, F.lit(' item">x</a><span data-meta-price="1" data-price="'), _RUB, F.lit('"></span><img src="/i.png"></div>'))
+    e2e4 = F.concat(
+        F.lit('<div><div><a href="/catalog/item/'), key, F.lit('/">'), name,
+        F.lit(' item</a></div><div class="price-block">'), _RUB, F.lit(' ₽</div><img src="/i.png"></div>'))
+    return F.when(kind == 0, generic).when(kind == 1, dns).when(kind == 2, city).when(kind == 3, citi).otherwise(e2e4)
+
+
+_HOST_OF_KIND = "case {page} % 5 when 0 then 'a.ru' when 1 then 'dns-shop.ru' when 2 then 'spb.technocity.ru' when 3 then 'citilink.ru' else 'e2e4online.ru' end"
+
+
+@query("card_grids", f"""select p_partkey // 8 as page, p_partkey, p_name || ' item' as title, {_RUB_SQL} as price_rub,
+  'https://' || {_HOST_OF_KIND.format(page='(p_partkey // 8)')} || '/i.png' as image_url, 'dom_listing' as method
+from part""")
+def card_grids(spark, sf_dir):
+    pages = _grid_pages(spark, sf_dir, _cards_html(), "a.ru").withColumn(
+        "url",
+        F.concat(F.lit("https://"), F.expr(_HOST_OF_KIND.format(page="page")), F.lit("/list/"), "page"),
+    )
+    found = extraction.extract_listings(pages)
+    key = F.regexp_extract("product_url", r"/(\d+)/", 1).cast("bigint")
+    return found.select(
+        "page", key.alias("p_partkey"), "title", "price_rub", "image_url", "method"
+    )
+
+
+@query("listing_products", f"""with i as (
+  select p_partkey // 8 as page, p_partkey % 8 as pos, * from part),
+k as (select *, case when pos < 5 then 0 else 1 end as tier from i)
+select page, p_partkey, p_name || case when tier = 0 then ' ' || cast(p_partkey as varchar) else ' item' end as title, {_RUB_SQL} as price_rub,
+  case when tier = 0 then 'json_ld_listing' else 'dom_listing' end as method,
+  case when tier = 0 then 0.75 else 0.65 end::double as confidence
+from k""")
+def listing_products(spark, sf_dir):
+    key, name = F.col("p_partkey"), F.col("p_name")
+    card = F.concat(
+        F.lit('<div><a href="https://a.ru/product/'), key, F.lit('">'), name, F.lit(" item</a><b>"), _RUB,
+        F.lit(" ₽</b></div>"))
+    pages = _grid_pages(spark, sf_dir, card, "a.ru")
+    product = F.struct(
+        F.lit("Product").alias("@type"), F.concat_ws(" ", name, key.cast("string")).alias("name"),
+        F.concat(F.lit("https://a.ru/product/"), key).alias("url"),
+        F.struct(_RUB.alias("price")).alias("offers"),
+    )
+    data = (
+        _part(spark, sf_dir).where("p_partkey % 8 < 5")
+        .groupBy(F.expr("p_partkey div 8").alias("page"))
+        .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", product.alias("p")))), lambda x: x["p"])).alias("ld"))
+    )
+    mixed = pages.join(data, "page").withColumn(
+        "html", F.concat(F.lit(_OPEN), "ld", F.lit("</script>"), "html")
+    )
+    found = extraction.extract_listings(mixed.drop("ld"))
+    return found.select(
+        "page", F.substring_index("product_url", "/", -1).cast("bigint").alias("p_partkey"), "title",
+        "price_rub", "method", "confidence",
+    )
+
+
+@query("broad_offers", f"""select p_partkey // 8 as page, p_partkey, p_name || ' item' as title, {_RUB_SQL} * 100 as price,
+  case (p_partkey // 8) % 3 when 0 then 'state' when 1 then 'page' else 'tiles' end as tier,
+  'https://www.ozon.ru/product/' || cast(p_partkey as varchar) || '/' as product_url
+from part""")
+def broad_offers(spark, sf_dir):
+    key, name = F.col("p_partkey"), F.col("p_name")
+    tile = F.concat(
+        F.lit('<div class="tile-root"><a class="tile-hover-target" href="/product/'), key,
+        F.lit('/?at=1"><span class="tsBody500Medium">'), name, F.lit(' item</span></a><span class="tsHead500Medium">'),
+        _RUB, F.lit(' ₽</span><span>4.8</span><img src="https://i.ru/1.jpg"></div>'))
+    tiles = _grid_pages(spark, sf_dir, tile, "www.ozon.ru").withColumn(
+        "html",
+        F.concat(
+            F.lit('<div data-widget="tileGridDesktop">'), "html",
+            F.lit('</div><div data-widget="skuShelf recommendation"><div class="tile-root"><a href="/product/0/">x</a></div></div>'),
+        ),
+    )
+    item = F.struct(
+        F.concat(F.lit("/product/"), key, F.lit("/?x=1")).alias("link"),
+        F.concat(name, F.lit(" item")).alias("title"),
+        F.concat(_RUB, F.lit(" ₽")).alias("price"),
+    )
+    grid = F.struct(F.lit("searchResultsV2").alias("component"), F.col("items"))
+    noise = F.struct(F.lit("skuShelf.recommendation").alias("component"), F.col("items"))
+    states = (
+        _part(spark, sf_dir).groupBy(F.expr("p_partkey div 8").alias("page"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("i")))), lambda x: x["i"]).alias("items"))
+        .select(
+            "page",
+            F.to_json(F.struct(F.struct(F.to_json(grid).alias("searchResultsV2-1"), F.to_json(noise).alias("skuShelf-2")).alias("widgetStates"))).alias("state"),
+            F.to_json(F.struct(F.array(grid, noise).alias("layout"))).alias("next"),
+        )
+    )
+    pages = tiles.join(states, "page").withColumn(
+        "html",
+        F.when(F.col("page") % 3 == 0, F.concat(F.lit("<script>window.__NUXT__={};window.__NUXT__.state='"), F.replace("state", F.lit("\\"), F.lit("\\\\")), F.lit("';window.__NUXT__.x=1</script>"), "html"))
+        .when(F.col("page") % 3 == 1, F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), "next", F.lit("</script>"), "html"))
+        .otherwise(F.col("html")),
+    )
+    found = cards.broad_offers(pages.select("page", "html"))
+    return found.select(
+        "page", F.regexp_extract("product_url", r"/(\d+)/", 1).cast("bigint").alias("p_partkey"),
+        "title", "price", "tier", "product_url",
+    )
+
+
+@query("article_offers", f"""select p_partkey // 8 as page, p_partkey, p_name || ', чёрный' as title, {_RUB_SQL} * 100 as price,
+  4.8::double as rating, p_size as reviews_count,
+  'Характеристики:' || chr(10) || '• variant: чёрный' || chr(10) || chr(10) || 'Рейтинг: 4.8 ('
+  || cast(p_size as varchar) || ' отзывов)' || chr(10) || 'Купили: ' || cast(p_partkey as varchar)
+  || chr(10) || 'Доставка: завтра, бесплатно' as description,
+  'https://market.yandex.ru/card/' || cast(p_partkey as varchar) as product_url
+from part""")
+def article_offers(spark, sf_dir):
+    key, name = F.col("p_partkey"), F.col("p_name")
+    card = F.concat(
+        F.lit('<article><h3 data-auto="snippet-title" title="'), name, F.lit(',&nbsp;чёрный">t</h3><span data-auto="snippet-price-current">'),
+        _RUB, F.lit(' ₽</span><a href="/card/'), key, F.lit('">l</a><img src="https://i.ru/1.jpg"><div data-auto="reviews">4.8('),
+        F.col("p_size"), F.lit(") · "), key, F.lit(' купили</div><div data-auto="delivery-wrapper">завтра,\n бесплатно</div></article>'))
+    pages = _grid_pages(spark, sf_dir, card, "market.yandex.ru")
+    found = cards.article_offers(pages)
+    return found.select(
+        "page", F.substring_index("product_url", "/", -1).cast("bigint").alias("p_partkey"), "title",
+        "price", "rating", "reviews_count", "description", "product_url",
+    )
+
+
+@query("tile_details", """select p_partkey, 'Описание товара номер ' || cast(p_partkey as varchar) as description,
+  case when p_size % 3 = 2 then 'Вес=' || cast(p_size as varchar)
+    else 'Бренд=' || p_brand || '|Вес=' || cast(p_size as varchar) end as chars
+from part""")
+def tile_details(spark, sf_dir):
+    size = F.col("p_size") % 3
+    about = F.concat(F.lit("Описание товара номер "), "p_partkey")
+    ld = F.to_json(
+        F.struct(
+            F.lit("Product").alias("@type"), about.alias("description"),
+            F.array(
+                F.struct(F.lit("Бренд").alias("name"), F.col("p_brand").alias("value")),
+                F.struct(F.lit("Вес").alias("name"), F.col("p_size").cast("string").alias("value")),
+            ).alias("additionalProperty"),
+        )
+    )
+    state = F.to_json(
+        F.struct(
+            about.alias("description"),
+            F.array(
+                F.struct(F.lit("Бренд").alias("key"), F.col("p_brand").alias("value")),
+                F.struct(F.lit("Вес").alias("key"), F.col("p_size").cast("string").alias("value")),
+            ).alias("characteristics"),
+        )
+    )
+    html = (
+        F.when(size == 0, F.concat(F.lit(_OPEN), ld, F.lit("</script>")))
+        .when(size == 1, F.concat(F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>")))
+        .otherwise(F.concat(F.lit('<meta property="og:description" content="'), about, F.lit('"><dl><dt>Вес</dt><dd>'), F.col("p_size"), F.lit("</dd></dl>")))
+    )
+    pages = _part(spark, sf_dir).select(
+        F.col("p_partkey").cast("string").alias("url"), F.concat(F.lit("<html>"), html, F.lit("</html>")).alias("html")
+    )
+    pairs = F.array_sort(F.transform(F.map_entries("characteristics"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return cards.tile_details(pages).select(
+        F.col("product_url").cast("bigint").alias("p_partkey"), "description", F.array_join(pairs, "|").alias("chars")
+    )
+
+
+@query("card_details", """select p_partkey, 'Проза о товаре ' || p_name as prose,
+  'Бренд=' || p_brand || '|Вес=' || cast(p_size as varchar) as specs from part""")
+def card_details(spark, sf_dir):
+    html = F.concat(
+        F.lit('<body><div data-auto="product-description"> Проза\n о товаре  '), "p_name",
+        F.lit('</div><div><span data-auto="product-spec">Вес</span><i>'), F.col("p_size"),
+        F.lit('</i></div><div><span data-auto="product-spec">Бренд</span><i>'), "p_brand", F.lit("</i></div></body>"))
+    pages = _part(spark, sf_dir).select(
+        F.concat(F.lit("https://m.ru/card/"), "p_partkey", F.lit("/?q=1")).alias("url"), html.alias("html")
+    )
+    pairs = F.array_sort(F.transform(F.map_entries("specs"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return cards.card_details(pages).select(
+        F.substring_index("url_key", "/", -1).cast("bigint").alias("p_partkey"), "prose",
+        F.array_join(pairs, "|").alias("specs"),
+    )
+
+
+_LINKS_SQL = f"""src as (
+    select page_id, url as base, replace(html, 'href="/', 'href="/catalog/p' || cast(page_id % 7 as varchar)
+      || case when page_id % 2 = 0 then '128gb/' else '/' end) as html from pages),
+l0 as (select page_id, base, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) as href from src),
+l1 as (select distinct page_id, regexp_extract(base, '^[a-z]+://[^/]*', 0)
+         || replace(href, '&amp;', '&') as url from l0 where href like '/%')"""
+
+
+@query("page_links", f"""with {_LINKS_SQL}, {CLASSIFIED_SQL.replace('{source}', 'l1')},
+skus as (
+  select distinct page_id, regexp_extract(base, '^[a-z]+://[^/]*', 0) || '/catalog/' || sku || '/' as url
+  from (select page_id, base, unnest(regexp_extract_all(html, '(?i){rules.HARVEST_SKU}', 1)) as sku from src)
+  where lower(sku) not in ('naushniki', 'smartfony', 'noutbuki', 'planshety', 'monitory', 'shiny', 'tyres'))
+select page_id, url as link, case when product then 'product' else 'catalogue' end as target
+from classified where not rejected
+union
+select page_id, url, 'product' from skus
+where regexp_matches(url, '128gb') and not regexp_matches(url, '(?i){rules.FOREIGN_LOCALE}')
+  and (page_id, url) not in (select page_id, url from l1)""")
+def page_links(spark, sf_dir):
+    prefix = F.concat(
+        F.lit('href="/catalog/p'), F.col("page_id") % 7,
+        F.when(F.col("page_id") % 2 == 0, "128gb/").otherwise("/"),
+    )
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.replace("html", F.lit('href="/'), prefix).alias("html")
+    )
+    return extraction.page_links(pages).select("page_id", "link", "target")
+
+
+@query("serp_json", f"""with {PART_LINKS_SQL},
+p as (select search_id || '/' || cast(position // 8 as varchar) as search_id, position, url, title from part_links),
+d as (select * from p where not contains(url, 'market.ru')
+      qualify row_number() over (partition by search_id, url order by position) = 1)
+select search_id, cast(row_number() over (partition by search_id order by position) - 1 as integer) as rank, url, title
+from d qualify rank < 20""")
+def serp_json(spark, sf_dir):
+    links = part_links(spark, sf_dir).withColumn(
+        "search_id", F.concat_ws("/", "search_id", F.expr("cast(position div 8 as string)"))
+    )
+    answers = links.groupBy("search_id").agg(
+        F.to_json(
+            F.struct(
+                F.transform(
+                    F.array_sort(F.collect_list(F.struct("position", "url", "title", F.col("snippet").alias("content")))),
+                    lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title"), x["content"].alias("content")),
+                ).alias("results")
+            )
+        ).alias("body")
+    )
+    return serp.serp_from_json(answers).select("search_id", "rank", "url", "title")
+
+
+@query("serp_pages", """with p as (
+  select p_partkey // 8 as page, p_partkey, p_name, case (p_partkey // 8) % 3 when 0 then 'bing' when 1 then 'yahoo' else 'ddg' end as provider
+  from part)
+select page, provider, p_name as title, 'https://shop.ru/catalog/' || cast(p_partkey as varchar) as url,
+  cast(p_partkey % 8 as integer) as rank from p""")
+def serp_pages(spark, sf_dir):
+    key, name = F.col("p_partkey"), F.col("p_name")
+    kind = F.expr("(p_partkey div 8) % 3")
+    block = (
+        F.when(kind == 0, F.concat(F.lit('<li class="b_algo"><h2><a href="#">'), name, F.lit("</a></h2><cite>https://shop.ru › catalog › "), key, F.lit('</cite><div class="b_caption"><p>s</p></div></li>')))
+        .when(kind == 1, F.concat(F.lit('<div class="algo"><h3 class="title"><a href="#">'), name, F.lit('</a></h3><span class="fc-falcon">Shop https://shop.ru › catalog › '), key, F.lit("</span></div>")))
+        .otherwise(F.concat(F.lit('<a class="result-link" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fshop.ru%2Fcatalog%2F'), key, F.lit('&rut=1">'), name, F.lit("</a>")))
+    )
+    pages = _grid_pages(spark, sf_dir, block, "s").select(
+        "page", F.expr("case page % 3 when 0 then 'bing' when 1 then 'yahoo' else 'ddg' end").alias("provider"), "html"
+    )
+    return serp.serp_from_html(pages).select("page", "provider", "title", "url", "rank")
+
+
+@query("sitemap_products", f"""with {PART_LINKS_SQL},
+sm as (select regexp_replace(regexp_extract(url, '^https?://([^/]*)', 1), '^www[.]', '') as domain, position, url as loc
+  from part_links where regexp_matches(url, '(?i){rules.SITEMAP_PRODUCT}')),
+d as (select * from sm qualify row_number() over (partition by domain, loc order by position) = 1)
+select domain, position, loc from d
+qualify row_number() over (partition by domain order by position) <= 50""")
+def sitemap_products(spark, sf_dir):
+    from offerloom.functions import url as u
+
+    locs = part_links(spark, sf_dir).select(
+        u.host(F.col("url")).alias("domain"), "position", F.col("url").alias("loc")
+    )
+    return sitemaps.product_urls(locs, 50)
+
+
+@query("build_index", f"""select 'shop' || cast(p_partkey % 50 as varchar) || '.ru' as domain,
+  'https://www.shop' || cast(p_partkey % 50 as varchar) || '.ru/product/' || cast(p_partkey as varchar) as url,
+  p_name as title, 'unknown' as category, {_RUB_SQL} * 100 as last_price, 0.8::double as confidence
+from part qualify row_number() over (partition by p_partkey % 50 order by p_partkey) <= 250""")
+def build_index(spark, sf_dir):
+    part = _part(spark, sf_dir)
+    domain = F.concat(F.lit("shop"), F.col("p_partkey") % 50, F.lit(".ru"))
+    url = F.concat(F.lit("https://www."), domain, F.lit("/product/"), "p_partkey")
+    locs = part.select(domain.alias("domain"), F.col("p_partkey").alias("position"), url.alias("loc"))
+    ld = F.to_json(
+        F.struct(
+            F.lit("Product").alias("@type"), F.col("p_name").alias("name"),
+            F.struct(_RUB.alias("price")).alias("offers"),
+        )
+    )
+    pages = part.select(url.alias("url"), F.concat(F.lit(_OPEN), ld, F.lit(_CLOSE)).alias("html"))
+    return extraction.build_index(locs, pages).select(
+        "domain", "url", "title", "category", "last_price", "confidence"
+    )
+
+
+@query("corrections", """select p_partkey, '  ' || p_name || ' ' as query, case p_size % 4 when 0 then p_name || ' новый' when 1 then 'айфон ' || cast(p_partkey as varchar)
+    else p_type || ' ' || p_name end as correction from part where p_size % 4 < 3""")
+def corrections(spark, sf_dir):
+    from offerloom.operators.searching import corrections_from_pages
+
+    size = F.col("p_size") % 4
+    html = (
+        F.when(size == 0, F.concat(F.lit("<p>Исправлена опечатка: «"), "p_name", F.lit(" новый»</p>")))
+        .when(size == 1, F.concat(F.lit("<b>ВОЗМОЖНО,  вы имели в виду «айфон "), "p_partkey", F.lit("»</b>")))
+        .when(size == 2, F.concat(F.lit('<div>Запрос исправлен: <a href="/search/?text='), F.replace(F.concat_ws(" ", "p_type", "p_name"), F.lit(" "), F.lit("+")), F.lit('&lr=1">да</a></div>')))
+        .otherwise(F.concat(F.lit("<p>Исправлена опечатка «"), F.upper("p_name"), F.lit("»</p>")))
+    )
+    pages = _part(spark, sf_dir).select(
+        "p_partkey", F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("query"), html.alias("html")
+    )
+    return corrections_from_pages(pages)

@@ -131,7 +131,11 @@ def title_characteristics(spark, sf_dir):
     return chars.select("p_partkey", F.concat_ws("|", *part).alias("chars"))
 
 
-# Search-API answers of each brand, rebuilt from part: 1 to 4 products count as throttled.
+_ANSWER = """case when (p_partkey // 84) % 2 = 0 then p_partkey // 7
+    else 1000000000 + p_partkey // 3 end"""
+
+
+# Search-API answers rebuilt from part: nested lists of three products count as throttled.
 def _payload_rows(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     product = F.struct(
@@ -149,33 +153,30 @@ def _payload_rows(spark, sf_dir):
             F.array(F.struct(F.struct(F.lit(0).alias("product"), F.col("_k").alias("basic")).alias("price"))),
         ).alias("sizes"),
     )
-    # one answer per (brand, size): at most the parts of one size of one brand
+    # answers of seven or of three products
     return (
         part.withColumn("_k", F.round(F.col("p_retailprice") * 100).cast("bigint"))
-        .groupBy(
-            F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("search_id")
-        )
+        .groupBy(F.expr(_ANSWER.replace("//", "div")).alias("search_id"))
         .agg(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("p_partkey", product.alias("p")))),
                 lambda x: x["p"],
             ).alias("ps"),
-            F.max("p_size").alias("p_size"),
         )
         .select(
             "search_id",
-            F.when(F.col("p_size") % 4 == 0, F.to_json(F.struct(F.struct(F.col("ps").alias("products")).alias("data"))))
+            F.when(F.col("search_id") % 4 == 0, F.to_json(F.struct(F.struct(F.col("ps").alias("products")).alias("data"))))
             .otherwise(F.to_json(F.struct(F.col("ps").alias("products"))))
             .alias("body"),
         )
     )
 
 
-_PAYLOAD_SQL = """a as (
-    select p_brand || '/' || p_type || '/' || cast(p_size as varchar) as search_id, part.*,
-      row_number() over (partition by p_brand, p_type, p_size order by p_partkey) - 1 as pos,
-      count(*) over (partition by p_brand, p_type, p_size) as n from part),
-kept as (select * from a where pos < 15 and (p_size % 4 <> 0 or n >= 5))"""
+_PAYLOAD_SQL = f"""a as (
+    select {_ANSWER} as search_id, part.*,
+      row_number() over (partition by {_ANSWER} order by p_partkey) - 1 as pos,
+      count(*) over (partition by {_ANSWER}) as n from part),
+kept as (select * from a where pos < 15 and (search_id % 4 <> 0 or n >= 5))"""
 
 
 @query("payload_products", f"""with {_PAYLOAD_SQL}
