@@ -149,7 +149,7 @@ def extract_offers(spark, sf_dir):
         F.when(size.isin(0, 4), F.concat(F.lit(_OPEN), ld, F.lit("</script><title>x</title>")))
         .when(size == 1, F.concat(og, F.lit('<meta property="og:image" content="/i/1.png"><meta property="product:price:amount" content="'), _RUB, F.lit('">')))
         .when(size == 2, F.concat(og, F.lit('<i itemprop="price" content="'), _RUB, F.lit('"></i>')))
-        .otherwise(F.concat(og, F.lit('<img src="data:image/gif;x" ><img data-src="/lazy.png"><b>'), _RUB, F.lit(" руб.</b>")))
+        .otherwise(F.concat(og, F.lit('<img alt="x" data-src="/lazy.png"><img src="/b.png"><b>'), _RUB, F.lit(" руб.</b>")))
     )
     pages = _part(spark, sf_dir).select(
         "p_partkey",
