@@ -12,28 +12,35 @@ from offerloom.operators.ranking import top_n
 def task_status(events: DataFrame) -> DataFrame:
     """Latest state of every created task.
 
-    ``events``: task_id, ts, seq, status, message, error. A task exists from its ``pending``
-    event on; events of unknown tasks are ignored. Empty messages keep the last one; a failed
-    task's message is its error, a completed one has none.
+    ``events``: task_id, ts, seq, status, message, error. A task exists from its first
+    ``pending`` event on; earlier events and unknown tasks are ignored. The message is the
+    last one given, where completion says so and a failure gives its error; the error stays
+    until the task completes.
     """
     when = F.struct("ts", "seq")
+    done, failed = F.col("status") == "completed", F.col("status") == "failed"
+    message = (
+        F.when(done, "Готово")
+        .when(failed, F.col("error"))
+        .otherwise(F.nullif(F.col("message"), F.lit("")))
+    )
+    error = F.when(failed, F.col("error"))
     latest = events.groupBy("task_id").agg(
-        F.min(F.when(F.col("status") == "pending", F.col("ts"))).alias("created_at"),
-        F.max_by("status", F.when(F.col("status").isNotNull(), when)).alias("status"),
-        F.max_by(
-            "message", F.when(F.coalesce("message", F.lit("")) != "", when)
-        ).alias("_message"),
-        F.max_by("error", F.when(F.col("status") == "failed", when)).alias("_error"),
+        F.min(F.when(F.col("status") == "pending", when)).alias("_created"),
+        F.max_by("status", when).alias("status"),
+        F.max(F.when(message.isNotNull(), F.struct(when.alias("at"), message.alias("v")))).alias("_m"),
+        F.max(F.when(done | failed, F.struct(when.alias("at"), error.alias("v")))).alias("_e"),
     )
-    return latest.where(F.col("created_at").isNotNull()).select(
+
+    def since_creation(entry: str):
+        return F.when(F.col(f"{entry}.at") >= F.col("_created"), F.col(f"{entry}.v"))
+
+    return latest.where(F.col("_created").isNotNull()).select(
         "task_id",
-        "created_at",
+        F.col("_created.ts").alias("created_at"),
         "status",
-        F.when(F.col("status") == "completed", "Готово")
-        .when(F.col("status") == "failed", F.col("_error"))
-        .otherwise(F.col("_message"))
-        .alias("message"),
-        F.when(F.col("status") == "failed", F.col("_error")).alias("error"),
+        since_creation("_m").alias("message"),
+        since_creation("_e").alias("error"),
     )
 
 

@@ -275,11 +275,13 @@ def deadlines(spark, sf_dir):
       when 'click' then 'running' when 'purchase' then 'completed' else 'failed' end as status,
     case when event_type = 'click' then 'шаг ' || cast(event_id as varchar) end as message,
     case when event_type = 'error' then 'сбой ' || cast(event_id as varchar) end as error from events),
-l as (select task_id, min(ts) filter (status = 'pending') as created_at, arg_max(status, event_id) as status,
-    arg_max(message, event_id) filter (message is not null) as message,
-    arg_max(error, event_id) filter (error is not null) as error from e group by task_id)
-select task_id, created_at, status, case status when 'completed' then 'Готово' when 'failed' then error else message end as message,
-  case status when 'failed' then error end as error from l where created_at is not null""")
+c as (select task_id, min(event_id) filter (status = 'pending') as cid from e group by task_id),
+x as (select e.*, case status when 'completed' then 'Готово' when 'failed' then error else message end as said
+      from e join c using (task_id) where event_id >= cid)
+select task_id, min(ts) as created_at, arg_max(status, event_id) as status,
+  arg_max(said, event_id) filter (said is not null) as message,
+  nullif(arg_max(coalesce(error, ''), event_id) filter (status in ('completed', 'failed')), '') as error
+from x group by task_id""")
 def task_status(spark, sf_dir):
     status = F.expr("case event_type when 'signup' then 'pending' when 'view' then 'running' when 'click' then 'running' when 'purchase' then 'completed' else 'failed' end")
     events = table(spark, sf_dir, "events").select(

@@ -1 +1,147 @@
-"""To come."""
+"""Streams over the given tables, drained; the twins are those of the batch queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from offerloom.operators.ranking import first_by
+from offerloom.operators.settling import checkpoint_root
+from offerloom.queries.inputs import REQUESTS_SQL
+from offerloom.queries.metrics import _TOTALS
+from offerloom.queries.registry import ORACLES, query, table
+from offerloom.streaming import jobs, state
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _drained(spark, stream, mode="append"):
+    """Rows of a finished run, read back from the shared folder."""
+    root = f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, _ROCKS)
+    try:
+        jobs.drain_to(stream, f"{root}/rows", f"{root}/progress", mode).awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    return spark.read.parquet(f"{root}/rows")
+
+
+def _events(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    stream = jobs.read_table_stream(spark, sf_dir, "events", schema)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _request_stream(spark, sf_dir):
+    kind = F.col("event_type")
+    return _events(spark, sf_dir).select(
+        F.col("event_id").alias("request_id"), "ts",
+        F.col("user_id").cast("string").alias("user_id"),
+        F.when(kind == "error", 429).when(kind == "signup", 403).otherwise(200).alias("status"),
+        F.col("value").alias("latency_ms"),
+        (~kind.isin("error", "signup")).alias("success"),
+        (kind == "view").alias("cache_hit"),
+    )
+
+
+@query("stream_metrics", f"""with {REQUESTS_SQL}
+select time_bucket(interval 1 hour, ts) as window_start,
+  time_bucket(interval 1 hour, ts) + interval 1 hour as window_end, {_TOTALS},
+  max(latency_ms) as max_latency_ms
+from requests group by time_bucket(interval 1 hour, ts)""")
+def stream_metrics(spark, sf_dir):
+    stream = jobs.metrics_stream(_request_stream(spark, sf_dir), "1 hour")
+    rows = _drained(spark, stream, "update")
+    newest = first_by(rows, ["window_start"], [F.desc("batch")]).drop("batch")
+    return newest.withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    )
+
+
+@query("stream_dedupe", """select distinct user_id as search_id,
+  'https://a.ru/' || event_type as url_key from events""")
+def stream_dedupe(spark, sf_dir):
+    hits = _events(spark, sf_dir).select(
+        "ts", F.col("user_id").alias("search_id"),
+        F.concat(F.lit("https://a.ru/"), "event_type", F.lit("#"), "event_id").alias("url"),
+    )
+    rows = _drained(spark, jobs.dedupe_stream(hits, "3650 days"))
+    return rows.select("search_id", "url_key")
+
+
+@query("stream_progress", ORACLES["progress"])
+def stream_progress(spark, sf_dir):
+    events = _events(spark, sf_dir).select(
+        F.col("user_id").alias("search_id"), F.col("event_type").alias("source"),
+        F.col("event_id").alias("seq"),
+        F.when(F.col("event_id") % 3 == 0, "loading_more").otherwise("complete").alias("status"),
+        (F.col("event_id") % 16).alias("count"),
+    )
+    rows = _drained(spark, jobs.progress_stream(events), "update")
+    return first_by(rows, ["search_id", "source"], [F.desc("batch")]).drop("batch")
+
+
+@query("stream_circuit", ORACLES["circuit_state_by_user"])
+def stream_circuit(spark, sf_dir):
+    stream = state.circuit_state_stream(_request_stream(spark, sf_dir))
+    return _drained(spark, stream).select("request_id", "state")
+
+
+@query("stream_task_status", ORACLES["task_status"])
+def stream_task_status(spark, sf_dir):
+    status = F.expr(
+        "case event_type when 'signup' then 'pending' when 'view' then 'running' "
+        "when 'click' then 'running' when 'purchase' then 'completed' else 'failed' end"
+    )
+    events = _events(spark, sf_dir).select(
+        F.col("user_id").alias("task_id"), "ts", F.col("event_id").alias("seq"), status.alias("status"),
+        F.when(F.col("event_type") == "click", F.concat(F.lit("шаг "), "event_id")).alias("message"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("сбой "), "event_id")).alias("error"),
+    )
+    # tasks live on: the whole log is one run
+    stream = state.task_status_stream(events, ttl_s=10**9)
+    rows = _drained(spark, stream, "update")
+    newest = first_by(rows, ["task_id"], [F.desc("batch")])
+    return newest.select(
+        "task_id", F.timestamp_micros("created_micros").cast("timestamp_ntz").alias("created_at"),
+        "status", "message", "error",
+    )
+
+
+@query("stream_fast_first", ORACLES["fast_first"])
+def stream_fast_first(spark, sf_dir):
+    orders = jobs.read_table_stream(
+        spark, sf_dir, "orders", table(spark, sf_dir, "orders").schema
+    )
+    arrivals = orders.select(
+        F.col("o_custkey").alias("search_id"), F.col("o_orderdate").alias("arrived_at"),
+        F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("offer"),
+        F.col("o_totalprice").alias("relevance_score"), F.lit(True).alias("ended"),
+    )
+    rows = _drained(spark, state.fast_first_stream(arrivals))
+    return rows.select(
+        "search_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "n",
+        F.array_join("offers", ",").alias("offers"),
+    )
+
+
+@query("stream_index", """select cast(p_partkey as varchar) as id, p_name as title,
+  cast(floor(p_retailprice) as bigint) as last_price from part""")
+def stream_index(spark, sf_dir):
+    part = jobs.read_table_stream(spark, sf_dir, "part", table(spark, sf_dir, "part").schema)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("version"))
+    changes = part.select(
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("version"), "p_partkey", "p_name", "p_retailprice"
+    ).select(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.when(F.col("version") == 1, F.col("p_name")).otherwise("old").alias("title"),
+        F.floor("p_retailprice").alias("last_price"), at.alias("updated_at"),
+    )
+    root = f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
+    jobs.index_stream(changes, root, f"{root}/progress").awaitTermination()
+    stored = spark.read.parquet(f"{root}/changes")
+    base = stored.drop("batch", "bucket").limit(0)
+    return jobs.read_index(base, stored).select("id", "title", "last_price")
