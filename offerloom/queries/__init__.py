@@ -13,6 +13,7 @@ _FAMILIES = (
     "lookups",
     "metrics",
     "streams",
+    "searches",
 )
 
 
