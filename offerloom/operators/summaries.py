@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom import rules
+from offerloom.operators.planning import computed_once
 from offerloom.operators.ranking import exact_ranks, lower_middle, top_n, upper_middle
 from offerloom.schemas import PRODUCT_FIELDS
 from offerloom.sources.dims import sources_dim
@@ -271,7 +272,7 @@ def response_documents(
         "_groups", lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1)
     )
     summary = (
-        per_search.withColumn("_p", prices)
+        computed_once(per_search, {"_p": prices})
         .withColumn("_n", F.size("_p"))
         .withColumn("_low", F.get("_p", F.floor((F.col("_n") - 1) / 2).cast("int")))
         .withColumn("_high", F.get("_p", F.floor(F.col("_n") / 2).cast("int")))

@@ -9,6 +9,7 @@ from offerloom import rules
 from offerloom.functions.offer import card_page_state
 from offerloom.operators import cards, neardup, selection
 from offerloom.operators.offers import enrich_cards, enrich_tiles, to_offers
+from offerloom.operators.settling import settle
 from offerloom.sources.payloads import payload_offers, read_payload_products
 
 
@@ -25,7 +26,9 @@ def card_source(pages: DataFrame, details: DataFrame | None = None) -> DataFrame
     states = pages.select("search_id", "page", card_page_state(F.col("html")).alias("state"))
     parsed = cards.article_offers(pages)
     # one running number over the pages of a search
-    numbered = parsed.withColumn("position", F.col("page") * 100_000 + F.col("position"))
+    numbered = settle(
+        parsed.withColumn("position", F.col("page") * 100_000 + F.col("position"))
+    )
     collected = neardup.collect_cards(numbered, states)
     ranked = collected.drop("position").withColumn(
         "position", (F.col("rank") - 1).cast("bigint")

@@ -20,6 +20,7 @@ from offerloom.operators.offers import to_offers
 from offerloom.operators.planning import computed_once
 from offerloom.operators.ranking import first_by, top_n
 from offerloom.operators.selection import cap_per_domain
+from offerloom.operators.settling import settle
 from offerloom.operators.urls import classify_urls, final_offers
 from offerloom.sources.pages import valid_pages
 
@@ -158,10 +159,12 @@ def collect_other_shops(
         "search_id", F.col("rank").cast("bigint").alias("position"),
         *[c for c in _HIT if c not in ("search_id", "position")],
     )
-    candidates = _by_quality(setops.merge_candidates(live).select(*_HIT))
+    # Later stages branch off these tables several times: they are written once instead of
+    # being planned anew in every branch.
+    candidates = settle(_by_quality(setops.merge_candidates(live).select(*_HIT)))
 
     first_pages = _grid_urls(candidates.join(known, "search_id", "left_semi"), links, GRID_PAGES)
-    first_grid = _grid_offers(first_pages, pages, needles, 0)
+    first_grid = settle(_grid_offers(first_pages, pages, needles, 0))
     sizes = first_grid.groupBy("search_id").agg(
         F.count_distinct(u.url_key(F.col("product_url"))).alias("_n")
     )
@@ -180,8 +183,10 @@ def collect_other_shops(
     columns = ["search_id", "_place", "url", "title", "snippet", "provider", "similarity"]
     pool_base = widened.select(*columns).unionByName(kept.select(*columns))
     reclassified = classify_urls(pool_base.withColumnRenamed("_place", "position"))
-    viable = setops.filter_and_sort(reclassified).withColumn(
-        "place", F.struct((-F.col("_score")).alias("q"), F.col("position").alias("p"))
+    viable = settle(
+        setops.filter_and_sort(reclassified).withColumn(
+            "place", F.struct((-F.col("_score")).alias("q"), F.col("position").alias("p"))
+        )
     )
 
     second_pages = _grid_urls(

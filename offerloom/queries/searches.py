@@ -111,7 +111,7 @@ def broad_source(spark, sf_dir):
     named = vectors.select(title.alias("title"), "embedding")
     offers = marketplaces.broad_source(pages, named, queries)
     return offers.select(
-        "search_id", F.regexp_extract("product_url", r"/(\\d+)/", 1).cast("bigint").alias("vec_id"),
+        "search_id", F.regexp_extract("product_url", r"/(\d+)/", 1).cast("bigint").alias("vec_id"),
         F.round("relevance_score", 4).alias("relevance_score"),
     )
 
