@@ -13,7 +13,7 @@ from offerloom.functions import url as u
 from offerloom.functions.text import has, strip
 from offerloom.operators.cards import grid_cards
 from offerloom.operators.planning import computed_once
-from offerloom.operators.urls import classify_urls
+from offerloom.operators.urls import url_kinds
 
 
 def _with_products(pages: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def page_links(pages: DataFrame, url_col: str = "url") -> DataFrame:
     rows = found.select(*kept, F.posexplode(first).alias("position", "_x")).select(
         *kept, "position", F.col("_x.link").alias("link"), F.col("_x.kind").alias("kind")
     )
-    flagged = classify_urls(
+    flagged = url_kinds(
         rows.withColumnRenamed(url_col, "_base").select(
             F.struct(*[F.col("_base" if c == url_col else c).alias(c) for c in kept]).alias("_k"),
             "position", F.col("link").alias("url"), "kind",

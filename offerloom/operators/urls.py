@@ -18,12 +18,8 @@ def url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     )
 
 
-def classify_urls(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """Add the page-kind flags and scores of every URL.
-
-    Parts are computed once, then the flags that build on them, then the scores; no shuffle
-    and no Python.
-    """
+def url_kinds(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """Add the URL parts and the flags rejected, product and listing."""
     c = F.col(url_col)
     host, path = F.col("host"), F.col("path")
     rejected, product = F.col("rejected"), F.col("product")
@@ -34,8 +30,18 @@ def classify_urls(df: DataFrame, url_col: str = "url") -> DataFrame:
             "product": u.looks_like_product(path),
         },
     )
-    listed = computed_once(flagged, {"listing": u.looks_like_listing(path, rejected, product)})
-    return listed.withColumns(
+    return computed_once(flagged, {"listing": u.looks_like_listing(path, rejected, product)})
+
+
+def classify_urls(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """Add the page-kind flags and scores of every URL.
+
+    Parts are computed once, then the flags that build on them, then the scores; no shuffle
+    and no Python.
+    """
+    host, path = F.col("host"), F.col("path")
+    rejected, product = F.col("rejected"), F.col("product")
+    return url_kinds(df, url_col).withColumns(
         {
             "is_ru": u.is_ru(host),
             "fetch_blocked": u.is_fetch_blocked(host),
@@ -82,9 +88,7 @@ def final_offers(offers: DataFrame) -> DataFrame:
     Takes ``title`` and ``product_url``; adds nothing.
     """
     keep = offers.columns
-    classified = classify_urls(
-        offers.drop("host", "path", "query_string"), "product_url"
-    )
+    classified = url_kinds(offers.drop("host", "path", "query_string"), "product_url")
     category = u.is_category_listing(F.col("title"), F.col("path"), F.col("product"))
     return classified.where(~F.col("listing") & ~category).select(
         *[c for c in keep if c in classified.columns]

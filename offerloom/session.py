@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Runtime settings only: they can be applied to a session somebody else built.
@@ -27,6 +31,25 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    Needed where the package is not installed on the executors; Spark distributes the archive
+    like any ``--py-files`` entry.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        stem = Path(tempfile.mkdtemp(prefix="offerloom-")) / "offerloom_package"
+        archive = shutil.make_archive(str(stem), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(application)
+    return spark
+
+
 def build_session(
     app_name: str = "offerloom",
     master: str | None = None,
@@ -41,4 +64,4 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**RUNTIME_CONF, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())

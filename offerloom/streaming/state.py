@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from offerloom import rules
 
+# Spark reads the state variables in a driver-side worker that does not see shipped archives,
+# so the processors travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
     """Rows of one key in one micro-batch, in event order (size set by the trigger limits)."""
