@@ -204,10 +204,13 @@ def with_diagnostics(groups: DataFrame, diagnoses: DataFrame) -> DataFrame:
         & F.col("diagnosis").isNotNull()
     )
     return (
-        joined.withColumn("error", F.when(silent, F.col("diagnosis")).otherwise(F.col("error")))
-        .withColumn(
-            "status",
-            F.when(silent, F.lit("empty_with_diagnostics")).otherwise(F.col("status")),
+        joined.withColumns(
+            {
+                "error": F.when(silent, F.col("diagnosis")).otherwise(F.col("error")),
+                "status": F.when(silent, F.lit("empty_with_diagnostics")).otherwise(
+                    F.col("status")
+                ),
+            }
         )
         .drop("diagnosis")
     )

@@ -503,3 +503,47 @@ def corrections(spark, sf_dir):
         "p_partkey", F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("query"), html.alias("html")
     )
     return corrections_from_pages(pages)
+
+
+@query("sitemap_index", f"""with {PART_LINKS_SQL},
+locs as (select 'https://x.ru/sm-' || case when position % 3 = 0 then 'product' else 'blog' end || cast(position % 10 as varchar) || '.xml' as parent, position, url as loc
+  from part_links),
+own as (select regexp_replace(regexp_extract(loc, '^https?://([^/]*)', 1), '^www[.]', '') as domain, position % 10 as c, position, loc from locs
+  where parent like '%product%' and regexp_matches(loc, '(?i){rules.SITEMAP_PRODUCT}')),
+d as (select * from own where domain = 'dns-shop.ru' or domain like 'shop%'
+      qualify row_number() over (partition by domain, loc order by c, position) = 1)
+select domain, loc from d qualify row_number() over (partition by domain order by c, position) <= 20""")
+def sitemap_index(spark, sf_dir):
+    from offerloom.functions import url as u
+
+    locs = part_links(spark, sf_dir).select(
+        "position", F.col("url").alias("loc"), (F.col("position") % 10).alias("child"),
+        F.when(F.col("position") % 3 == 0, "product").otherwise("blog").alias("kind"),
+        u.host(F.col("url")).alias("domain"),
+    ).where((F.col("domain") == "dns-shop.ru") | F.col("domain").startswith("shop"))
+
+    def child(domain):
+        return F.concat(F.lit("https://"), domain, F.lit("/sm-"), "kind", F.col("child").cast("string"), F.lit(".xml"))
+
+    named = locs.withColumn("parent_sitemap", child("domain"))
+    index = named.select("domain", F.col("child").alias("position"), F.col("parent_sitemap").alias("loc")).distinct()
+    children = named.select("parent_sitemap", "position", "loc")
+    return sitemaps.expand_sitemap_index(index, children, 20).select("domain", "loc")
+
+
+@query("page_meta_offers", f"""select p_partkey as position, p_name as title, case when p_size % 3 = 0 then 0 else {_RUB_SQL} * 100 end as price,
+  case when p_size % 3 = 0 then 'true' end as marker, 'ozon' as source from part""")
+def page_meta_offers(spark, sf_dir):
+    from offerloom.operators.offers import page_meta_offers as to_market
+
+    html = F.concat(
+        F.lit('<meta property="og:title" content="'), "p_name", F.lit('">'),
+        F.when(F.col("p_size") % 3 > 0, F.concat(F.lit('<meta property="product:price:amount" content="'), _RUB, F.lit('">'))).otherwise(""),
+    )
+    pages = _part(spark, sf_dir).select(
+        F.lit("s").alias("search_id"), F.col("p_partkey").alias("position"),
+        F.concat(F.lit("https://www.ozon.ru/product/x-"), "p_partkey").alias("url"), html.alias("html"),
+    )
+    return to_market(extraction.page_meta(pages)).select(
+        "position", "title", "price", F.try_element_at("characteristics", F.lit("price_unavailable")).alias("marker"), "source"
+    )

@@ -225,3 +225,43 @@ def link_harvest(spark, sf_dir):
         F.col("c_custkey").alias("seed_id"), F.concat(F.lit("p"), "c_custkey").alias("url")
     )
     return hv.harvest(seeds, links)
+
+
+@query("attach_corrections", """with l as (
+  select event_id as search_id, user_id, ts, event_id % 10 as q from events where event_type in ('click', 'view')),
+c as (select 'w' || cast(event_id % 10 as varchar) as k, ts, event_type, event_id from events where event_type in ('purchase', 'signup')),
+j as (select search_id, c.event_type, c.event_id, l.ts < c.ts + case c.event_type when 'purchase' then 86400 else 3600 end * interval 1 second as ok
+      from l join c on c.k = 'w' || cast(l.q as varchar) and l.ts >= c.ts
+      qualify row_number() over (partition by search_id, c.event_type order by c.ts desc) = 1),
+f as (select * from j where ok qualify row_number() over (partition by search_id order by event_type) = 1)
+select search_id, 'w' || cast(q as varchar) as query_key, 'fix' || cast(event_id as varchar) as correction
+from f join l using (search_id) where event_type = 'purchase' and event_id % 3 > 0""")
+def attach_corrections(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    word = F.concat(F.lit("w"), F.col("event_id") % 10)
+    searches = events.where(F.col("event_type").isin("click", "view")).select(
+        F.col("event_id").alias("search_id"), F.concat(F.lit(" "), F.upper(word)).alias("query"),
+        F.col("ts").alias("requested_at"),
+    )
+    hit = F.col("event_type") == "purchase"
+    stored = events.where(F.col("event_type").isin("purchase", "signup")).select(
+        F.concat(F.lit("query:spell:"), word).alias("key"),
+        F.when(hit, "hit").otherwise("miss").alias("kind"), F.col("ts").alias("written_at"),
+        F.when(hit, 86400).otherwise(3600).alias("ttl_s"),
+        # every third correction equals the query and is dropped
+        F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("fix"), "event_id")).otherwise(F.upper(word)).alias("payload"),
+    )
+    return snapshots.fresh_corrections(searches, stored)
+
+
+@query("servable_from_index", """select p_partkey, p_name as title, greatest(p_size / 40.0, 1.0)::double as relevance_score, 1.0::double as confidence
+from part where p_size % 4 > 0 and p_size % 6 > 0""")
+def servable_from_index(spark, sf_dir):
+    from offerloom.operators.searching import servable_from_index as servable
+
+    size = F.col("p_size")
+    hits = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("title"), F.when(size % 4 > 0, 100).otherwise(0).alias("last_price"),
+        F.when(size % 6 > 0, "https://i.ru/1.png").otherwise("").alias("image_url"), (size / 40).alias("similarity"),
+    )
+    return servable(hits).select("p_partkey", "title", "relevance_score", "confidence")

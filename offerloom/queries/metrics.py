@@ -420,3 +420,36 @@ def ab_gate(spark, sf_dir):
         "variant", F.when(F.col("request_id") % 2 == 0, "with").otherwise("without")
     )
     return evaluation.ab_gate(log, 0.65, 0.6, ("user_id",))
+
+
+@query("source_status", """with g as (
+  select o_custkey as search_id, case substr(o_orderpriority, 1, 1) when '1' then 'wildberries' when '2' then 'yandex_market'
+        when '3' then 'other' else 'ozon' end as source,
+    count(*) filter (o_orderstatus = 'F') as count,
+    case when min(o_orderkey) % 5 = 0 then 'сбой' end as error,
+    case when min(o_orderkey) % 7 = 0 then 'blocked_by_waf' end as status
+  from orders group by 1, 2)
+select search_id, source, case when source = 'other' and count = 0 and error is null and search_id % 2 = 0 then 'empty_with_diagnostics'
+    when status is not null then status when count > 0 then 'complete' when error is not null then 'error' else 'empty' end as status,
+  case when source = 'other' and count = 0 and error is null and search_id % 2 = 0 then 'нет' else error end as error from g""")
+def source_status(spark, sf_dir):
+    from offerloom.operators.summaries import final_status, with_diagnostics
+
+    source = F.expr("""case substr(o_orderpriority, 1, 1) when '1' then 'wildberries' when '2' then 'yandex_market'
+        when '3' then 'other' else 'ozon' end""")
+    first = F.min("o_orderkey")
+    groups = table(spark, sf_dir, "orders").groupBy(
+        F.col("o_custkey").alias("search_id"), source.alias("source")
+    ).agg(
+        F.count_if(F.col("o_orderstatus") == "F").alias("count"),
+        F.when(first % 5 == 0, "сбой").alias("error"),
+        F.when(first % 7 == 0, "blocked_by_waf").alias("status"),
+    )
+    diagnoses = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("search_id"), F.lit("нет").alias("diagnosis")
+    )
+    labelled = with_diagnostics(groups, diagnoses)
+    return labelled.select(
+        "search_id", "source",
+        final_status(F.col("status"), F.col("count"), F.col("error")).alias("status"), "error",
+    )

@@ -390,3 +390,21 @@ def price_units(spark, sf_dir):
         when 1 then concat('"', floor(p_retailprice), ' ₽"') else '"нет"' end""")
     values = table(spark, sf_dir, "part").select("p_partkey", F.try_parse_json(raw).alias("v"))
     return values.select("p_partkey", p.scale_price(F.col("v")).alias("kopecks"))
+
+
+@query("sql_functions", f"""select p_partkey, {_WHOLE} as price_rub, p_name || ' ' || lower(p_type) as title_key,
+  'shop' || cast(p_size as varchar) || '.ru' as host, true as ru from part""")
+def sql_functions(spark, sf_dir):
+    from offerloom.functions.sql import register_functions
+
+    register_functions(spark)
+    texts = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.concat(F.floor("p_retailprice"), F.when(F.col("p_size") % 2 == 0, ".50").otherwise(" ₽")).alias("price_text"),
+        F.concat("p_name", F.lit(", «"), "p_type", F.lit("»")).alias("title"),
+        F.concat(F.lit("https://www.shop"), "p_size", F.lit(".RU/a#b")).alias("url"),
+    )
+    return texts.selectExpr(
+        "p_partkey", "parse_price(price_text) as price_rub", "title_key(title) as title_key",
+        "url_host(url) as host", "is_ru_host(url_host(url)) as ru",
+    )
