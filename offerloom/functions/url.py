@@ -15,9 +15,7 @@ from offerloom.functions.text import (
     any_of,
     contains_any,
     has,
-    starts_with_any,
     strip,
-    text_array,
 )
 
 _NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
@@ -43,12 +41,19 @@ def query_string(url: Column) -> Column:
     return F.regexp_extract(url, _QUERY, 1)
 
 
-def segments(url_path: Column) -> Column:
-    return F.filter(F.split(url_path, "/"), lambda s: s != "")
+def depth(url_path: Column) -> Column:
+    """Number of non-empty path segments."""
+    return F.regexp_count(url_path, F.lit("[^/]+"))
 
 
-def last_segment(segs: Column) -> Column:
-    return F.get(segs, F.size(segs) - 1)
+def last_segment(url_path: Column) -> Column:
+    """Last non-empty path segment, '' when there is none."""
+    return F.regexp_extract(url_path, "([^/]+)/*$", 1)
+
+
+def has_segment(url_path: Column, pattern: str) -> Column:
+    """A whole path segment matches the pattern; no array is built, so it stays compiled."""
+    return url_path.rlike(f"(?:^|/)(?:{pattern})(?:/|$)")
 
 
 def url_key(url: Column, level: int = 1) -> Column:
@@ -97,14 +102,17 @@ def is_fetch_blocked(host_col: Column) -> Column:
     return host_col.isin(*rules.FETCH_BLOCKED_HOSTS)
 
 
-def is_listing_slug(slug: Column) -> Column:
-    lowered = F.lower(slug)
-    dashed = F.translate(lowered, "_", "-")
+_FAMILY = rules.MODEL_FAMILY.removeprefix("^").removesuffix("$")
+
+
+def has_listing_segment(lowered_path: Column) -> Column:
+    """Any segment is a known listing name, has a listing prefix or names a model family."""
+    dashed = F.translate(lowered_path, "_", "-")
+    names = any_of(rules.LISTING_SLUGS)
     return (
-        lowered.isin(*rules.LISTING_SLUGS)
-        | dashed.isin(*rules.LISTING_SLUGS)
-        | starts_with_any(lowered, rules.LISTING_PREFIXES)
-        | has(dashed, rules.MODEL_FAMILY)
+        has_segment(lowered_path, names)
+        | has_segment(dashed, f"{names}|{_FAMILY}")
+        | lowered_path.rlike(f"(?:^|/)(?:{any_of(rules.LISTING_PREFIXES)})")
     )
 
 
@@ -114,19 +122,17 @@ def _is_digits(text: Column) -> Column:
 
 def looks_like_product(path_col: Column) -> Column:
     lowered = F.lower(path_col)
-    segs = segments(lowered)
-    last = last_segment(segs)
-    in_catalog = F.array_contains(segs, "catalog")
-    return F.coalesce(
+    last = last_segment(lowered)
+    in_catalog = has_segment(lowered, "catalog")
+    return (
         F.when(has(lowered, f"(?:{rules.PRODUCT_PATH})") | has(lowered, rules.TIRE_SIZE), True)
-        .when(F.size(segs) == 0, False)
         .when(_is_digits(last), ~(in_catalog & (F.length(last) < 5)))
-        .when(F.array_contains(segs, "product"), True)
+        .when(has_segment(lowered, "product"), True)
         .when(
-            in_catalog & (F.size(segs) == 2),
-            ~is_listing_slug(last) & has(last, f"(?:{rules.PRODUCT_SLUG})"),
-        ),
-        F.lit(False),
+            in_catalog & (depth(lowered) == 2),
+            ~has_listing_segment(last) & has(last, f"(?:{rules.PRODUCT_SLUG})"),
+        )
+        .otherwise(False)
     )
 
 
@@ -134,11 +140,14 @@ def in_catalogue(path_col: Column) -> Column:
     return has(path_col, f"(?:{rules.CATALOG_PATH})")
 
 
+def _is_root(path_col: Column) -> Column:
+    return path_col.rlike("^/*$")
+
+
 def looks_like_listing(path_col: Column, rejected: Column, product: Column) -> Column:
     lowered = F.lower(path_col)
-    segs = segments(lowered)
     return ~rejected & ~product & (
-        (F.size(segs) == 0) | in_catalogue(lowered) | F.exists(segs, is_listing_slug)
+        _is_root(lowered) | in_catalogue(lowered) | has_listing_segment(lowered)
     )
 
 
@@ -162,8 +171,8 @@ def quality(
 
 
 def depth_bonus(path_col: Column) -> Column:
-    depth = F.size(segments(path_col))
-    return F.when(depth >= 3, 0.12).when(depth <= 1, -0.08).otherwise(0.0)
+    levels = depth(path_col)
+    return F.when(levels >= 3, 0.12).when(levels <= 1, -0.08).otherwise(0.0)
 
 
 def _grid_path(path_col: Column) -> Column:
@@ -173,13 +182,13 @@ def _grid_path(path_col: Column) -> Column:
 def is_grid(path_col: Column, rejected: Column, product: Column) -> Column:
     """Page that may hold a grid of offers worth reading as a whole."""
     trimmed = _grid_path(path_col)
-    segs = segments(trimmed)
+    levels = depth(trimmed)
     return ~rejected & ~product & (
-        (F.size(segs) == 0)
-        | (F.array_contains(segs, "catalog") & (F.size(segs) <= 4))
-        | F.arrays_overlap(segs, text_array(rules.GRID_SLUGS))
+        (levels == 0)
+        | (has_segment(trimmed, "catalog") & (levels <= 4))
+        | has_segment(trimmed, any_of(rules.GRID_SLUGS))
         | contains_any(trimmed, rules.GRID_PATH_TOKENS)
-        | ((F.size(segs) <= 2) & ~_is_digits(last_segment(segs)))
+        | ((levels <= 2) & ~_is_digits(last_segment(trimmed)))
     )
 
 
@@ -200,7 +209,7 @@ def grid_priority(host_col: Column, path_col: Column) -> Column:
     return (
         points(trimmed.contains("/catalog/"), 1.0)
         + points(contains_any(trimmed, rules.GRID_PRIORITY_HINTS), 0.6)
-        + points(F.size(segments(trimmed)) >= 3, 0.2)
+        + points(depth(trimmed) >= 3, 0.2)
         + by_host
         + points(contains_any(trimmed, rules.GRID_MOUSE_TOKENS), 0.7)
         - points(trimmed.contains("proizvoditel--"), 0.4)
@@ -237,7 +246,6 @@ def listing_key(host_col: Column) -> Column:
 def is_category_listing(title: Column, path_col: Column, product: Column) -> Column:
     """Title or URL of a category page rather than of one offer."""
     lowered = F.lower(title)
-    segs = segments(path_col)
     return (
         has(lowered, f"(?:{rules.CATEGORY_PHRASE})")
         | (lowered.contains(" купить в ") & ~title.rlike(r"(?U)\d"))
@@ -245,8 +253,8 @@ def is_category_listing(title: Column, path_col: Column, product: Column) -> Col
             ~product
             & (
                 has(title, f"(?:{rules.CATEGORY_TITLE})")
-                | (F.array_contains(segs, "catalog") & (F.size(segs) <= 4))
-                | F.coalesce(last_segment(segs).isin(*rules.CATEGORY_LAST_SEGMENTS), F.lit(False))
+                | (has_segment(path_col, "catalog") & (depth(path_col) <= 4))
+                | last_segment(path_col).isin(*rules.CATEGORY_LAST_SEGMENTS)
             )
         )
     )

@@ -38,14 +38,50 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return top_n(df, keys, order, 1)
 
 
-def best_tier(df: DataFrame, keys: Sequence[str], tier: Column) -> DataFrame:
+HOT_ROWS = 1_000_000
+_SALTS = 64
+
+
+def join_per_key(
+    rows: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str],
+    size: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Inner join of many rows with one row per key that knows its key's row count.
+
+    Keys with more than ``hot_rows`` rows are cut into 64 parts and their single row copied
+    to each; all others join as they are. The list of hot keys has at most total rows /
+    ``hot_rows`` entries, which bounds what is broadcast.
+    """
+    keys = list(keys)
+    is_hot = F.col(size) > hot_rows
+    hot = per_key.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    hashable = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    part = F.pmod(F.xxhash64(*hashable), F.lit(_SALTS)).cast("int")
+    spread = (
+        rows.join(F.broadcast(hot), keys, "left")
+        .withColumn("_salt", F.when(F.col("_hot"), part).otherwise(F.lit(0)))
+        .drop("_hot")
+    )
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = per_key.withColumn("_salt", F.explode(parts))
+    return spread.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def best_tier(
+    df: DataFrame, keys: Sequence[str], tier: Column, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Rows of each key's lowest tier. The minimum is combined map-side and joined back."""
     tiered = df.withColumn("_tier", tier)
-    lowest = tiered.groupBy(*keys).agg(F.min("_tier").alias("_lowest"))
+    lowest = tiered.groupBy(*keys).agg(
+        F.min("_tier").alias("_lowest"), F.count("*").alias("_size")
+    )
     return (
-        tiered.join(lowest, list(keys))
+        join_per_key(tiered, lowest, keys, "_size", hot_rows)
         .where(F.col("_tier") == F.col("_lowest"))
-        .drop("_tier", "_lowest")
+        .drop("_tier", "_lowest", "_size")
     )
 
 
@@ -53,7 +89,11 @@ Rank = tuple[float, Callable[[Column], Column]]
 
 
 def exact_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, Rank]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: dict[str, Rank],
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact order statistics per key.
 
@@ -86,7 +126,7 @@ def exact_ranks(
     # Below the bracket only the count matters: those rows collapse to one NULL per zone
     # in the map-side combine.
     placed = (
-        rows.join(brackets, keys)
+        join_per_key(rows, brackets, keys, "n", hot_rows)
         .select(*keys, "n", "_v", F.explode(zones).alias("_z"))
         .where(F.col("_v") <= F.col("_z.hi"))
         .select(

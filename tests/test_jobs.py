@@ -11,7 +11,7 @@ from offerloom.operators import (
     circuits, evaluation, harvest, metrics, neardup, offer_index, searching, selection, setops,
     snapshots, summaries, tasks,
 )
-from offerloom.operators.ranking import exact_ranks, lower_middle, nearest_index
+from offerloom.operators.ranking import best_tier, exact_ranks, lower_middle, nearest_index
 from offerloom.operators.urls import range_join
 from offerloom.streaming import jobs, state
 
@@ -41,7 +41,8 @@ def test_exact_ranks_on_a_hot_key(spark):
     rows += [(f"k{i % 50}", rng.randrange(5)) for i in range(2_000)]
     df = spark.createDataFrame(rows, "k string, v bigint").repartition(7)
     got = exact_ranks(
-        df, ["k"], "v", {"mid": (0.5, lower_middle), "p95": (0.95, nearest_index(95)), "p1": (0.01, nearest_index(1))}
+        df, ["k"], "v", {"mid": (0.5, lower_middle), "p95": (0.95, nearest_index(95)), "p1": (0.01, nearest_index(1))},
+        hot_rows=1_000,
     ).collect()
     values = {}
     for k, v in rows:
@@ -55,6 +56,13 @@ def test_exact_ranks_on_a_hot_key(spark):
         assert row["p1"] == held[min(n // 100, n - 1)]
 
 
+def test_best_tier_on_a_hot_key(spark):
+    df = spark.range(5_000).selectExpr("if(id < 4000, 'hot', cast(id % 9 as string)) as k", "id % 4 + if(id < 4000, 2, 0) as t")
+    cold, split = (best_tier(df, ["k"], F.col("t"), hot_rows=n) for n in (10**6, 100))
+    assert split.count() == cold.count() == 1_000 + 250
+    assert split.where("t > 2").count() == 0
+
+
 def test_caps_are_nested_and_ignore_partitioning(spark):
     rng = random.Random(1)
     rows = [("s", i, f"d{rng.randrange(3)}", rng.random()) for i in range(200)]
