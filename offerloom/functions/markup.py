@@ -29,7 +29,8 @@ def _types(node: Column) -> Column:
 
 
 def _is_list(node: Column) -> Column:
-    return F.schema_of_variant(node).startswith("ARRAY")
+    """Non-empty list (an empty one holds nothing to unwrap)."""
+    return _get(node, "$[0]", "variant").isNotNull()
 
 
 def _unwrap(node: Column) -> Column:

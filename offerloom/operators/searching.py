@@ -206,8 +206,8 @@ def index_search(
     first_docs = leading.agg(F.array_sort(F.collect_list("id")).alias("ids"))  # limit ids
     blank = (
         queries.where(F.size("words") == 0)
-        .select("search_id")
-        .join(F.broadcast(first_docs))
+        .select("search_id", F.lit(1).alias("_one"))
+        .join(F.broadcast(first_docs.withColumn("_one", F.lit(1))), "_one")
         .select("search_id", F.posexplode("ids").alias("_i", "id"))
         .select(
             "search_id", "id", F.lit(0).cast("bigint").alias("score"),
@@ -285,16 +285,22 @@ def sitemap_hits(searches: DataFrame, sitemap_urls: DataFrame, limit: int = 20)
     )
     order = [F.asc("domain_ord"), F.asc("position")]
     leading = top_n(matched, ["token", "domain"], order, limit)
-    by_token = tokens.select("search_id", F.explode("tokens").alias("token")).join(leading, "token")
-    distinct = top_n(by_token.drop("token"), ["search_id", "url_key"], order, 1)
-    # A query without tokens takes every URL.
-    free = tokens.where(F.size("tokens") == 0).select("search_id")
-    every = top_n(urls, ["domain"], order, limit)
-    lists = every.orderBy(*order).limit(limit)
-    unmatched = free.join(F.broadcast(lists))
-    both = distinct.unionByName(unmatched, allowMissingColumns=True)
-    per_domain = top_n(both, ["search_id", "domain"], order, limit)
-    return top_n(per_domain, ["search_id"], order, limit, "rank").select(
+    # Equal token lists are answered once.
+    lists = tokens.select("tokens").where(F.size("tokens") > 0).distinct()
+    by_token = lists.select("tokens", F.explode("tokens").alias("token")).join(leading, "token")
+    distinct = top_n(by_token.drop("token"), ["tokens", "url_key"], order, 1)
+    per_domain = top_n(distinct, ["tokens", "domain"], order, limit)
+    answers = top_n(per_domain, ["tokens"], order, limit, "rank").select("tokens", "rank", "loc")
+    # A query without tokens takes the first URLs of every domain.
+    every = top_n(urls, ["domain"], order, limit).orderBy(*order).limit(limit)
+    numbered = every.agg(
+        F.array_sort(F.collect_list(F.struct("domain_ord", "position", "loc"))).alias("_all")
+    )  # at most ``limit`` entries
+    free = numbered.select(
+        F.array().cast("array<string>").alias("tokens"), F.posexplode("_all").alias("_i", "_u")
+    ).select("tokens", (F.col("_i") + 1).alias("rank"), F.col("_u.loc").alias("loc"))
+    found = tokens.join(answers.unionByName(free), "tokens")
+    return found.select(
         "search_id",
         "rank",
         F.col("loc").alias("url"),

@@ -301,3 +301,82 @@ def test_plan_limits_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as search_id", "id as position", "'a' as source")
     plan = selection.first_n(df, 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit")
+
+
+def test_snapshot_table_round_trip(spark, tmp_path):
+    results = spark.createDataFrame([("a", ["x"]), ("b", [])], "q string, products array<string>")
+    rows = snapshots.result_snapshots(results, F.concat(F.lit("k:"), F.col("q")), F.lit(T0))
+    path = str(tmp_path / "snapshots")
+    snapshots.write_snapshots(rows, path)
+    [row] = snapshots.read_snapshots(spark, path).collect()
+    assert (row["key"], row["ttl_s"], row["payload"], str(row["day"])) == ("k:a", 21600, '["x"]', "2024-01-01")
+
+
+def test_index_versions_on_disk(spark, tmp_path):
+    schema = "id string, title string, updated_at timestamp"
+    base = spark.createDataFrame([("1", "a", T0), ("2", "b", T0)], schema)
+    offer_index.bucketed(base).write.partitionBy("bucket").parquet(str(tmp_path / "v1"))
+    changes = spark.createDataFrame([("2", "B", T0 + timedelta(1)), ("3", "c", T0)], schema)
+    offer_index.write_upsert(spark, str(tmp_path / "v1"), changes, str(tmp_path / "v2"))
+    got = {r["id"]: r["title"] for r in spark.read.parquet(str(tmp_path / "v2")).collect()}
+    assert got == {"1": "a", "2": "B", "3": "c"}
+
+
+def test_request_log_and_report(spark, tmp_path):
+    from offerloom.sources.pages import read_requests
+
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text(
+        '{"request_id": 1, "ts": "2024-01-01T00:00:00Z", "user_id": "u", "status": 200, "latency_ms": 5.5, "success": true, "cache_hit": false, "layer": "primary"}\n'
+    )
+    report = metrics.request_metrics(read_requests(spark, str(tmp_path / "log")))
+    evaluation.write_report(report, str(tmp_path / "report"))
+    [row] = spark.read.json(str(tmp_path / "report")).collect()
+    assert row["total_requests"] == 1 and row["p95"] == 5.5
+
+
+def test_search_responses(spark, tmp_path):
+    from offerloom.operators.offers import to_offers
+    from offerloom.plans.search import search_responses
+
+    searches = spark.createDataFrame([("s", " Ноут ", "SPB"), ("t", "x", None)], "search_id string, query string, region string")
+    rows = [("s", i, "a.ru", f"t{i}", p, f"https://a.ru/{i}") for i, p in enumerate([100, 0, 500, 900] + [7] * 20)]
+    found = spark.createDataFrame(rows, "search_id string, position bigint, source_domain string, title string, price bigint, product_url string")
+    outcomes = spark.createDataFrame([("s", "ozon", "captcha", None)], "search_id string, source string, error string, status string")
+    docs = {r["search_id"]: r for r in search_responses(searches, [to_offers(found, "other")], outcomes=outcomes).collect()}
+    s = docs["s"]
+    assert (s["query"]["corrected"], s["query"]["region_name"]) == ("ноутбук", "Санкт-Петербург")
+    assert [g["source"] for g in s["groups"]] == ["other", "ozon"]
+    assert [g["status"] for g in s["groups"]] == ["complete", "error"]
+    assert s["groups"][0]["count"] == 15 and len(s["groups"][0]["products"]) == 15
+    assert s["summary"]["total_found"] == 14 and s["summary"]["median_price"] == 7
+    assert docs["t"]["groups"] == [] and docs["t"]["query"]["region"] == "moscow"
+    summaries.write_responses(spark.createDataFrame([("x",)], "v string"), str(tmp_path / "docs"))
+
+
+def test_deadlines_and_attempts(spark):
+    rows = [("a", T0, T0 + timedelta(seconds=91), 90, 3), ("b", T0, T0 + timedelta(seconds=90), 90, 3), ("c", T0, None, 90, None)]
+    df = spark.createDataFrame(rows, "search_id string, requested_at timestamp, arrived_at timestamp, budget_s int, count int")
+    got = {r["search_id"]: (r["timed_out"], r["count"], r["status"]) for r in metrics.deadlines(df).collect()}
+    assert got == {"a": (True, 0, "error"), "b": (False, 3, "complete"), "c": (True, 0, "error")}
+    tries = spark.createDataFrame(
+        [("s", 1, 403, 0, "x"), ("s", 2, 429, 0, "y"), ("s", 3, 429, 0, "z"), ("w", 1, 429, 0, "x"), ("w", 2, 200, 4, None)],
+        "search_id string, ord int, status int, n_products int, error string")
+    best = {r["search_id"]: (r["ord"], r["outcome"]) for r in metrics.best_attempt(tries).collect()}
+    assert best == {"s": (2, "failure"), "w": (2, "success")}
+
+
+def test_sitemap_search(spark):
+    locs = [
+        ("a.ru", 0, i, f"https://www.a.ru/product/{n}-{i}") for i, n in enumerate(["shina-zima", "avtoshina", "stol"])
+    ] + [("b.ru", 1, 0, "https://b.ru/product/printer"), ("b.ru", 1, 1, "https://b.ru/about/printer"), ("b.ru", 1, 2, "https://a.ru/product/printer")]
+    urls = spark.createDataFrame(locs, "domain string, domain_ord int, position int, loc string")
+    searches = spark.createDataFrame([("t", "зимние шины"), ("p", "принтер printer"), ("e", "a"), ("n", "кккк")], "search_id string, query string")
+    got = {}
+    for r in searching.sitemap_hits(searches, urls, 3).orderBy("search_id", "rank").collect():
+        got.setdefault(r["search_id"], []).append(r["url"])
+    assert got == {
+        "t": ["https://www.a.ru/product/shina-zima-0", "https://www.a.ru/product/avtoshina-1"],
+        "p": ["https://b.ru/product/printer"],
+        "e": [u for *_, u in locs[:3]],
+    }
