@@ -80,40 +80,31 @@ def _acceptable(offers: DataFrame, needles: DataFrame) -> DataFrame:
     )
 
 
-def _grid_offers(
-    wanted: DataFrame, pages: DataFrame, needles: DataFrame, stage: int
-) -> DataFrame:
-    listed = extraction.extract_listings(_stored(pages, wanted), rules.LISTING_ITEMS_LIVE)
-    joined = wanted.join(listed, "page_url").select(
-        "search_id", F.lit(stage).alias("stage"), "page_rank", "position", "title",
-        "description", "price_rub", "image_url", "product_url", "source_domain", "method",
-        "confidence", F.col("similarity").alias("relevance_score"),
+_FOUND = (
+    "title", "description", "price_rub", "image_url", "product_url", "source_domain", "method",
+    "confidence",
+)
+
+
+def _wanted_offers(wanted: DataFrame, offers: DataFrame, needles: DataFrame) -> DataFrame:
+    """Acceptable offers of the pages each search wants (``wanted`` carries the stage)."""
+    joined = wanted.join(offers, "page_url").select(
+        "search_id", "stage", "page_rank", "position", *_FOUND,
+        F.col("similarity").alias("relevance_score"),
     )
     return _acceptable(joined, needles)
 
 
-def _pool_offers(pool: DataFrame, pages: DataFrame, needles: DataFrame) -> DataFrame:
-    """Offers of the ranked pool: a page's listing when any of it is accepted, else the page
-    as one product."""
-    stored = _stored(pages, pool)
+def _listing_offers(wanted: DataFrame, stored: DataFrame, needles: DataFrame) -> DataFrame:
     listed = extraction.extract_listings(stored, rules.LISTING_ITEMS_LIVE)
-    single = extraction.extract_offers(stored).select(
-        F.col("url").alias("page_url"), F.lit(0).alias("position"), "title", "description",
-        "price_rub", "image_url", "product_url", "source_domain", "method", "confidence",
-    )
+    return _wanted_offers(wanted, listed.select("page_url", "position", *_FOUND), needles)
 
-    def found(offers: DataFrame) -> DataFrame:
-        joined = pool.join(offers, "page_url").select(
-            "search_id", F.lit(2).alias("stage"), "page_rank", "position", "title", "description",
-            "price_rub", "image_url", "product_url", "source_domain", "method", "confidence",
-            F.col("similarity").alias("relevance_score"),
-        )
-        return _acceptable(joined, needles)
 
-    from_lists = found(listed.select(*single.columns))
-    answered = from_lists.select("search_id", "page_rank").distinct()
-    rest = found(single).join(answered, ["search_id", "page_rank"], "left_anti")
-    return from_lists.unionByName(rest)
+def _single_offers(wanted: DataFrame, stored: DataFrame, needles: DataFrame) -> DataFrame:
+    single = extraction.extract_offers(stored).select(
+        F.col("url").alias("page_url"), F.lit(0).alias("position"), *_FOUND
+    )
+    return _wanted_offers(wanted, single, needles)
 
 
 def _index_offers(index_hits: DataFrame, needles: DataFrame) -> DataFrame:
@@ -163,8 +154,10 @@ def collect_other_shops(
     # being planned anew in every branch.
     candidates = settle(_by_quality(setops.merge_candidates(live).select(*_HIT)))
 
-    first_pages = _grid_urls(candidates.join(known, "search_id", "left_semi"), links, GRID_PAGES)
-    first_grid = settle(_grid_offers(first_pages, pages, needles, 0))
+    first_pages = _grid_urls(
+        candidates.join(known, "search_id", "left_semi"), links, GRID_PAGES
+    ).withColumn("stage", F.lit(0))
+    first_grid = settle(_listing_offers(first_pages, _stored(pages, first_pages), needles))
     sizes = first_grid.groupBy("search_id").agg(
         F.count_distinct(u.url_key(F.col("product_url"))).alias("_n")
     )
@@ -189,20 +182,27 @@ def collect_other_shops(
         )
     )
 
-    second_pages = _grid_urls(
-        viable.join(full, "search_id", "left_anti"), links, GRID_PAGES
-    )
-    second_grid = _grid_offers(second_pages, pages, needles, 1)
+    second_pages = _grid_urls(viable.join(full, "search_id", "left_anti"), links, GRID_PAGES)
     pool = top_n(
         viable, ["search_id"], [F.desc("quality"), F.asc("place")], rules.RANK_POOL, "page_rank"
     ).select("search_id", "page_rank", "similarity", u.url_key(F.col("url")).alias("page_url"))
-    pool_offers = _pool_offers(pool, pages, needles)
     late_pages = _grid_urls(
         viable.join(unknown, "search_id", "left_semi"), links, LATE_GRID_PAGES
     )
-    late_grid = _grid_offers(late_pages, pages, needles, 3)
+    # One reading of the pages serves the later grids and the pool.
+    wanted = settle(
+        second_pages.withColumn("stage", F.lit(1))
+        .unionByName(pool.withColumn("stage", F.lit(2)))
+        .unionByName(late_pages.withColumn("stage", F.lit(3)))
+    )
+    stored = _stored(pages, wanted)
+    from_lists = settle(_listing_offers(wanted, stored, needles))
+    # A pool page gives its listing when any of it is accepted, else itself as one product.
+    answered = from_lists.where("stage = 2").select("search_id", "page_rank").distinct()
+    pool_rest = wanted.where("stage = 2").join(answered, ["search_id", "page_rank"], "left_anti")
+    singles = _single_offers(pool_rest, stored, needles)
 
-    found = first_grid.unionByName(second_grid).unionByName(pool_offers).unionByName(late_grid)
+    found = first_grid.unionByName(from_lists).unionByName(singles)
     if index_hits is not None:
         found = found.unionByName(_index_offers(index_hits, needles))
     distinct = first_by(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from offerloom.operators import extraction
 from offerloom.operators.offers import to_offers
+from offerloom.operators.settling import settle
 from offerloom.plans import marketplaces, other_shops
 from offerloom.plans.search import search_responses
 from offerloom.queries.inputs import ORDER_OFFERS_SQL, order_offers
@@ -147,7 +148,10 @@ def other_shops_query(spark, sf_dir):
         url.alias("url"), F.lit(200).alias("status"),
         F.concat(F.lit('<html><script type="application/ld+json">'), ld, F.lit("</script>"), F.repeat(F.lit("<p>x</p>"), 30)).alias("html"),
     )
-    links = extraction.page_links(pages.drop("status")).withColumnRenamed("url", "page")
+    # the link table is a stored input of the plan
+    links = settle(
+        extraction.page_links(pages.drop("status")).withColumnRenamed("url", "page")
+    )
     offers = other_shops.collect_other_shops(searches, hits, pages, links)
     return offers.select(
         "search_id", F.substring_index("product_url", "/", -1).cast("bigint").alias("p_partkey"),
