@@ -167,8 +167,8 @@ def first_image(images: Column, *attributes: str) -> Column:
 
 
 def sign_price(html: Column) -> Column:
-    """First amount with a currency sign near the top of the page."""
-    return first_match(F.substring(html, 1, rules.META_SCAN_CHARS), rules.SIGN_PRICE)
+    """First amount with a currency sign on the page."""
+    return first_match(html, rules.SIGN_PRICE)
 
 
 META_FIELDS = (

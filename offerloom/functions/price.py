@@ -88,26 +88,24 @@ def page_price(html: Column, structured: Column, described: Column) -> Column:
 
     ``structured`` is the price the markup states, ``described`` the title,
     description and raw price text. An implausible structured price is replaced by the
-    first plausible amount found in the text, the attributes or the page head.
+    first plausible amount found in the text, the attributes or anywhere on the page.
     """
-    head = F.substring(html, 1, rules.PRICE_SCAN_CHARS)
     return F.coalesce(
         F.when(structured >= rules.MIN_PRICE_RUB, structured),
         F.when(structured.isNotNull(), first_plausible_price(described)),
-        attribute_price(head, rules.ITEMPROP_PRICE),
-        attribute_price(head, rules.ATTR_PRICE),
-        first_plausible_price(head),
+        attribute_price(html, rules.ITEMPROP_PRICE),
+        attribute_price(html, rules.ATTR_PRICE),
+        first_plausible_price(html),
         F.when(structured > 0, structured),
     )
 
 
 def has_price_attribute(html: Column) -> Column:
-    head = F.substring(html, 1, rules.PRICE_SCAN_CHARS)
-    return has(head, rules.ITEMPROP_PRICE) | has(head, rules.ATTR_PRICE)
+    return has(html, rules.ITEMPROP_PRICE) | has(html, rules.ATTR_PRICE)
 
 
 def has_price_text(html: Column) -> Column:
-    return has(F.substring(html, 1, rules.PRICE_SCAN_CHARS), rules.TEXT_PRICE)
+    return has(html, rules.TEXT_PRICE)
 
 
 def feed_price(sale: Column, promo: Column, base: Column) -> Column:

@@ -51,8 +51,6 @@ CATEGORY_SIMILARITY = 0.35
 TITLE_RATIO = 0.93
 MIN_PRICE_RUB = 50
 MAX_PRICE_RUB = 5_000_000
-PRICE_SCAN_CHARS = 120_000
-META_SCAN_CHARS = 50_000
 MIN_PAGE_CHARS = 200
 
 # seconds (fixed values)
