@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import linededup, mixing, packing
+from offerloom.llm import langid, linededup, mixing, packing, tgm, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,3 +140,40 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target",
         (F.col("size") * F.col("copies")).alias("taken"),
     )
+
+
+@_register("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(
+        F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)
+    )
+    model = langid.fit(docs.where(~held_out))
+    return docs.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        langid.language(F.col("text"), model).alias("_found"),
+    ).select(
+        "doc_id",
+        "held_out",
+        F.col("_found.lang").alias("lang_pred"),
+        F.col("_found.score").alias("score"),
+    )
+
+
+@_register("op2_winnowing")
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_with_edit(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.digest(F.col("chosen")).alias("fingerprint"),
+        winnow.digest(F.col("edited_chosen")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@_register("op8_ngram_jaccard")
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tgm.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
