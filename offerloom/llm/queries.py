@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import langid, linededup, mixing, packing, tgm, winnow
+from offerloom.llm import (
+    chat,
+    crosspolytope,
+    langid,
+    licenses,
+    linededup,
+    mixing,
+    packing,
+    tgm,
+    warc,
+    winnow,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,3 +188,123 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op8_ngram_jaccard")
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tgm.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@_register("op3_cross_polytope")
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.nearest(
+        _table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0
+    )
+
+
+def _license_sql() -> str:
+    values = ", ".join(
+        f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in licenses.TEMPLATES
+    )
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+    runs = "[array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]"
+    return f"""
+WITH templates(license, text) AS (VALUES {values}),
+wanted AS (SELECT DISTINCT license, unnest({runs}) AS s FROM
+  (SELECT license, {words} AS ws FROM templates)),
+totals AS (SELECT license, count(*) AS total FROM wanted GROUP BY license),
+held AS (SELECT DISTINCT doc_id, unnest({runs}) AS s FROM
+  (SELECT doc_id, {words} AS ws FROM documents)),
+hits AS (SELECT doc_id, license, count(*)::BIGINT AS matched
+  FROM held JOIN wanted USING (s) GROUP BY doc_id, license)
+SELECT doc_id, license, matched, total::BIGINT AS total, matched::DOUBLE / total AS containment
+FROM hits JOIN totals USING (license) WHERE matched::DOUBLE / total >= 0.8
+"""
+
+
+@_register("op5_license_scan", _license_sql())
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+_CHAT_SQL = """
+WITH clean AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+    count(*) OVER (PARTITION BY conv_id) AS n_turns FROM clean
+), prefixes AS (
+  SELECT conv_id, place, n_turns, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>'
+    || chr(10), '') OVER (PARTITION BY conv_id ORDER BY place) AS prefix FROM placed
+), wholes AS (
+  SELECT min(conv_id) AS conv_id, n_turns, prefix FROM prefixes WHERE place = n_turns
+  GROUP BY n_turns, prefix
+)
+SELECT conv_id, n_turns::BIGINT AS n_turns, prefix AS chat FROM wholes w
+WHERE NOT EXISTS (SELECT 1 FROM prefixes p
+  WHERE p.place < p.n_turns AND p.place = w.n_turns AND p.prefix = w.prefix)
+"""
+
+
+@_register("op9_chat_snapshots", _CHAT_SQL)
+def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+#: Pages in an archive file, and which records of the second replica are damaged.
+PAGES_PER_FILE = 1024
+_ROT, _CUT, _LOST = (97, 13), (193, 7), (251, 5)
+_WARC_SQL = f"""
+WITH bodies AS (
+  SELECT page_id, page_id // {PAGES_PER_FILE} AS file, coalesce(url, '') AS url,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8'
+      || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body,
+    coalesce(html, '') AS html FROM pages
+), records AS (
+  SELECT page_id, file, html, 149 + strlen(page_id::VARCHAR) + strlen(url)
+    + strlen(strlen(body)::VARCHAR) + strlen(body) + 4 AS length FROM bodies
+), placed AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM records
+), damaged AS (
+  SELECT *, page_id % {_LOST[0]} = {_LOST[1]} AS lost, CASE
+    WHEN page_id % {_CUT[0]} = {_CUT[1]} THEN left(html, length(html) // 2)
+    WHEN page_id % {_ROT[0]} = {_ROT[1]} THEN left(html, length(html) - 1) || '#'
+    ELSE html END AS found_html FROM placed
+), sized AS (
+  SELECT *, length - strlen(html) + strlen(found_html)
+    - strlen((59 + strlen(html))::VARCHAR) + strlen((59 + strlen(found_html))::VARCHAR) AS now
+  FROM damaged
+)
+SELECT file, page_id, "offset", length::BIGINT AS length,
+  CASE WHEN lost THEN 0 ELSE now END::BIGINT AS found,
+  CASE WHEN lost THEN 'missing' WHEN now <> length THEN 'resized' ELSE 'changed' END AS state
+FROM sized WHERE lost OR found_html <> html
+"""
+
+
+@_register("op10_warc_fixity", _WARC_SQL)
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica of all pages in which some records have rotted, been cut or got lost."""
+    page, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    n = F.length(html)
+    damaged = (
+        F.when(page % _CUT[0] == _CUT[1], F.left(html, F.floor(n / 2).cast("int")))
+        .when(page % _ROT[0] == _ROT[1], F.concat(F.left(html, n - 1), F.lit("#")))
+        .otherwise(html)
+    )
+    pages = _table(spark, sf_dir, "pages").withColumn(
+        "file", F.floor(page / PAGES_PER_FILE).cast("long")
+    )
+
+    def records(content: Column) -> DataFrame:
+        record = warc.response_record(page, F.col("url"), content)
+        return pages.select("file", page.alias("key"), record.alias("record"))
+
+    ours = warc.index(warc.digests(records(html)))
+    lost = F.coalesce(F.col("key") % _LOST[0] == _LOST[1], F.lit(False))
+    theirs = warc.held(warc.digests(records(damaged).where(~lost)), ours)
+    return warc.audit(ours, theirs).withColumnRenamed("key", "page_id").select(
+        "file",
+        "page_id",
+        "offset",
+        "length",
+        F.coalesce("found", F.lit(0)).alias("found"),
+        "state",
+    )
