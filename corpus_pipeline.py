@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import linededup, mixing, packing
+from offerloom.llm import langid, linededup, mixing, packing, tgm
 from offerloom.llm.queries import tokenizer_path
 from offerloom.llm.store import Workspace
 from offerloom.session import ship
@@ -15,6 +15,28 @@ from offerloom.session import ship
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: A document goes when its best language covers less of it than this, or it has no letters.
+LEAST_LANGUAGE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; a missing ``lang`` is filled in.
+
+    The model learns from the labelled rows. Where there are none, nothing can be rejected.
+    """
+    ship(spark)
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs
+    found = F.col("_found.lang")
+    return (
+        docs.withColumn("_found", langid.language(F.col("text"), model))
+        .where((found != langid.UNDETERMINED) & (F.col("_found.score") >= LEAST_LANGUAGE))
+        .withColumn("lang", F.coalesce("lang", found))
+        .select(*docs.columns)
+    )
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated in three documents or more stay in one of them; no document goes."""
     text = F.col("kept_text")
@@ -25,6 +47,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts that share 80 % of their five-word shingles."""
+    ship(spark)
+    return tgm.one_per_component(docs, k=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_rows(docs)
@@ -37,7 +65,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language ID", identify_language),
     ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
     ("packing", pack_sequences),
 ]
