@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from offerloom.llm import langid, linededup, mixing, packing, tgm
 from offerloom.llm.queries import tokenizer_path
 from offerloom.llm.store import Workspace
+from offerloom.llm.text import boxed, unboxed
 from offerloom.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,21 +30,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model.langs:
         return docs
     found = F.col("_found.lang")
+    rows, box = boxed(docs)
+    lang = F.coalesce(F.col(f"{box}.lang"), found).alias("lang")
     return (
-        docs.withColumn("_found", langid.language(F.col("text"), model))
+        rows.withColumn("_found", langid.language(F.col(f"{box}.text"), model))
         .where((found != langid.UNDETERMINED) & (F.col("_found.score") >= LEAST_LANGUAGE))
-        .withColumn("lang", F.coalesce("lang", found))
-        .select(*docs.columns)
+        .select(*[lang if c == "lang" else unboxed(box, [c])[0] for c in docs.columns])
     )
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated in three documents or more stay in one of them; no document goes."""
-    text = F.col("kept_text")
-    return (
-        linededup.drop_repeated_lines(docs)
-        .withColumns({"text": text, "n_chars": F.length(text).cast("long")})
-        .select(*docs.columns)
+    new = {
+        "text": F.col("kept_text").alias("text"),
+        "n_chars": F.length("kept_text").cast("long").alias("n_chars"),
+    }
+    return linededup.drop_repeated_lines(docs).select(
+        *[new.get(c, F.col(f"`{c}`")) for c in docs.columns]
     )
 
 

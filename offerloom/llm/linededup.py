@@ -8,7 +8,7 @@ and a line with two repeating documents or more is found in three.
 
 Nulls: a null text is one empty line; a null ``doc_id`` counts as the smallest id. Rows with one
 ``doc_id`` are one document. Keys shorter than ``min_chars`` are never dropped. An empty table
-gives an empty result, and further columns are left alone.
+gives an empty result. Further columns stay; those named as a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.skew import spread_join
 from offerloom.llm.store import Workspace
-from offerloom.llm.text import SPACES, ascii_lower, hash_pair, whole
+from offerloom.llm.text import SPACES, ascii_lower, boxed, hash_pair, unboxed, whole
 
 _NO_ID = -(2**63)
 
@@ -146,14 +146,20 @@ def drop_repeated_lines(
     the runs are built, ``fanout`` how many runs of a level are compacted together.
     """
     space = Workspace(docs.sparkSession, "lines")
-    gone = repeated_lines(docs, min_chars, min_docs, batches, fanout, space)
+    gone = repeated_lines(
+        docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout, space
+    )
     per_doc = gone.groupBy("_id", "_row").agg(
         F.array_sort(F.collect_set("_pos")).alias("_gone")
     )
-    joined = docs.withColumns(
-        {"_id": _id(), "_row": F.xxhash64(whole(F.col("text")))}
-    ).join(per_doc, ["_id", "_row"], "left")
-    lines, gone_at = _lines(F.col("text")), F.col("_gone")
+    rows, box = boxed(docs)
+    text = whole(F.col(f"{box}.text"))
+    own_id = F.coalesce(F.col(f"{box}.doc_id").cast("long"), F.lit(_NO_ID))
+    joined = (
+        rows.withColumns({"_id": own_id, "_row": F.xxhash64(text)})
+        .join(per_doc, ["_id", "_row"], "left")
+    )
+    lines, gone_at = _lines(text), F.col("_gone")
     # The kept stretches between dropped lines: each line is copied once, whatever the number.
     edges = F.concat(F.array(F.lit(-1)), gone_at, F.array(F.size(lines)))
     stretches = F.zip_with(
@@ -167,12 +173,12 @@ def drop_repeated_lines(
             lambda s: F.slice(lines, s["start"], s["n"]),
         )
     )
-    return joined.withColumns(
-        {
-            "n_lines": F.size(lines).cast("long"),
-            "n_dropped": F.coalesce(F.size(gone_at), F.lit(0)).cast("long"),
-            "kept_text": F.when(gone_at.isNull(), whole(F.col("text"))).otherwise(
-                F.array_join(kept, "\n")
-            ),
-        }
-    ).drop("_id", "_row", "_gone")
+    added = {
+        "n_lines": F.size(lines).cast("long"),
+        "n_dropped": F.coalesce(F.size(gone_at), F.lit(0)).cast("long"),
+        "kept_text": F.when(gone_at.isNull(), text).otherwise(F.array_join(kept, "\n")),
+    }
+    return joined.select(
+        *unboxed(box, [c for c in docs.columns if c not in added]),
+        *[c.alias(name) for name, c in added.items()],
+    )

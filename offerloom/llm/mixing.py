@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerloom.llm.store import Workspace
-from offerloom.llm.text import words
+from offerloom.llm.text import boxed, unboxed, words
 
 #: Documents that an interval holds on average, and the most intervals of one source.
 INTERVAL_DOCS, MOST_INTERVALS = 2_000, 1_000_000
@@ -204,13 +204,15 @@ def mixed_rows(docs: DataFrame, **settings: object) -> DataFrame:
         .agg(F.sum("copies").alias("_copies"))
         .select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key"), "_copies")
     )
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    rows, box = boxed(docs)
+    key = F.xxhash64(F.coalesce(F.col(f"{box}.text"), F.lit("")))
     return (
-        keyed.dropDuplicates(["doc_id", "_key"])
+        rows.withColumns({"_id": F.col(f"{box}.doc_id"), "_key": key})
+        .dropDuplicates(["_id", "_key"])
         .join(
             taken,
-            F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_row_key")),
+            F.col("_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_row_key")),
         )
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*docs.columns)
+        .select(*unboxed(box, docs.columns))
     )

@@ -30,9 +30,13 @@ from offerloom.llm.components import components
 from offerloom.llm.shingles import bitmap, fold, most_shared, overlap, shingle_set
 from offerloom.llm.skew import spread_join
 from offerloom.llm.store import Workspace
+from offerloom.llm.text import boxed, unboxed
 
 #: Counters of the token sketch, and the parts it is summed in. Its size does not grow.
 SKETCH, SKETCH_PARTS = 1 << 20, 64
+#: Places of the filter that says which texts are read again to be compared.
+FILTER_LOG = 24
+FILTER_BITS = 1 << FILTER_LOG
 #: A group's bitmap is made of the members of one part, so many on average.
 GROUP_PART = 256
 _MASK = np.uint64(SKETCH - 1)
@@ -103,6 +107,57 @@ def token_sketch(docs: DataFrame, k: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    for batch in batches:
+        bits[_places(batch.column(0))] = True
+    parts = np.packbits(bits).reshape(SKETCH_PARTS, -1)
+    used = [k for k in range(SKETCH_PARTS) if parts[k].any()]
+    yield pa.RecordBatch.from_pydict(
+        {
+            "part": pa.array(used, pa.int32()),
+            "bits": pa.array([parts[k].tobytes() for k in used], pa.binary()),
+        }
+    )
+
+
+def _or_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins what one task reads: at most one row for each part goes on."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(bits.as_py(), dtype=np.uint8)
+            found[part] = found[part] | own if part in found else own
+    yield pa.RecordBatch.from_pydict(
+        {
+            "part": pa.array(list(found), pa.int32()),
+            "bits": pa.array([b.tobytes() for b in found.values()], pa.binary()),
+        }
+    )
+
+
+def _places(ids: pa.Array) -> np.ndarray:
+    """Places of ids in the filter; null as the id that stands for none."""
+    values = ids.fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.uint64)
+    return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_LOG)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Which places the ids of a one-column table take. Its size does not grow; a place can stand
+    for more than one id, so what passes is a superset."""
+    schema = "part int, bits binary"
+    rows = (
+        ids.mapInArrow(_bits_of, schema)
+        .repartition(SKETCH_PARTS, "part")
+        .mapInArrow(_or_parts, schema)
+        .collect()
+    )
+    out = np.zeros((SKETCH_PARTS, FILTER_BITS // SKETCH_PARTS // 8), dtype=np.uint8)
+    for row in rows:
+        out[row["part"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return np.unpackbits(out.reshape(-1)).astype(bool)
+
+
 _MARKS = "doc_id long, n int, digest binary, shown array<long>, bits binary"
 
 
@@ -144,11 +199,15 @@ def _marks(k: int, percent: int, sketch: np.ndarray) -> Callable:
     return run
 
 
-def _sets(k: int) -> Callable:
+def _sets(k: int, packed: bytes) -> Callable:
+    """Sets of the documents whose id passes the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                sets = [shingle_set(t.as_py(), k) for t in batch.column(0).slice(at, 1024)]
+            chosen = batch.filter(pa.array(wanted[_places(batch.column(0))]))
+            for at in range(0, chosen.num_rows, 1024):
+                sets = [shingle_set(t.as_py(), k) for t in chosen.column(1).slice(at, 1024)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "digest": pa.array(
@@ -166,19 +225,16 @@ def _kept(batch: pa.RecordBatch, keep: list[bool], n_columns: int) -> pa.RecordB
     return batch.filter(pa.array(keep, pa.bool_())).select(range(n_columns))
 
 
-def _may_link(percent: int) -> Callable:
-    """Keeps rows ``a, b, a_n, a_bits, b_bits`` in which ``b`` may hold enough of ``a``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, a, b = (batch.column(i) for i in (2, 3, 4))
-            keep = [
-                most_shared(x, y.as_py(), z.as_py()) >= _least_overlap(x, percent)
-                for x, y, z in zip(n.to_pylist(), a, b, strict=True)
-            ]
-            yield _kept(batch, keep, 2)
-
-    return run
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps rows ``a, b, a_n, need, a_bits, b_bits`` in which ``b`` may hold enough of ``a``."""
+    for batch in batches:
+        n, need = (batch.column(i).to_pylist() for i in (2, 3))
+        bits = zip(batch.column(4), batch.column(5), strict=True)
+        keep = [
+            most_shared(x, a.as_py(), b.as_py()) >= y
+            for x, y, (a, b) in zip(n, need, bits, strict=True)
+        ]
+        yield _kept(batch, keep, 2)
 
 
 def _linked(percent: int) -> Callable:
@@ -210,6 +266,7 @@ def _union_bits(key: tuple, table: pa.Table) -> pa.Table:
         {
             "group": [key[0].as_py()],
             "part": pa.array([key[1].as_py()], pa.int32()),
+            "low": pa.array([min(table.column("n").to_pylist())], pa.int32()),
             "bits": pa.array([union.tobytes()], pa.binary()),
         }
     )
@@ -226,6 +283,17 @@ class _Join:
             F.col(b) * 100 >= F.col(a) * self.percent
         )
 
+    def _reach(self, n: str, at: str, other: str, other_at: str) -> Column:
+        """Whether sets that first meet at these places of theirs can share enough."""
+        left = F.least(F.col(n) - F.col(at), F.col(other) - F.col(other_at))
+        return left * (100 + self.percent) >= (F.col(n) + F.col(other)) * self.percent
+
+    def _need(self, n: str, other: str) -> Column:
+        """What sets of these sizes share at least if they are linked."""
+        together = (F.col(n) + F.col(other)).cast("long")
+        whole = 100 + self.percent
+        return F.floor((together * self.percent + whole - 1) / whole).cast("int").alias("need")
+
     def _sides(self, pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
         """``pairs(a, b)`` with the columns of both nodes, as ``a_...`` and ``b_...``."""
         for side in ("a", "b"):
@@ -239,9 +307,9 @@ class _Join:
         """The linked ones of ``pairs(a, b)``: by size, by bitmap, then exactly."""
         sized = self._sides(pairs, classes, ["n", "bits"]).where(self._similar_size("a_n", "b_n"))
         possible = self.space.keep(
-            sized.select("a", "b", "a_n", "a_bits", "b_bits").mapInArrow(
-                _may_link(self.percent), "a long, b long"
-            ),
+            sized.select(
+                "a", "b", "a_n", self._need("a_n", "b_n"), "a_bits", "b_bits"
+            ).mapInArrow(_may_link, "a long, b long"),
             f"{name}-possible",
         )
         nodes = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
@@ -249,13 +317,9 @@ class _Join:
             classes.select("node", "digest", "label").join(nodes, "node", "left_semi"),
             f"{name}-wanted",
         )
-        ids = wanted.select("label").distinct()
-        texts = self.docs.join(
-            ids, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("label"), "left_semi"
-        )
+        packed = np.packbits(id_filter(wanted.select("label"))).tobytes()
         sets = self.space.keep(
-            texts.select("text")
-            .mapInArrow(_sets(self.k), "digest binary, tokens binary")
+            self.docs.mapInArrow(_sets(self.k, packed), "digest binary, tokens binary")
             .join(wanted.select("node", "digest"), "digest")
             .select("node", "tokens"),
             f"{name}-sets",
@@ -285,28 +349,34 @@ class _Join:
             .withColumn("node", F.monotonically_increasing_id()),
             "classes",
         )
-        posted = classes.select("node", "n", F.explode("shown").alias("token"))
+        posted = classes.select("node", "n", F.posexplode("shown").alias("at", "token"))
+        # A token's leader has the fewest rarer tokens: of near copies, the one least changed.
         shared = self.space.keep(
             posted.groupBy("token")
-            .agg(F.count("*").alias("held"), F.min("node").alias("leader"))
+            .agg(F.count("*").alias("held"), F.min(F.struct("at", "node", "n")).alias("leader"))
             .where("held > 1"),
             "shared",
         )
         posts = self.space.keep(
             spread_join(posted, shared, ["token"], "held", F.xxhash64("node")), "posts"
         )
-        linked = self._group_links(posts, classes)
+        live = posts.select("node").distinct()
+        classes_asked = self.space.keep(
+            classes.select("node", "n", "bits", "digest", "label").join(live, "node"), "live"
+        )
+        linked = self._group_links(posts, classes_asked)
         first = components(linked, self.space, "first")
-        members = self._members(classes, linked, first)
-        opened = self._open_groups(posts, members, classes)
+        members = self._members(classes_asked, linked, first)
+        opened = self._open_groups(posts, members, classes_asked)
         final = components(linked.union(opened), self.space, "final")
         return self._result(marks, classes, final)
 
     def _group_links(self, posts: DataFrame, classes: DataFrame) -> DataFrame:
-        """Links with the first class of each shared token: what groups are made from."""
-        pairs = posts.where("node <> leader").select(
-            F.col("node").alias("a"), F.col("leader").alias("b")
+        """Links with the leader of each shared token: what groups are made from."""
+        near = posts.where("node <> leader.node").where(
+            self._reach("n", "at", "leader.n", "leader.at")
         )
+        pairs = near.select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
         return self.verified(pairs.distinct(), classes, "stars")
 
     def _members(self, classes: DataFrame, linked: DataFrame, first: DataFrame) -> DataFrame:
@@ -344,7 +414,7 @@ class _Join:
     ) -> DataFrame:
         """Links between components: groups that may hold one are opened."""
         placed = self.space.keep(
-            posts.select("token", "node").join(members, "node"), "placed"
+            posts.select("token", "node", "at").join(members, "node"), "placed"
         )
         mixed = self.space.keep(
             placed.groupBy("token")
@@ -360,19 +430,23 @@ class _Join:
         rows = self.space.keep(
             spread_join(placed, mixed, ["token"], "held", F.xxhash64("node")), "rows"
         )
+        p = self.percent
+        slack = (F.col("n") - F.col("at")) * (100 + p) - F.col("n") * p
         columns = (
             rows.groupBy("token", "group", "part", F.col("component").alias("of_group"))
-            .agg(F.min("n").alias("low"), F.max("n").alias("high"))
+            .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(slack).alias("slack"))
             .withColumnRenamed("token", "_token")
         )
         pairs = (
-            rows.select("token", "node", "n", "component")
+            rows.select("token", "node", "n", "at", "component")
             .join(
                 columns,
                 (F.col("token") == F.col("_token"))
                 & (F.col("component") > F.col("of_group"))
-                & (F.col("high") * 100 >= F.col("n") * self.percent)
-                & (F.col("n") * 100 >= F.col("low") * self.percent),
+                & (F.col("high") * 100 >= F.col("n") * p)
+                & (F.col("n") * 100 >= F.col("low") * p)
+                & ((F.col("n") - F.col("at")) * (100 + p) >= (F.col("n") + F.col("low")) * p)
+                & (F.col("slack") >= F.col("n") * p),
             )
             .select("node", "n", "group", "part")
             .distinct()
@@ -384,15 +458,17 @@ class _Join:
             members.join(which, ["group", "part"], "left_semi")
             .join(classes.select("node", "bits"), "node")
             .groupBy("group", "part")
-            .applyInArrow(_union_bits, "group long, part int, bits binary"),
+            .applyInArrow(_union_bits, "group long, part int, low int, bits binary"),
             "matrix",
         )
         bounded = (
             asked.join(matrix.withColumnRenamed("bits", "b_bits"), ["group", "part"])
             .join(classes.select("node", F.col("bits").alias("a_bits")), "node")
             .withColumn("to", F.struct("group", "part"))
-            .select("node", "to", F.col("n").alias("a_n"), "a_bits", "b_bits")
-            .mapInArrow(_may_link(self.percent), "node long, to struct<group: long, part: int>")
+            .select(
+                "node", "to", F.col("n").alias("a_n"), self._need("n", "low"), "a_bits", "b_bits"
+            )
+            .mapInArrow(_may_link, "node long, to struct<group: long, part: int>")
             .select(F.col("node").alias("a"), "to.group", "to.part")
         )
         opened = bounded.join(
@@ -433,10 +509,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id names their component; equal rows once."""
     found = jaccard_components(docs, k, percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    rows, box = boxed(docs)
     return (
-        docs.join(gone, "doc_id", "left_anti")
-        .withColumn("_text", F.xxhash64("text"))
-        .dropDuplicates(["doc_id", "_text"])
-        .select(*docs.columns)
+        rows.withColumns(
+            {
+                "_id": F.col(f"{box}.doc_id").cast("long"),
+                "_text": F.xxhash64(F.coalesce(f"{box}.text", F.lit(""))),
+            }
+        )
+        .join(gone, "_id", "left_anti")
+        .dropDuplicates(["_id", "_text"])
+        .select(*unboxed(box, docs.columns))
     )

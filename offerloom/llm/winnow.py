@@ -228,7 +228,7 @@ def compare_with_edit(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame
     changed = F.greatest(F.col("kept") - (k + w - 2), F.lit(0))
     again = F.greatest(F.col("changed") - (w - 1), F.lit(0))
     rows = (
-        with_next(docs, prepare, ["text", "hashes"])
+        with_next(docs.select("doc_id", "text"), prepare, ["text", "hashes"])
         .withColumn("n_chars", n.cast("long"))
         .withColumn("kept", kept)
         .withColumn("changed", changed)
