@@ -1,16 +1,17 @@
 """Document fingerprints by winnowing.
 
-Every run of ``k`` code points is hashed. In each window of ``w`` consecutive hashes the smallest is
-chosen, the rightmost of equals, and kept with its position. Two texts that share ``w + k - 1`` code
-points or more share a chosen hash, and no hash of fewer than ``k`` is ever compared.
-
-A chosen hash is one number: 32 bits of the hash above 31 bits that fall with the position, so the
-smallest number of a window is its smallest hash furthest right. The text is handled in stretches of
-``STRETCH`` code points that overlap by ``w + k - 2``: a long text needs no long arrays but the one
-of its chosen hashes.
-
-Null and empty texts have no hashes. A text with fewer than ``k`` code points has the hash of its
-whole; one with fewer than ``w`` hashes has the smallest of them.
+Every run of ``k`` bytes of the UTF-8 text is hashed. In each window of ``w`` consecutive hashes the
+smallest is chosen, the rightmost of equals, and kept with its position. Two texts that share
+``w + k - 1`` bytes or more share a chosen hash, and no hash of fewer than ``k`` is ever compared.
+
+A hash is the complement of ``xxhash64`` of the bytes. A window's numbers are the complements of the
+hashes with the position in place of the low bits, so that their largest is the smallest hash
+furthest right. The text is handled in stretches of ``STRETCH`` bytes that overlap by ``w + k - 2``:
+a long text needs no long arrays but the one of its chosen hashes, each a number of 32 bits of hash
+above 31 bits of position.
+
+Null and empty texts have no hashes. A text with fewer than ``k`` bytes has the hash of its whole;
+one with fewer than ``w`` hashes has the smallest of them.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from offerloom.llm.text import whole
+from offerloom.llm.text import hash_pair, whole
 
 K, WINDOW = 12, 8
-STRETCH = 64
-_LOW = (1 << 31) - 1
+STRETCH = 256
+#: Bits of a number that hold the position within a stretch and what overlaps it.
+_PLACE_BITS = 9
+_PLACE = (1 << _PLACE_BITS) - 1
 _EMPTY = "array<bigint>"
 #: Ranges of ids that the search for a document's neighbour is split into: rows each, and the most.
 SLICE_ROWS, MOST_SLICES = 500, 65_536
@@ -40,76 +43,75 @@ def _none() -> Column:
     return F.array().cast(_EMPTY)
 
 
-def _numbers(text: Column, first: Column, k: int) -> Column:
-    """The numbers of all ``k``-grams of a short text whose first position is ``first``."""
-    high = F.lit(_LOW).cast("long") - first + 1
+def _numbers(stretch: Column, k: int) -> Column:
+    """A number for each ``k``-gram of a short binary, counted from 1."""
+    return F.transform(
+        F.sequence(F.lit(1), F.octet_length(stretch) - (k - 1)),
+        lambda i: F.xxhash64(F.substring(stretch, i, F.lit(k)))
+        .bitwiseAND(F.lit(~_PLACE))
+        .bitwiseOR(i),
+    )
+
+
+def _placed(numbers: Column, first: Column) -> Column:
+    """Chosen numbers with 32 bits of hash and the position in the whole text."""
 
-    def number(i: Column) -> Column:
-        gram = F.xxhash64(F.substring(text, i, F.lit(k)))
-        return F.shiftleft(gram.bitwiseAND(F.lit((1 << 32) - 1)), 31) + (high - i)
+    def number(x: Column) -> Column:
+        high = F.shiftrightunsigned(F.bitwise_not(x), 32)
+        return F.shiftleft(high, 31) + (x.bitwiseAND(F.lit(_PLACE)) + (first - 1))
 
-    return F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), number)
+    return F.transform(numbers, number)
 
 
-def _pair_minima(numbers: Column, step: int) -> Column:
-    """Minima of each number and the one ``step`` further."""
+def _pairs(numbers: Column, step: int) -> Column:
+    """The larger of each number and the one ``step`` further."""
 
     def pairs(x: Column) -> Column:
         n = F.size(x) - step
-        return F.zip_with(F.slice(x, 1, n), F.slice(x, 1 + step, n), lambda a, b: F.least(a, b))
+        return F.zip_with(F.slice(x, 1, n), F.slice(x, 1 + step, n), lambda a, b: F.greatest(a, b))
 
     return _let(numbers, pairs)
 
 
-def _window_minima(numbers: Column, w: int) -> Column:
-    """Minima of all windows of ``w``, doubling the window as long as it fits."""
+def _chosen(numbers: Column, w: int) -> Column:
+    """The largest number of every window of ``w``, doubling the window as long as it fits."""
     width = 1
     while width < w:
         step = min(width, w - width)
-        numbers = _pair_minima(numbers, step)
+        numbers = _pairs(numbers, step)
         width += step
     return numbers
 
 
-def winnow(text: Column, k: int = K, w: int = WINDOW) -> Column:
-    """The chosen numbers of a text that is not null, in the order of their positions."""
+def winnow(data: Column, k: int = K, w: int = WINDOW) -> Column:
+    """The chosen numbers of a binary that is not null, in the order of their positions."""
     reach = w + k - 2
-    if not 1 < w or not 1 < k or reach > STRETCH:
-        raise ValueError(f"w + k is at most {STRETCH + 2}, and each at least 2")
-    stretches = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{STRETCH}}})"), 1)
-    overlapping = _let(
-        stretches,
-        lambda s: F.zip_with(
-            s,
-            F.concat(F.slice(s, 2, F.size(s)), F.array(F.lit(""))),
-            lambda a, b: F.concat(a, F.left(b, F.lit(reach))),
-        ),
+    if not 1 < w or not 1 < k or STRETCH + reach > _PLACE:
+        raise ValueError(f"w and k are at least 2, and together at most {_PLACE - STRETCH + 2}")
+    n = F.octet_length(data)
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(STRETCH))
+    stretches = F.transform(
+        starts, lambda i: F.substring(data, i + 1, F.lit(STRETCH + reach))
     )
     chosen = F.transform(
-        overlapping,
+        stretches,
         lambda s, j: F.when(
-            F.length(s) > reach,
-            F.array_distinct(
-                _window_minima(_numbers(s, j.cast("long") * STRETCH, k), w)
-            ),
+            F.octet_length(s) > reach,
+            _placed(F.array_distinct(_chosen(_numbers(s, k), w)), j.cast("long") * STRETCH),
         ).otherwise(_none()),
     )
-    short = F.when(
-        F.length(text) >= k, F.array(F.array_min(_numbers(text, F.lit(0).cast("long"), k)))
-    ).otherwise(
-        F.array(
-            F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)), 31) + F.lit(_LOW)
-        )
-    )
+    zero = F.lit(0).cast("long")
+    whole_text = F.array(F.xxhash64(data).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(F.lit(1)))
+    short = F.when(n >= k, F.array(F.array_max(_numbers(data, k)))).otherwise(whole_text)
     return (
-        F.when(text == "", _none())
-        .when(F.length(text) <= reach, short)
+        F.when(n == 0, _none())
+        .when(n <= reach, _placed(short, zero))
         .otherwise(F.array_distinct(F.flatten(chosen)))
     )
 
 
 def position(number: Column) -> Column:
-    return F.lit(_LOW).cast("long") - number.bitwiseAND(F.lit(_LOW).cast("long"))
+    return number.bitwiseAND(F.lit((1 << 31) - 1))
 
 
 def hashes(numbers: Column) -> Column:
@@ -117,19 +119,10 @@ def hashes(numbers: Column) -> Column:
     return F.array_distinct(F.transform(numbers, lambda x: F.shiftright(x, 31)))
 
 
-def decoded(numbers: Column) -> Column:
-    """``array<struct<hash, position>>``."""
-    return F.transform(
-        numbers,
-        lambda x: F.struct(F.shiftright(x, 31).alias("hash"), position(x).alias("position")),
-    )
-
-
 def digest(numbers: Column) -> Column:
     """One string for the chosen hashes and their positions; empty for none."""
-    return F.when(F.size(numbers) == 0, "").otherwise(
-        F.sha2(F.array_join(F.transform(numbers, lambda x: F.hex(x)), " "), 256)
-    )
+    both = [F.lpad(F.hex(h), 16, "0") for h in hash_pair(numbers)]
+    return F.when(F.size(numbers) == 0, "").otherwise(F.lower(F.concat(*both)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -218,33 +211,30 @@ def compare_with_edit(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame
         text = whole(F.col("text"))
         return (
             rows.select("doc_id", "_id", "_at", "_again", text.alias("text"))
-            .withColumn("chosen", winnow(F.col("text"), k, w))
+            .withColumn("chosen", winnow(F.col("text").cast("binary"), k, w))
             .withColumn("hashes", hashes(F.col("chosen")))
         )
 
     n = F.length("text")
-    kept = n - F.floor(n / 3).cast("int")
+    same = F.left("text", n - F.floor(n / 3).cast("int"))
     # The first hash that a changed window can choose, and where the part to compute again begins.
-    changed = F.greatest(F.col("kept") - (k + w - 2), F.lit(0))
+    changed = F.greatest(F.octet_length("same") - (k + w - 2), F.lit(0))
     again = F.greatest(F.col("changed") - (w - 1), F.lit(0))
+    tail = F.substring(F.col("edited").cast("binary"), F.col("again") + 1, F.octet_length("edited"))
     rows = (
         with_next(docs.select("doc_id", "text"), prepare, ["text", "hashes"])
-        .withColumn("n_chars", n.cast("long"))
-        .withColumn("kept", kept)
+        .withColumn("same", same)
         .withColumn("changed", changed)
         .withColumn("again", again)
         .withColumn(
             "edited",
-            F.concat(
-                F.left("text", F.col("kept")),
-                F.left(F.col("_next.text"), (F.col("n_chars") - F.col("kept")).cast("int")),
-            ),
+            F.concat("same", F.left(F.col("_next.text"), (n - F.length("same")).cast("int"))),
         )
-        .withColumn("tail", winnow(F.substring("edited", F.col("again") + 1, F.length("edited")), k, w))
+        .withColumn("tail", winnow(tail, k, w))
     )
     before = F.filter("chosen", lambda x: position(x) < F.col("changed"))
     after = F.filter(
-        F.transform("tail", lambda x: x - F.col("again")),
+        F.transform("tail", lambda x: x + F.col("again")),
         lambda x: position(x) >= F.col("changed"),
     )
     return (
@@ -252,7 +242,7 @@ def compare_with_edit(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame
         .withColumn("edited_hashes", hashes(F.col("edited_chosen")))
         .select(
             "doc_id",
-            "n_chars",
+            n.cast("long").alias("n_chars"),
             "edited",
             "chosen",
             "edited_chosen",

@@ -112,20 +112,22 @@ def jaccard(rows, k, percent):
 
 def winnowed(text, k, w):
     """Chosen (hash, position) pairs, window by window."""
-    if not text:
+    data = (text or "").encode()
+    if not data:
         return []
 
-    def small(x):
-        return xxhash.xxh64_intdigest(x.encode(), seed=42) & 0xFFFFFFFF
+    def hashed(x):
+        return (xxhash.xxh64_intdigest(x, seed=42) ^ (2**64 - 1) ^ 2**63) >> 9
 
-    if len(text) < k:
-        return [(small(text), 0)]
-    grams = [small(text[i : i + k]) for i in range(len(text) - k + 1)]
+    if len(data) < k:
+        grams = [hashed(data)]
+    else:
+        grams = [hashed(data[i : i + k]) for i in range(len(data) - k + 1)]
     chosen = []
     for i in range(max(1, len(grams) - w + 1)):
         window = list(enumerate(grams[i : i + w], i))
         least = min(h for _, h in window)
-        pair = (least, max(p for p, h in window if h == least))
+        pair = ((least ^ 2**54) >> 23, max(p for p, h in window if h == least))
         if pair not in chosen[-w:]:
             chosen.append(pair)
     return chosen

@@ -93,7 +93,7 @@ def test_winnowing(spark):
             edited = text[: len(text) - cut] + following[:cut]
             a, b, c = (winnowed(t, k, w) for t in (text, edited, following))
             pairs = [
-                [(x >> 31, 2**31 - 1 - (x & (2**31 - 1))) for x in numbers]
+                [(x >> 31, x & (2**31 - 1)) for x in numbers]
                 for numbers in (r.chosen, r.edited_chosen)
             ]
             assert (r.n_chars, r.edited, pairs) == (len(text), edited, [a, b])
