@@ -7,6 +7,7 @@ expressions afterwards.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -52,13 +53,17 @@ class Node:
 
     def select(self, selectors: str) -> list[Node]:
         """Matching descendants in document order; commas give alternatives."""
+        return list(self.matching(selectors))
+
+    def matching(self, selectors: str):
+        """Like ``select``, one match at a time."""
         plans = [_compile(part.strip()) for part in selectors.split(",")]
-        return [node for node in self.walk() if any(_matches(node, plan) for plan in plans)]
+        return (node for node in self.walk() if any(_matches(node, plan) for plan in plans))
 
     def first(self, *selectors: str) -> Node | None:
-        """First match of the first selector that has one."""
+        """First match of the first selector that has one; the walk stops there."""
         for selector in selectors:
-            found = next(iter(self.select(selector)), None)
+            found = next(self.matching(selector), None)
             if found is not None:
                 return found
         return None
@@ -74,33 +79,48 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.current = Node("", {}, None)
+        self.open = Counter()
+
+    def parse_marked_section(self, i, report=1):
+        """Skip a section such as ``<![if x]>`` whatever its keyword."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
 
     def handle_starttag(self, tag, attrs):
         if self.current.tag in _CLOSED_BY.get(tag, ()):
-            self.current = self.current.parent
+            self._leave()
         node = Node(tag, dict(attrs), self.current)
         self.current.children.append(node)
         if tag not in _VOID:
             self.current = node
+            self.open[tag] += 1
+
+    def _leave(self):
+        self.open[self.current.tag] -= 1
+        self.current = self.current.parent
 
     def handle_startendtag(self, tag, attrs):
         self.current.children.append(Node(tag, dict(attrs), self.current))
 
     def handle_endtag(self, tag):
-        node = self.current
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.current = node.parent
+        # A tag that is not open closes nothing, however deep the page.
+        if self.open[tag] > 0:
+            while self.current.tag != tag:
+                self._leave()
+            self._leave()
 
     def handle_data(self, data):
         self.current.children.append(data)
 
 
 def parse(html: str | None) -> Node:
+    """The page's tree; of a page that the parser gives up on, the part before."""
     builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
+    try:
+        builder.feed(html or "")
+        builder.close()
+    except (AssertionError, RecursionError):
+        pass
     return builder.root
 
 

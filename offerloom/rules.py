@@ -474,6 +474,8 @@ TILE_CARDS = (
     '[data-widget="tileGridDesktop"] div.tile-root',
 )
 TILE_ROOTS = ('[data-widget="tileGridDesktop"]', "div.widget-search-result-container")
+# where tiles are looked for, in order: enclosing elements ("" is the page), tile selectors
+TILE_PLACES = ((TILE_ROOTS, TILE_CARDS), *((("",), (selector,)) for selector in TILE_CARDS))
 TILE_TITLES = (
     "a.tile-hover-target span.tsBody500Medium",
     'a[href*="/product/"] span.tsBody500Medium',
@@ -489,6 +491,32 @@ TILE_DESCRIPTIONS = (
 TILE_SPEC_ROWS = '[data-widget="webCharacteristics"] tr, .characteristics tr'
 SPEC_LISTS = ("characteristics", "attributes", "specs", "properties", "shortCharacteristics")
 DESCRIPTION_KEYS = ("description", "fullDescription", "text", "content")
+# forms of a specification: keys of the label, keys of the value
+SPEC_OBJECT = (("name", "key", "title"), ("value", "text"))
+SPEC_LINE = (("name", "key"), ("value", "text"))
+NOT_SPECS = ("description", "title")
+
+# embedded states: pattern, whether backslashes are doubled in the page
+STATE_SOURCES = {
+    "state": (
+        (r"window\.__NUXT__\.state\s*=\s*'(.+)'\s*;\s*window\.__NUXT__", True),
+        (r'window\.__NUXT__\.state\s*=\s*"(.+)"\s*;\s*window\.__NUXT__', True),
+    ),
+    "page": ((r'<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', False),),
+}
+WIDGET_NAMES = (("component", "widgetName"), ("originName", "originComponent"))
+
+# limits on single fields: values that enclose a grid item, lengths in characters, price digits
+STATE_LEVELS = 16
+LONGEST_TEXT = 5000
+LEAST_DESCRIPTION = 21
+LONGEST_SPEC = 200
+LONGEST_CARD_TITLE = 160
+MOST_PRICE_DIGITS = 8
+# marks of page furniture that encloses a specification
+NOT_SPEC_TEXT = ("apiary", "widgets")
+SPEC_LABEL = '[data-auto="product-spec"]'
+CARD_PROSE = '[data-auto="product-description"]'
 
 # article cards of the card source
 ARTICLE_FIELDS = {
