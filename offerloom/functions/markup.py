@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from offerloom import rules
 from offerloom.functions.price import parse_price
-from offerloom.functions.text import first_match, strip, unescape
+from offerloom.functions.text import first_match, first_of_each, strip, unescape
 
 _BLOCK = r'(?s)type="application/ld\+json"[^>]*>(.*?)</script>'
-_UNWRAP_STEPS = 6  # list, graph, item list, list item, product and one spare
 
 
 def _get(value: Column, path: str, kind: str = "string") -> Column:
@@ -62,14 +61,27 @@ def _flat(arrays: Column) -> Column:
     )
 
 
+def _is_product(node: Column) -> Column:
+    return ~_is_list(node) & F.array_contains(_types(node), "Product")
+
+
 def product_nodes(blocks: Column) -> Column:
-    """Product nodes of lists, graphs and item lists, in document order."""
-    nodes = blocks
-    for _ in range(_UNWRAP_STEPS):
-        nodes = _flat(F.transform(nodes, _unwrap))
-    return F.filter(
-        nodes, lambda n: ~_is_list(n) & F.array_contains(_types(n), "Product")
+    """Product nodes of lists, graphs and item lists at any depth, in document order."""
+    nesting = F.aggregate(
+        F.transform(blocks, lambda b: F.length(F.regexp_replace(F.to_json(b), r"[^\[{]", ""))),
+        F.lit(0),
+        lambda deepest, own: F.greatest(deepest, own),
     )
+    # No value lies deeper than the text has opening brackets. Once only products are left, what
+    # remains of the steps does nothing.
+    nodes = F.aggregate(
+        F.sequence(F.lit(0), nesting),
+        F.filter(blocks, lambda b: b.isNotNull()),
+        lambda nodes, _: F.when(
+            F.exists(nodes, lambda n: ~_is_product(n)), _flat(F.transform(nodes, _unwrap))
+        ).otherwise(nodes),
+    )
+    return F.filter(nodes, _is_product)
 
 
 def _product_fields(node: Column) -> Column:
@@ -108,10 +120,8 @@ def _product_key(p: Column) -> Column:
 
 
 def distinct_products(products: Column) -> Column:
-    keys = F.transform(products, _product_key)
-    return F.filter(
-        products, lambda p, i: F.array_position(keys, _product_key(p)) == i + 1
-    )
+    """The first product of each title and price."""
+    return first_of_each(products, _product_key)
 
 
 def visible(html: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Callable, Iterable
+from functools import cache
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -67,33 +69,70 @@ def words_of(text: Column) -> Column:
 
 def unique_ignoring_case(items: Column) -> Column:
     """Keep the first of the items that differ only in case."""
-    lowered = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    return first_of_each(items, F.lower)
 
 
 def blank_to_null(text: Column) -> Column:
     return F.when(strip(text) != "", text)
 
 
-# The entities shop titles use; ampersand goes last.
-_ENTITIES = (
-    ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&mdash;", "—"), ("&ndash;", "–"), ("&#8381;", "₽"), ("&lt;", "<"),
-    ("&gt;", ">"), ("&amp;", "&"),
-)
+def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The first item of each key, in order; items without a key are left out.
+
+    Items are sorted by key and place, so that each is compared with its neighbour only.
+    """
+    fields = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
+    ordered = F.array_sort(F.filter(fields, lambda x: x["k"].isNotNull()))
+    firsts = F.transform(
+        F.array(ordered),
+        lambda o: F.filter(
+            o, lambda x, i: (i == 0) | ~x["k"].eqNullSafe(F.get(o, F.greatest(i - 1, F.lit(0)))["k"])
+        ),
+    )[0]
+    places = F.array_sort(F.transform(firsts, lambda x: x["i"]))
+    return F.transform(places, lambda i: F.get(items, i))
+
+
+_ENTITY = r"(?s)&#?[0-9A-Za-z]+;|&|[^&]+"
+
+
+@cache
+def _named_entities() -> str:
+    """Characters of the named entities as JSON, from the standard table."""
+    return json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+
+
+def _decoded(piece: Column, named: Column) -> Column:
+    """One entity decoded; anything else as it is."""
+    hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
+    decimal = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1)
+    digits = F.when(hexadecimal != "", F.upper(hexadecimal)).otherwise(
+        F.when(decimal != "", F.hex(decimal.try_cast("bigint"))).otherwise("")
+    )
+    number = F.conv(digits, 16, 10).try_cast("bigint")
+    sound = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    character = F.decode(F.unhex(F.lpad(F.when(sound, digits), 8, "0")), "UTF-32")
+    word = F.substring(piece, 2, F.length(piece) - 2)
+    return F.when(~piece.startswith("&") | (F.length(piece) < 3), piece).otherwise(
+        F.coalesce(
+            F.when(digits != "", F.coalesce(character, F.lit("\ufffd"))),
+            F.try_element_at(named, word),
+            piece,
+        )
+    )
 
 
 def unescape(text: Column) -> Column:
-    """Decode the common HTML entities natively."""
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _ENTITIES, text)
+    """Decode HTML entities, named and numbered. The text is split once at its ampersands."""
 
+    def full(value: Column) -> Column:
+        named = F.from_json(F.lit(_named_entities()), "map<string,string>")
+        pieces = F.regexp_extract_all(value, F.lit(_ENTITY), 0)
+        return F.array_join(F.transform(pieces, lambda x: _decoded(x, named)), "")
 
-@F.pandas_udf(T.StringType())
-def unescape_all(texts: pd.Series) -> pd.Series:
-    """Decode every HTML entity (the full table), one Arrow batch at a time."""
-    import html
-
-    return texts.map(html.unescape, na_action="ignore")
+    return F.transform(
+        F.array(text), lambda t: F.when(t.contains("&"), full(t)).otherwise(t)
+    )[0]
 
 
 def strip_markup(text: Column) -> Column:

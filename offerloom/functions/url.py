@@ -291,11 +291,33 @@ def resolve_link(base: Column, href: Column) -> Column:
             F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), href)
         )
     )
-    # "/./" and up to four levels of "/x/../" in the path part
-    resolved = F.regexp_replace(joined, r"/(?:\./)+", "/")
-    for _ in range(4):
-        resolved = F.regexp_replace(resolved, r"(?<!/)/(?!\.\./)[^/?#]+/\.\./", "/")
-    return resolved
+    return F.when(joined.rlike(_DOTTED), _without_dots(joined)).otherwise(joined)
+
+
+#: A path with a segment of one or two dots.
+_DOTTED = r"^[^?#]*?://[^?#]*/\.{1,2}(?:[/?#]|$)"
+_PARTS = r"^([^:/?#]+://[^/?#]*)([^?#]*)(.*)$"
+
+
+def _without_dots(url: Column) -> Column:
+    """The URL with ``.`` and ``..`` segments of its path resolved, however many there are."""
+    segments = F.split(F.substring(F.regexp_extract(url, _PARTS, 2), 2, 2**31 - 1), "/")
+    nothing = F.array().cast("array<string>")
+    kept = F.aggregate(
+        segments,
+        nothing,
+        lambda path, s: F.when(s == "..", F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))))
+        .when(s == ".", path)
+        .otherwise(F.concat(path, F.array(s))),
+    )
+    ends_in_folder = F.element_at(segments, -1).isin(".", "..")
+    path = F.concat(kept, F.when(ends_in_folder, F.array(F.lit(""))).otherwise(nothing))
+    return F.concat(
+        F.regexp_extract(url, _PARTS, 1),
+        F.lit("/"),
+        F.array_join(path, "/"),
+        F.regexp_extract(url, _PARTS, 3),
+    )
 
 
 def redirect_target(href: Column) -> Column:

@@ -10,7 +10,7 @@ from offerloom.functions import markup as m
 from offerloom.functions import price as p
 from offerloom.functions import query as q
 from offerloom.functions import url as u
-from offerloom.functions.text import has, strip
+from offerloom.functions.text import first_of_each, has, strip
 from offerloom.operators.cards import grid_cards
 from offerloom.operators.planning import computed_once
 from offerloom.operators.urls import url_kinds
@@ -220,14 +220,8 @@ def extract_listings(pages: DataFrame, limit: int = rules.LISTING_ITEMS) -> Data
         ),
     )
     # The card reader keeps the first card of each link and at most ``limit`` of them.
-    card_keys = F.transform("_c", lambda x: u.url_key(x["product_url"]))
     distinct_cards = F.slice(
-        F.filter(
-            "_c",
-            lambda x, i: F.array_position(card_keys, u.url_key(x["product_url"])) == i + 1,
-        ),
-        1,
-        limit,
+        first_of_each(F.col("_c"), lambda x: u.url_key(x["product_url"])), 1, limit
     )
     listed = computed_once(
         computed_once(base, {"_j": json_items, "_c": card_items}),
@@ -242,10 +236,7 @@ def extract_listings(pages: DataFrame, limit: int = rules.LISTING_ITEMS) -> Data
         ) & ~u.is_category_listing(x["title"], path, u.looks_like_product(path))
 
     checked = computed_once(listed, {"_good": F.filter("_items", sound)})
-    keys = F.transform("_good", lambda x: u.url_key(x["product_url"]))
-    distinct = F.filter(
-        "_good", lambda x, i: F.array_position(keys, u.url_key(x["product_url"])) == i + 1
-    )
+    distinct = first_of_each(F.col("_good"), lambda x: u.url_key(x["product_url"]))
     rows = checked.select(
         *kept,
         F.col("url").alias("page_url"),
@@ -289,8 +280,7 @@ def page_links(pages: DataFrame, url_col: str = "url") -> DataFrame:
     )
     same_host = F.filter(resolved, lambda x: u.netloc(x["link"]) == u.netloc(base))
     found = computed_once(pages, {"_found": same_host}).drop("html")
-    links = F.transform("_found", lambda x: x["link"])
-    first = F.filter("_found", lambda x, i: F.array_position(links, x["link"]) == i + 1)
+    first = first_of_each(F.col("_found"), lambda x: x["link"])
     rows = found.select(*kept, F.posexplode(first).alias("position", "_x")).select(
         *kept, "position", F.col("_x.link").alias("link"), F.col("_x.kind").alias("kind")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from offerloom import rules
 from offerloom.functions import offer as o
 from offerloom.functions import url as u
-from offerloom.functions.text import squish, strip
+from offerloom.functions.text import first_of_each, squish, strip
 from offerloom.operators.cards import serp_blocks
 from offerloom.operators.planning import computed_once
 
@@ -29,8 +29,7 @@ def _hits(df: DataFrame, kept: list[str], items: str, key_level, limit: int) ->
         & ~u.is_blacklisted(u.host(x["url"])),
     )
     checked = computed_once(df, {"_ok": allowed})
-    keys = F.transform("_ok", key)
-    first = F.filter("_ok", lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    first = first_of_each(F.col("_ok"), key)
     return checked.select(
         *kept, F.posexplode(F.slice(first, 1, limit)).alias("rank", "_h")
     ).select(
@@ -66,8 +65,7 @@ def market_urls_from_json(answers: DataFrame) -> DataFrame:
         lambda x: x["m"].isNotNull(),
     )
     found = computed_once(answers, {"_m": parsed})
-    ids = F.transform("_m", lambda x: x["m"]["numeric_id"])
-    first = F.filter("_m", lambda x, i: F.array_position(ids, x["m"]["numeric_id"]) == i + 1)
+    first = first_of_each(F.col("_m"), lambda x: x["m"]["numeric_id"])
     return found.select(*kept, F.posexplode(first).alias("rank", "_x")).select(
         *kept, "rank", "_x.url", "_x.m.slug", "_x.m.numeric_id",
         classify_slug(F.col("_x.m.slug")).alias("category"),
