@@ -62,29 +62,30 @@ def circuit_state(
     two of them.
     """
     opens = trip if trip is not None else F.col("status").isin(*rules.TRIP_STATUSES)
-    opened = trips(requests, opens, key, open_s).select(
-        F.col(key).alias("_k"), "trip_at", slice_of("trip_at", open_s).alias("_s")
-    )
-    near = requests.withColumn(
-        "_slice",
-        F.explode(F.array(slice_of("ts", open_s), slice_of("ts", open_s) - 1)),
+    # The request that opens is the first of its instant; only block answers are searched for it.
+    opened = trips(requests, opens, key, open_s)
+    blocks = requests.where(opens).select(F.col(key).alias("_k"), F.col("ts").alias("_ts"), "request_id")
+    openers = (
+        opened.join(blocks, (F.col(key) == F.col("_k")) & (F.col("trip_at") == F.col("_ts")))
+        .groupBy("_k", "trip_at")
+        .agg(F.min("request_id").alias("_opener"))
     )
+    first = slice_of("trip_at", open_s)
+    spread = openers.withColumn("_s", F.explode(F.array(first, first + 1)))
+    # The log is dealt out once; a request meets at most one opening that covers it.
     age = F.unix_micros("ts") - F.unix_micros("trip_at")
-    hit = near.join(opened, (F.col(key) == F.col("_k")) & (F.col("_slice") == F.col("_s"))).where(
-        (age >= 0) & (age < open_s * 1_000_000)
-    )
-    covering = hit.select("request_id", "trip_at")
-    opener = (
-        hit.where((F.col("ts") == F.col("trip_at")) & opens)
-        .groupBy(key, "trip_at")
-        .agg(F.min("request_id").alias("request_id"))
-        .select("request_id", F.lit(True).alias("_opens"))
+    joined = requests.withColumn("_slice", slice_of("ts", open_s)).join(
+        spread,
+        (F.col(key) == F.col("_k"))
+        & (F.col("_slice") == F.col("_s"))
+        & (age >= 0)
+        & (age < open_s * 1_000_000),
+        "left",
     )
-    joined = requests.join(covering, "request_id", "left").join(opener, "request_id", "left")
     state = (
-        F.when(F.col("_opens"), "trips")
+        F.when(F.col("request_id") == F.col("_opener"), "trips")
         # another request of the opening instant is in order of arrival behind the opener
-        .when(F.col("trip_at").isNotNull() & ~F.coalesce("_opens", F.lit(False)), "refused")
+        .when(F.col("trip_at").isNotNull(), "refused")
         .otherwise("passes")
     )
-    return joined.withColumn("state", state).drop("trip_at", "_opens")
+    return joined.withColumn("state", state).select(*requests.columns, "state")

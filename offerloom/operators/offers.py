@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerloom import rules
 from offerloom.functions import offer as o
 from offerloom.functions import url as u
+from offerloom.operators.ranking import first_by
 from offerloom.schemas import OFFER_COLUMNS
 
 _DEFAULTS = {
@@ -72,14 +73,23 @@ def page_meta_offers(meta: DataFrame) -> DataFrame:
     return to_offers(projected, "ozon")
 
 
+def _one_stored(details: DataFrame, key: str, content: list[Column]) -> DataFrame:
+    """One row per key: the newest where times are known, else settled by content."""
+    newest = [F.desc_nulls_last("fetched_at")] if "fetched_at" in details.columns else []
+    return first_by(details, [key], [*newest, *[c.desc_nulls_last() for c in content]])
+
+
 def enrich_cards(offers: DataFrame, details: DataFrame) -> DataFrame:
     """Card offers with the specifications of their stored detail page.
 
     ``details``: url_key, state, specs (map), prose. Specifications replace the preview's
     when there are any; the description is rendered anew, keeping bought count and delivery;
-    confidence rises to 0.95. Missing and blocked pages leave the preview.
+    confidence rises to 0.95. Missing and blocked pages leave the preview. Of several stored
+    pages of a card one stands, the newest if ``details`` has ``fetched_at``.
     """
-    usable = details.where(F.col("state") == "ok").select("url_key", "specs", "prose")
+    usable = _one_stored(
+        details.where(F.col("state") == "ok"), "url_key", [F.to_json("specs"), F.col("prose")]
+    ).select("url_key", "specs", "prose")
     joined = offers.withColumn("url_key", u.url_key(F.col("product_url"), 3)).join(
         usable, "url_key", "left"
     )
@@ -113,9 +123,15 @@ def enrich_tiles(offers: DataFrame, details: DataFrame, first: int = 2) -> DataF
     """Tile offers with stored details for the first ``first`` ranks of each search.
 
     ``details``: product_url, state, description, characteristics. Reading stops at the
-    first blocked page, so ranks behind it keep their preview.
+    first blocked page, so ranks behind it keep their preview. Of several stored pages of a
+    product one stands, as for cards.
     """
-    facts = details.select(
+    once = _one_stored(
+        details,
+        "product_url",
+        [F.col("state"), F.col("description"), F.to_json("characteristics")],
+    )
+    facts = once.select(
         "product_url",
         F.col("state").alias("_state"),
         F.col("description").alias("_prose"),

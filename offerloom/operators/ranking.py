@@ -9,6 +9,8 @@ sketch brackets the wanted rank, and only the values inside the bracket are orde
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 _SKETCH_ACCURACY = 10_000
 _MARGIN = 0.002  # twenty times the sketch's guaranteed rank error
+_STRIPS = 1_024
 
 
 def top_n(
@@ -39,7 +42,6 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 HOT_ROWS = 1_000_000
-_SALTS = 64
 
 
 def join_per_key(
@@ -51,21 +53,22 @@ def join_per_key(
 ) -> DataFrame:
     """Inner join of many rows with one row per key that knows its key's row count.
 
-    Keys with more than ``hot_rows`` rows are cut into 64 parts and their single row copied
-    to each; all others join as they are. The list of hot keys has at most total rows /
+    Keys with more than ``hot_rows`` rows are cut into parts of about that many and their single
+    row copied to each; all others join as they are. The list of hot keys has at most total rows /
     ``hot_rows`` entries, which bounds what is broadcast.
     """
     keys = list(keys)
     is_hot = F.col(size) > hot_rows
-    hot = per_key.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    n_parts = F.ceil(F.col(size) / hot_rows).cast("int")
+    hot = per_key.where(is_hot).select(*keys, n_parts.alias("_hot"))
     hashable = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
-    part = F.pmod(F.xxhash64(*hashable), F.lit(_SALTS)).cast("int")
+    part = F.pmod(F.xxhash64(*hashable), F.col("_hot")).cast("int")
     spread = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), part).otherwise(F.lit(0)))
+        .withColumn("_salt", F.when(F.col("_hot").isNotNull(), part).otherwise(F.lit(0)))
         .drop("_hot")
     )
-    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    parts = F.when(is_hot, F.sequence(F.lit(0), n_parts - 1)).otherwise(F.array(F.lit(0)))
     copies = per_key.withColumn("_salt", F.explode(parts))
     return spread.join(copies, [*keys, "_salt"]).drop("_salt")
 
@@ -103,6 +106,7 @@ def exact_ranks(
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    kind = rows.schema["_v"].dataType
     fractions = sorted({p for p, _ in wanted.values()})
     edges = [
         edge
@@ -124,7 +128,12 @@ def exact_ranks(
         ]
     )
     # Below the bracket only the count matters: those rows collapse to one NULL per zone
-    # in the map-side combine.
+    # in the map-side combine. The bracket is cut into strips of equal width.
+    strip = F.least(
+        F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _STRIPS),
+        F.lit(_STRIPS - 1),
+    )
+    place = [*keys, "n", "_zone", "_strip"]
     placed = (
         join_per_key(rows, brackets, keys, "n", hot_rows)
         .select(*keys, "n", "_v", F.explode(zones).alias("_z"))
@@ -133,26 +142,55 @@ def exact_ranks(
             *keys,
             "n",
             F.col("_z.zone").alias("_zone"),
+            F.col("_z.lo").alias("lo"),
+            F.col("_z.hi").alias("hi"),
             F.when(F.col("_v") >= F.col("_z.lo"), F.col("_v")).alias("_v"),
         )
-        .groupBy(*keys, "n", "_zone", "_v")
+        .withColumn(
+            "_strip",
+            F.when(F.col("_v").isNull(), -1)
+            .when(F.col("hi") > F.col("lo"), strip)
+            .otherwise(0)
+            .cast("int"),
+        )
+        .groupBy(*place, "_v")
         .agg(F.count("*").alias("_c"))
     )
-    upto = F.sum("_c").over(
-        W.partitionBy(*keys, "_zone")
-        .orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Only the strips that a wanted rank falls into are ordered, each by itself.
+    up_to_strip = (
+        W.partitionBy(*keys, "_zone").orderBy("_strip").rowsBetween(W.unboundedPreceding, -1)
     )
-    counted = placed.withColumn("_upto", upto)
-    picks = []
-    for name, (p, rank) in wanted.items():
+    strips = (
+        placed.groupBy(*place)
+        .agg(F.sum("_c").alias("_w"))
+        .withColumn("_before", F.coalesce(F.sum("_w").over(up_to_strip), F.lit(0)))
+    )
+
+    def falls(name: str, before: Column, count: Column) -> Column:
+        p, rank = wanted[name]
         position = rank(F.col("n"))
-        hit = (
+        return (
             (F.col("_zone") == fractions.index(p))
-            & (position <= F.col("_upto"))
-            & (position > F.col("_upto") - F.col("_c"))
+            & (position > before)
+            & (position <= before + count)
         )
-        picks.append(F.max(F.when(hit, F.col("_v"))).alias(name))
+
+    met = reduce(or_, [falls(name, F.col("_before"), F.col("_w")) for name in wanted])
+    upto = F.col("_before") + F.sum("_c").over(
+        W.partitionBy(*keys, "_zone", "_strip")
+        .orderBy("_v")
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    counted = placed.join(strips.where(met).select(*place, "_before"), place).withColumn(
+        "_upto", upto
+    )
+    picks = []
+    for name in wanted:
+        hit = falls(name, F.col("_upto") - F.col("_c"), F.col("_c"))
+        value = F.max(F.when(hit, F.col("_v")))
+        # The sketch's error bound keeps every rank inside its bracket; never give NULL instead.
+        missing = F.raise_error(F.lit(f"{name}: rank outside its bracket")).cast(kind)
+        picks.append(F.when(value.isNull(), missing).otherwise(value).alias(name))
     return counted.groupBy(*keys, "n").agg(*picks)
 
 

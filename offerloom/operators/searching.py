@@ -18,16 +18,15 @@ from offerloom.sources.dims import with_region
 def normalise_queries(searches: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
     """Original and corrected text, region and category of each search.
 
-    ``corrections`` holds (query_key, correction) valid at this time, see
-    ``snapshots.fresh_corrections``.
+    ``corrections`` holds (search_id, correction): what was known at each search's time, see
+    ``snapshots.fresh_corrections``. Of several for one search the first in order stands.
     """
     base = searches.withColumn("original", strip(F.col("query")))
     if corrections is None:
         base = base.withColumn("correction", F.lit(None).cast("string"))
     else:
-        base = base.withColumn("query_key", F.lower("original")).join(
-            corrections.select("query_key", "correction"), "query_key", "left"
-        ).drop("query_key")
+        one = corrections.groupBy("search_id").agg(F.min("correction").alias("correction"))
+        base = base.join(one, "search_id", "left")
     corrected = computed_once(
         base, {"corrected": q.corrected_query(F.col("original"), F.col("correction"))}
     ).drop("correction")

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without the setting gets a folder of its own.
-    """
+    """Shared folder named by ``spark.checkpoint.dir``; without it, one beside the warehouse,
+    which driver and executors share as well."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="offerloom-checkpoint-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_offerloom_rounds"
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -155,6 +155,9 @@ def fresh(
     )
 
 
+_FOR_EVER = 2**31 - 1  # seconds
+
+
 def served(lookups: DataFrame, snapshots: DataFrame, live: DataFrame) -> DataFrame:
     """What each lookup is answered with: fresh snapshot, else live result, else, when the
     live call failed, the stored answer again (``origin`` says which).
@@ -162,16 +165,26 @@ def served(lookups: DataFrame, snapshots: DataFrame, live: DataFrame) -> DataFra
     ``live``: lookup_id, ok, payload.
     """
     known = fresh(lookups, snapshots, (HIT,)).withColumnRenamed("payload", "_stored")
-    joined = known.join(live.select("lookup_id", "ok", F.col("payload").alias("_live")), "lookup_id", "left")
+    # What was stored last, expired or not.
+    kept = snapshots.where(F.col("kind") == HIT).withColumn("ttl_s", F.lit(_FOR_EVER))
+    stale = fresh(lookups, kept, (HIT,)).select("lookup_id", F.col("payload").alias("_stale"))
+    joined = known.join(
+        live.select("lookup_id", "ok", F.col("payload").alias("_live")), "lookup_id", "left"
+    ).join(stale, "lookup_id", "left")
     origin = (
         F.when(F.col("_stored").isNotNull(), "snapshot")
         .when(F.coalesce("ok", F.lit(False)), "live")
+        .when(F.col("_stale").isNotNull(), "stale")
         .otherwise("none")
     )
     return joined.select(
-        "lookup_id", "key", origin.alias("origin"),
+        "lookup_id",
+        "key",
+        origin.alias("origin"),
         F.when(origin == "snapshot", F.col("_stored"))
-        .when(origin == "live", F.col("_live")).alias("payload"),
+        .when(origin == "live", F.col("_live"))
+        .when(origin == "stale", F.col("_stale"))
+        .alias("payload"),
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom import rules
-from offerloom.operators.planning import computed_once
 from offerloom.operators.ranking import exact_ranks, lower_middle, top_n, upper_middle
 from offerloom.schemas import PRODUCT_FIELDS
 from offerloom.sources.dims import sources_dim
@@ -225,21 +224,22 @@ def response_documents(
 ) -> DataFrame:
     """One nested document per search: query, summary, groups with their offers.
 
-    Offers are cut to ``per_source`` per source first (the feature's limit), so a document
-    holds at most that many offers for each of the few sources and all later groupings are
-    small by construction.
+    Counts, domains and the summary are those of all offers. A group's products are cut to
+    ``per_source`` (the feature's limit), so a document holds at most that many offers for each
+    of the few sources.
 
     ``searches`` needs search_id, original, corrected, region, region_name;
     ``outcomes`` may give (search_id, source, error, status).
     """
     capped = top_n(offers, ["search_id", "source"], [F.col("position")], per_source)
     product = F.struct(F.col("position"), *[F.col(c) for c in PRODUCT_FIELDS])
-    groups = capped.groupBy("search_id", "source").agg(
+    counted = offers.groupBy("search_id", "source").agg(
         F.count("*").alias("count"),
         F.min("price").alias("min_price"),
         F.array_sort(F.collect_set(F.nullif(F.col("source_domain"), F.lit("")))).alias("domains"),
-        F.collect_list(product).alias("_products"),
     )
+    shown = capped.groupBy("search_id", "source").agg(F.collect_list(product).alias("_products"))
+    groups = counted.join(shown, ["search_id", "source"])
     by_position = F.array_sort(
         "_products", lambda a, b: F.when(a["position"] < b["position"], -1).otherwise(1)
     )
@@ -262,33 +262,14 @@ def response_documents(
         "ord", "source", "display_name", "count", "min_price", "domains", "products", "error",
         "status", F.lit(per_source).alias("expected_max"),
     )
-    per_search = groups.groupBy("search_id").agg(
-        F.collect_list(group_struct).alias("_groups"),
-        F.flatten(
-            F.collect_list(
-                F.transform(F.coalesce("products", F.array()), lambda p: p["price"])
-            )
-        ).alias("_prices"),
-    )
-    prices = F.array_sort(F.filter("_prices", lambda p: p > 0))
+    per_search = groups.groupBy("search_id").agg(F.collect_list(group_struct).alias("_groups"))
     ordered_groups = F.array_sort(
         "_groups", lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1)
     )
-    summary = (
-        computed_once(per_search, {"_p": prices})
-        .withColumn("_n", F.size("_p"))
-        .withColumn("_low", F.get("_p", F.floor((F.col("_n") - 1) / 2).cast("int")))
-        .withColumn("_high", F.get("_p", F.floor(F.col("_n") / 2).cast("int")))
-        .select(
-            "search_id",
-            F.struct(
-                F.col("_n").cast("bigint").alias("total_found"),
-                F.get("_p", 0).alias("min_price"),
-                _middle().alias("median_price"),
-                F.get("_p", F.col("_n") - 1).alias("max_price"),
-            ).alias("summary"),
-            ordered_groups.alias("groups"),
-        )
+    figures = ("total_found", "min_price", "median_price", "max_price")
+    found = price_summary(offers)
+    summary = per_search.select("search_id", ordered_groups.alias("groups")).join(
+        found.select("search_id", F.struct(*figures).alias("summary")), "search_id", "left"
     )
     return searches.join(summary, "search_id", "left").select(
         "search_id",

@@ -9,6 +9,7 @@ from offerloom import rules
 from offerloom.functions.offer import card_page_state
 from offerloom.operators import cards, neardup, selection
 from offerloom.operators.offers import enrich_cards, enrich_tiles, to_offers
+from offerloom.operators.ranking import first_by
 from offerloom.operators.settling import settle
 from offerloom.sources.payloads import payload_offers, read_payload_products
 
@@ -25,9 +26,9 @@ def card_source(pages: DataFrame, details: DataFrame | None = None) -> DataFrame
     """
     states = pages.select("search_id", "page", card_page_state(F.col("html")).alias("state"))
     parsed = cards.article_offers(pages)
-    # one running number over the pages of a search
+    # one running number over the pages of a search: the page above the place on it
     numbered = settle(
-        parsed.withColumn("position", F.col("page") * 100_000 + F.col("position"))
+        parsed.withColumn("position", F.shiftleft(F.col("page").cast("bigint"), 32) + F.col("position"))
     )
     collected = neardup.collect_cards(numbered, states)
     ranked = collected.drop("position").withColumn(
@@ -51,7 +52,8 @@ def broad_source(
     """
     broad = cards.broad_offers(pages)
     if embeddings is not None and queries is not None:
-        vectors = broad.join(embeddings, "title", "left")
+        of_title = first_by(embeddings.select("title", "embedding"), ["title"], [F.col("embedding")])
+        vectors = broad.join(of_title, "title", "left")
         chosen = selection.semantic_top_k(vectors, queries).drop("embedding")
     else:
         chosen = selection.first_n(

@@ -66,8 +66,13 @@ def _grid_urls(candidates: DataFrame, links: DataFrame, pages: int) -> DataFrame
 def _stored(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Stored pages for the wanted URLs, each once."""
     urls = wanted.select(F.col("page_url").alias("_w")).distinct()
-    keyed = valid_pages(pages).select(u.url_key(F.col("url")).alias("url"), "html")
-    return keyed.join(urls, keyed["url"] == urls["_w"], "left_semi")
+    newest = [F.desc_nulls_last("fetched_at")] if "fetched_at" in pages.columns else []
+    keyed = valid_pages(pages).select(
+        u.url_key(F.col("url")).alias("url"), "html", *(["fetched_at"] if newest else [])
+    )
+    found = keyed.join(urls, keyed["url"] == urls["_w"], "left_semi")
+    # crawls of one page, and addresses that differ in their fragment only
+    return first_by(found, ["url"], [*newest, F.xxhash64("html")]).select("url", "html")
 
 
 def _acceptable(offers: DataFrame, needles: DataFrame) -> DataFrame:

@@ -510,7 +510,7 @@ locs as (select 'https://x.ru/sm-' || case when position % 3 = 0 then 'product'
   from part_links),
 own as (select regexp_replace(regexp_extract(loc, '^https?://([^/]*)', 1), '^www[.]', '') as domain, position % 10 as c, position, loc from locs
   where parent like '%product%' and regexp_matches(loc, '(?i){rules.SITEMAP_PRODUCT}')),
-d as (select * from own where domain = 'dns-shop.ru' or domain like 'shop%'
+d as (select * from own
       qualify row_number() over (partition by domain, loc order by c, position) = 1)
 select domain, loc from d qualify row_number() over (partition by domain order by c, position) <= 20""")
 def sitemap_index(spark, sf_dir):
@@ -520,7 +520,7 @@ def sitemap_index(spark, sf_dir):
         "position", F.col("url").alias("loc"), (F.col("position") % 10).alias("child"),
         F.when(F.col("position") % 3 == 0, "product").otherwise("blog").alias("kind"),
         u.host(F.col("url")).alias("domain"),
-    ).where((F.col("domain") == "dns-shop.ru") | F.col("domain").startswith("shop"))
+    )
 
     def child(domain):
         return F.concat(F.lit("https://"), domain, F.lit("/sm-"), "kind", F.col("child").cast("string"), F.lit(".xml"))

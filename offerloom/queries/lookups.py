@@ -50,12 +50,12 @@ def fresh_snapshots(spark, sf_dir):
 l as (select lookup_id, payload, asked_at < written_at + ttl_s * interval 1 second as ok
       from asks join snaps using (key) where kind = 'hit' and asked_at >= written_at
       qualify row_number() over (partition by lookup_id order by written_at desc) = 1),
-j as (select * from l where ok)
-select lookup_id, key, case when payload is not null then 'snapshot'
-    when lookup_id % 3 > 0 then 'live' else 'none' end as origin,
-  case when payload is not null then payload when lookup_id % 3 > 0
-    then 'live' || cast(lookup_id as varchar) end as payload
-from asks left join j using (lookup_id)""")
+j as (select lookup_id, key, payload, coalesce(ok, false) as ok from asks left join l using (lookup_id))
+select lookup_id, key, case when ok then 'snapshot' when lookup_id % 3 > 0 then 'live'
+    when payload is not null then 'stale' else 'none' end as origin,
+  case when ok then payload when lookup_id % 3 > 0 then 'live' || cast(lookup_id as varchar)
+    else payload end as payload
+from j""")
 def served_lookups(spark, sf_dir):
     asks, stored = _snaps(spark, sf_dir)
     live = asks.select(
@@ -156,11 +156,12 @@ def index_upsert(spark, sf_dir):
     return offer_index.upsert(docs, changes).select("id", "title", "last_price")
 
 
-@query("index_delete", f"""with {_DOCS_SQL}
-select id, title from docs where id not in (
-  select cast(o_orderkey as varchar) from orders where o_orderstatus = 'F')""")
+@query("index_delete", """select cast(p_partkey as varchar) as id, p_name as title from part
+where p_partkey not in (select o_orderkey from orders where o_orderstatus = 'F')""")
 def index_delete(spark, sf_dir):
-    docs, _ = _docs(spark, sf_dir)
+    docs = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title")
+    )
     gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
         F.col("o_orderkey").cast("string").alias("id")
     )
@@ -177,8 +178,7 @@ _GRAPH = """links0 as (
 links1 as (select page, link, target, min(ord * 100000 + l_partkey) as ord from links0 group by all),
 links as (select page, link, target, row_number() over (partition by page order by ord, link) as position
           from links1),
-seeds as (select 'p' || cast(c_custkey as varchar) as page, c_custkey as seed_id from customer
-          where c_acctbal > 1000)"""
+seeds as (select 'p' || cast(c_custkey as varchar) as page, c_custkey as seed_id from customer)"""
 
 
 @query("link_harvest", f"""with {_GRAPH},
@@ -221,7 +221,7 @@ def link_harvest(spark, sf_dir):
     links = links.withColumn(
         "position", F.row_number().over(W.partitionBy("page").orderBy("ord", "link"))
     ).drop("ord")
-    seeds = table(spark, sf_dir, "customer").where("c_acctbal > 1000").select(
+    seeds = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("seed_id"), F.concat(F.lit("p"), "c_custkey").alias("url")
     )
     return hv.harvest(seeds, links)

@@ -129,9 +129,9 @@ _D = rules.DIAGNOSIS
     count(*) filter (event_type = 'click' and event_id % 5 = 0) as fetched,
     count(*) filter (event_type = 'purchase' and event_id % 9 = 0) as extracted,
     user_id % 11 = 0 as timed_out, case when user_id % 4 = 0 then 'boom' else '' end as exception,
-    count(*) filter (event_type = 'error' and event_id % 3 = 0) > 0 as any_error,
-    count(*) filter (event_type = 'error' and event_id % 3 = 0 and event_id % 2 = 0) > 0 as search_block,
-    count(*) filter (event_type = 'error' and event_id % 3 = 0 and event_id % 2 = 1) > 0 as transport_error
+    count(*) filter (event_type = 'error') > 0 as any_error,
+    count(*) filter (event_type = 'error' and event_id % 2 = 0) > 0 as search_block,
+    count(*) filter (event_type = 'error' and event_id % 2 = 1) > 0 as transport_error
   from events group by user_id),
 t as (select *, concat_ws('; ', case when search_block then '{_D["detail_blocked"]}' end,
     case when transport_error then '{_D["detail_transport"]}' end,
@@ -155,7 +155,7 @@ def diagnosis(spark, sf_dir):
             "exception": F.when(F.col("search_id") % 4 == 0, "boom").otherwise(""),
         }
     )
-    errors = events.where((kind == "error") & (eid % 3 == 0)).select(
+    errors = events.where(kind == "error").select(
         F.col("user_id").alias("search_id"),
         F.when(eid % 2 == 0, "searxng").otherwise("yahoo").alias("provider"),
         F.when(eid % 2 == 0, "Too many requests").otherwise("SSL_ERROR timeout").alias("error"),

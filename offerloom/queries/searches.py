@@ -18,10 +18,13 @@ k as (select * from order_offers
       qualify row_number() over (partition by search_id, source order by position) <= 15),
 s as (select search_id, count(*) filter (price > 0) as total_found, min(price) filter (price > 0) as min_price,
         cast(floor(median(price) filter (price > 0)) as bigint) as median_price, max(price) filter (price > 0) as max_price
-      from k group by search_id),
+      from order_offers group by search_id),
+a as (select search_id, source, count(*) as n, min(price) as lo,
+        array_to_string(list_sort(list_distinct(list(source_domain))), ',') as ds from order_offers group by search_id, source),
 g as (select search_id, source, case source when 'wildberries' then 0 when 'yandex_market' then 1 when 'other' then 2 else 3 end as ord,
-        count(*) as n, min(price) as lo, string_agg(cast(position as varchar), ',' order by position) as ps,
-        array_to_string(list_sort(list_distinct(list(source_domain))), ',') as ds from k group by search_id, source),
+        any_value(n) as n, any_value(lo) as lo, any_value(ds) as ds,
+        string_agg(cast(position as varchar), ',' order by position) as ps
+      from k join a using (search_id, source) group by search_id, source),
 d as (select search_id, string_agg(source || ':' || n || ':' || lo || ':' || ds || ':complete:' || ps, '|' order by ord) as groups
       from g group by search_id)
 select cast(c_custkey as varchar) as search_id, trim(c_name) as original, 'spb' as region, 'Санкт-Петербург' as region_name,

@@ -177,11 +177,11 @@ _FAMILY = """case when p_size < 10 then 0 when p_size < 30 then 1 else 2 end"""
 
 
 @query("first_nonempty_tier", f"""with t as (
-  select p_brand, p_name, p_partkey, {_FAMILY} as tier from part where p_size > 3)
+  select p_brand, p_name, p_partkey, {_FAMILY} as tier from part)
 select p_brand as search_id, p_name as title, p_partkey as position, tier from t
 qualify tier = min(tier) over (partition by p_brand, p_name)""")
 def first_nonempty_tier(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_size > 3")
+    part = table(spark, sf_dir, "part")
     tiers = part.select(
         F.col("p_brand").alias("search_id"),
         F.col("p_name").alias("title"),
@@ -284,14 +284,12 @@ def merge_first_wins(spark, sf_dir):
     return setops.merge_candidates(links, hits, secure)
 
 
-@query("except_seen", """select c_custkey, c_nationkey, c_mktsegment from customer
-where c_nationkey not in (select s_nationkey from supplier where s_acctbal < 2000)""")
+@query("except_seen", """select p_partkey, p_name, p_brand from part
+where p_partkey not in (select l_suppkey from lineitem)""")
 def except_seen(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    seen = table(spark, sf_dir, "supplier").where("s_acctbal < 2000").select(
-        F.col("s_nationkey").alias("c_nationkey")
-    )
-    return setops.except_seen(customers, seen, ["c_nationkey"])
+    numbers = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("p_partkey"))
+    return setops.except_seen(numbers, seen, ["p_partkey"])
 
 
 @query("merge_by_id", """with u as (

@@ -496,6 +496,9 @@ SPEC_OBJECT = (("name", "key", "title"), ("value", "text"))
 SPEC_LINE = (("name", "key"), ("value", "text"))
 NOT_SPECS = ("description", "title")
 
+# seconds without news after which a stream forgets a key
+STATE_IDLE = 86_400
+
 # embedded states: pattern, whether backslashes are doubled in the page
 STATE_SOURCES = {
     "state": (

@@ -61,6 +61,8 @@ def build_session(
 ) -> SparkSession:
     """Build a session; on a cluster leave ``master`` to spark-submit."""
     builder = SparkSession.builder.appName(app_name)
+    # Rounds of iterative jobs are deleted once nothing refers to them.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

@@ -76,11 +76,11 @@ def expand_sitemap_index(
 
 
 def market_products(
-    locs: DataFrame, limit: int = 5000, categories: Sequence[str] | None = None
+    locs: DataFrame, limit: int | None = None, categories: Sequence[str] | None = None
 ) -> DataFrame:
-    """Marketplace product URLs, first of each numeric id, at most ``limit`` overall.
+    """Marketplace product URLs, first of each numeric id, in no order.
 
-    ``locs``: position, loc.
+    ``locs``: position, loc. ``limit`` keeps the first of all in order of position.
     """
     parsed = locs.select(
         "position", F.col("loc").alias("url"), u.market_product(F.col("loc")).alias("_m")
@@ -91,4 +91,4 @@ def market_products(
     if categories is not None:
         products = products.where(F.col("category").isin(*categories))
     distinct = first_by(products, ["numeric_id"], [F.asc("position")])
-    return distinct.orderBy("position").limit(limit)
+    return distinct if limit is None else distinct.orderBy("position").limit(limit)

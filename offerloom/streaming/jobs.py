@@ -13,13 +13,26 @@ from offerloom.operators.ranking import first_by
 
 
 def read_table_stream(
-    spark: SparkSession, folder: str, name: str, schema, per_trigger: int = 64
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    schema,
+    per_trigger: int = 64,
+    bytes_per_trigger: str | None = None,
 ) -> DataFrame:
-    """Parquet files of one table in a folder as a stream with a bounded batch."""
+    """Parquet files of one table in a folder as a stream with a bounded batch.
+
+    A batch is bounded by files, or by their size if ``bytes_per_trigger`` is given.
+    """
+    bound = (
+        ("maxBytesPerTrigger", bytes_per_trigger)
+        if bytes_per_trigger
+        else ("maxFilesPerTrigger", per_trigger)
+    )
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", per_trigger)
+        .option(*bound)
         .parquet(folder)
     )
 

@@ -27,11 +27,13 @@ def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
 class CircuitState(StatefulProcessor):
     """Holds the time until which a key's circuit is open."""
 
-    def __init__(self, open_s: int = rules.CIRCUIT_OPEN):
+    def __init__(self, open_s: int = rules.CIRCUIT_OPEN, idle_s: int = rules.STATE_IDLE):
         self.open_s = open_s
+        self.idle_ms = max(idle_s, 2 * open_s) * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open_until = handle.getValueState("open_until", "micros bigint")
+        # Long after its last request a key's circuit is closed whatever the state says.
+        self.open_until = handle.getValueState("open_until", "micros bigint", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         frame = _in_order(rows, "micros", "request_id")
@@ -67,21 +69,22 @@ def circuit_state_stream(
         statefulProcessor=CircuitState(open_s),
         outputStructType="request_id bigint, state string",
         outputMode="Append",
-        timeMode="None",
+        timeMode="ProcessingTime",
     )
 
 
 class FastFirst(StatefulProcessor):
     """Buffers a search's first offers and publishes them once."""
 
-    def __init__(self, n: int = rules.FAST_LIMIT):
+    def __init__(self, n: int = rules.FAST_LIMIT, idle_s: int = rules.STATE_IDLE):
         self.n = n
+        self.idle_ms = idle_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.buffer = handle.getListState(
-            "buffer", "micros bigint, seq bigint, offer string, score double"
+            "buffer", "micros bigint, seq bigint, offer string, score double", self.idle_ms
         )
-        self.published = handle.getValueState("published", "done boolean")
+        self.published = handle.getValueState("published", "done boolean", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         frame = _in_order(rows, "micros", "seq")
@@ -139,7 +142,7 @@ def fast_first_stream(arrivals: DataFrame, n: int = rules.FAST_LIMIT) -> DataFra
                 f"search_id {kind}, published_micros bigint, n bigint, offers array<string>"
             ),
             outputMode="Append",
-            timeMode="None",
+            timeMode="ProcessingTime",
         )
         .select(
             "search_id", F.timestamp_micros("published_micros").alias("published_at"), "n", "offers"
