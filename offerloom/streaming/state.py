@@ -32,14 +32,14 @@ class CircuitState(StatefulProcessor):
         self.idle_ms = max(idle_s, 2 * open_s) * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # Long after its last request a key's circuit is closed whatever the state says.
-        self.open_until = handle.getValueState("open_until", "micros bigint", self.idle_ms)
+        self.handle = handle
+        self.open_until = handle.getValueState("open_until", "micros bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         frame = _in_order(rows, "micros", "request_id")
         held = self.open_until.get() if self.open_until.exists() else None
         until = held[0] if held else -(2**62)
-        states = []
+        states, before = [], until
         for at, trips in zip(frame["micros"], frame["trips"]):
             if at < until:
                 states.append("refused")
@@ -48,19 +48,35 @@ class CircuitState(StatefulProcessor):
                 states.append("trips")
             else:
                 states.append("passes")
-        self.open_until.update((int(until),))
+        # Only keys that have been opened are remembered, and not for ever.
+        if until != before:
+            self.open_until.update((int(until),))
+            self.handle.registerTimer(until // 1000 + self.idle_ms)
         yield pd.DataFrame({"request_id": frame["request_id"], "state": states})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if self.open_until.exists() and self.open_until.get()[0] // 1000 + self.idle_ms <= due:
+            self.open_until.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
 def circuit_state_stream(
-    requests: DataFrame, key: str = "user_id", open_s: int = rules.CIRCUIT_OPEN
+    requests: DataFrame,
+    key: str = "user_id",
+    open_s: int = rules.CIRCUIT_OPEN,
+    delay: str = "10 minutes",
 ) -> DataFrame:
-    """Request stream with ``trips``, ``refused`` or ``passes`` for every request."""
-    slim = requests.select(
+    """Request stream with ``trips``, ``refused`` or ``passes`` for every request.
+
+    A key's state expires by event time, a day after its circuit has closed.
+    """
+    slim = requests.withWatermark("ts", delay).select(
         key,
+        "ts",
         "request_id",
         F.unix_micros("ts").alias("micros"),
         F.col("status").isin(*rules.TRIP_STATUSES).alias("trips"),
@@ -69,7 +85,7 @@ def circuit_state_stream(
         statefulProcessor=CircuitState(open_s),
         outputStructType="request_id bigint, state string",
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="EventTime",
     )
 
 
@@ -82,15 +98,18 @@ class FastFirst(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.buffer = handle.getListState(
-            "buffer", "micros bigint, seq bigint, offer string, score double", self.idle_ms
+            "buffer", "micros bigint, seq bigint, offer string, score double"
         )
-        self.published = handle.getValueState("published", "done boolean", self.idle_ms)
+        self.published = handle.getValueState("published", "done boolean")
+        self.handle = handle
 
     def handleInputRows(self, key, rows, timerValues):
         frame = _in_order(rows, "micros", "seq")
         if self.published.exists():
             return
         held = list(self.buffer.get()) if self.buffer.exists() else []
+        if not held:
+            self.handle.registerTimer(int(frame["micros"].iloc[0]) // 1000 + self.idle_ms)
         offers = frame[frame["offer"].notna()]
         taken = offers.head(self.n - len(held))
         held += list(
@@ -115,20 +134,29 @@ class FastFirst(StatefulProcessor):
         else:
             self.buffer.put([tuple(o) for o in held])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.buffer.clear()
+        self.published.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def fast_first_stream(arrivals: DataFrame, n: int = rules.FAST_LIMIT) -> DataFrame:
+def fast_first_stream(
+    arrivals: DataFrame, n: int = rules.FAST_LIMIT, delay: str = "10 minutes"
+) -> DataFrame:
     """First ``n`` offers of each search as soon as they are there, or at its end.
 
     ``arrivals``: search_id, arrived_at, seq, offer (NULL on a pure end marker),
-    relevance_score, ended.
+    relevance_score, ended. A search is forgotten a day after its first arrival.
     """
     kind = dict(arrivals.dtypes)["search_id"]
-    slim = arrivals.select(
+    timed = arrivals.withColumn("arrived_at", F.col("arrived_at").cast("timestamp"))
+    slim = timed.withWatermark("arrived_at", delay).select(
         "search_id",
-        F.unix_micros(F.col("arrived_at").cast("timestamp")).alias("micros"),
+        "arrived_at",
+        F.unix_micros("arrived_at").alias("micros"),
         "seq",
         "offer",
         F.col("relevance_score").alias("score"),
@@ -142,7 +170,7 @@ def fast_first_stream(arrivals: DataFrame, n: int = rules.FAST_LIMIT) -> DataFra
                 f"search_id {kind}, published_micros bigint, n bigint, offers array<string>"
             ),
             outputMode="Append",
-            timeMode="ProcessingTime",
+            timeMode="EventTime",
         )
         .select(
             "search_id", F.timestamp_micros("published_micros").alias("published_at"), "n", "offers"
