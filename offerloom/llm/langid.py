@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from offerloom.llm.store import modest_batches
+
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 #: Characters scored at once, and words per chunk of the Viterbi pass.
@@ -158,6 +160,7 @@ def fit(labelled: DataFrame, sample_per_lang: int = 5_000, penalty: float = 12.0
     The rows are those whose text hashes smallest. ``penalty`` is what a change of language costs
     in units of log probability. The number of languages bounds what comes to the driver.
     """
+    modest_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", F.xxhash64("text").alias("_h")
     )

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.store import Workspace
+from offerloom.llm.store import Workspace, modest_batches
 
 SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -228,6 +228,7 @@ def pack(
     """
     kept = digest or {"ids": F.col("ids")}
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+    modest_batches(docs.sparkSession)
     space = Workspace(docs.sparkSession, "pack")
 
     def written(pieces: DataFrame, level: int) -> DataFrame:

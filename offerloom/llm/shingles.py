@@ -8,7 +8,7 @@ import xxhash
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Word hashes remembered by a task.
-_MOST_WORDS = 300_000
+_MOST_WORDS = 100_000
 
 
 class _Hashes(dict):

@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "_offerloom_llm"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that hold whole texts and go to Python together.
+BATCH_ROWS = 512
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,6 +25,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small: a batch of whole texts is held several times over."""
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 class Workspace:
     """A job's own folder below the shared one."""
 

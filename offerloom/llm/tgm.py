@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from offerloom.llm.components import components
 from offerloom.llm.shingles import bitmap, fold, most_shared, overlap, shingle_set
 from offerloom.llm.skew import spread_join
-from offerloom.llm.store import Workspace
+from offerloom.llm.store import Workspace, modest_batches
 from offerloom.llm.text import boxed, unboxed
 
 #: Counters of the token sketch, and the parts it is summed in. Its size does not grow.
@@ -276,6 +276,7 @@ class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int) -> None:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.k, self.percent = k, percent
+        modest_batches(docs.sparkSession)
         self.space = Workspace(docs.sparkSession, "tgm")
 
     def _similar_size(self, a: str, b: str) -> Column:
