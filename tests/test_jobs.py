@@ -348,8 +348,8 @@ def test_search_responses(spark, tmp_path):
     assert (s["query"]["corrected"], s["query"]["region_name"]) == ("ноутбук", "Санкт-Петербург")
     assert [g["source"] for g in s["groups"]] == ["other", "ozon"]
     assert [g["status"] for g in s["groups"]] == ["complete", "error"]
-    assert s["groups"][0]["count"] == 15 and len(s["groups"][0]["products"]) == 15
-    assert s["summary"]["total_found"] == 14 and s["summary"]["median_price"] == 7
+    assert s["groups"][0]["count"] == 24 and len(s["groups"][0]["products"]) == 15
+    assert s["summary"]["total_found"] == 23 and s["summary"]["median_price"] == 7
     assert docs["t"]["groups"] == [] and docs["t"]["query"]["region"] == "moscow"
     summaries.write_responses(spark.createDataFrame([("x",)], "v string"), str(tmp_path / "docs"))
 
