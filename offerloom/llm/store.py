@@ -39,6 +39,8 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{_FOLDER}/{job}-{uuid.uuid4().hex}"
         path = self._path(self.root)
+        # Only a folder that is there can be marked for deletion.
+        self._fs().mkdirs(path)
         self._fs().deleteOnExit(path)
 
     def _path(self, name: str):
