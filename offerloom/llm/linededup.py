@@ -42,6 +42,9 @@ class LineRuns:
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for _, run in level]
 
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name, _ in level]
+
     def admit(self, firsts: DataFrame) -> None:
         """Merge-anti-join a batch's first holders with every run and add the rest as a run."""
         self._compact()
@@ -120,6 +123,8 @@ def repeated_lines(
     repeats = space.keep(
         lines.drop("_batch").join(entries, ["_h1", "_h2", "_id"], "left_anti"), "repeats"
     )
+    for name in ("lines", *runs.names()):
+        space.drop(name)
     held = repeats.groupBy("_h1", "_h2").agg(
         F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.count("*").alias("_n")
     )

@@ -39,6 +39,12 @@ FILTER_LOG = 24
 FILTER_BITS = 1 << FILTER_LOG
 #: A group's bitmap is made of the members of one part, so many on average.
 GROUP_PART = 256
+#: Tables that nothing reads once all links are known.
+_PASSING = (
+    *("shared", "posts", "live", "grouped", "sizes", "members", "placed", "mixed", "rows"),
+    *("pairs", "matrix"),
+    *(f"{step}-{name}" for step in ("stars", "opened") for name in ("possible", "wanted", "sets")),
+)
 _MASK = np.uint64(SKETCH - 1)
 _NO_ID = 2**63 - 1
 
@@ -370,6 +376,8 @@ class _Join:
         members = self._members(classes_asked, linked, first)
         opened = self._open_groups(posts, members, classes_asked)
         final = components(linked.union(opened), self.space, "final")
+        for name in _PASSING:
+            self.space.drop(name)
         return self._result(marks, classes, final)
 
     def _group_links(self, posts: DataFrame, classes: DataFrame) -> DataFrame:
