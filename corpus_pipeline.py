@@ -62,9 +62,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences instead of documents."""
+    """Pieces of training sequences with their token ids, and a checksum of these."""
     ship(spark)
-    return packing.pack(docs, tokenizer_path(), digest={"ids_crc32": F.crc32("ids")})
+    return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES: list[tuple[str, Stage]] = [

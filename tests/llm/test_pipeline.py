@@ -1,5 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
+import struct
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -77,6 +79,23 @@ def test_stages(spark, tmp_path):
     assert got == want
 
 
+def test_packed_ids_are_the_tokens_of_the_documents(spark, tmp_path):
+    texts = [r[1] or "" for r in corpus()] + ["long text " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()
+    assert len({(r.sequence_id, r.offset) for r in out}) == len(out)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(found[r.doc_id])
+        ids = struct.unpack(f"<{r.length}I", r.ids)
+        assert zlib.crc32(r.ids) == r.ids_crc32
+        found[r.doc_id] += ids
+    assert found == {
+        i: [*tokenizer.encode(text, add_special_tokens=False).ids, 1] for i, text in enumerate(texts)
+    }
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
