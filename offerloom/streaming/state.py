@@ -68,11 +68,12 @@ def circuit_state_stream(
     requests: DataFrame,
     key: str = "user_id",
     open_s: int = rules.CIRCUIT_OPEN,
-    delay: str = "10 minutes",
+    delay: str = rules.STATE_DELAY,
 ) -> DataFrame:
     """Request stream with ``trips``, ``refused`` or ``passes`` for every request.
 
-    A key's state expires by event time, a day after its circuit has closed.
+    A key's state expires by event time, a day and ``delay`` after its circuit has closed. Requests
+    more than ``delay`` behind the newest one are dropped.
     """
     slim = requests.withWatermark("ts", delay).select(
         key,
@@ -144,12 +145,13 @@ class FastFirst(StatefulProcessor):
 
 
 def fast_first_stream(
-    arrivals: DataFrame, n: int = rules.FAST_LIMIT, delay: str = "10 minutes"
+    arrivals: DataFrame, n: int = rules.FAST_LIMIT, delay: str = rules.STATE_DELAY
 ) -> DataFrame:
     """First ``n`` offers of each search as soon as they are there, or at its end.
 
     ``arrivals``: search_id, arrived_at, seq, offer (NULL on a pure end marker),
-    relevance_score, ended. A search is forgotten a day after its first arrival.
+    relevance_score, ended. A search is forgotten a day and ``delay`` after its first arrival by event
+    time. Arrivals more than ``delay`` behind the newest one are dropped.
     """
     kind = dict(arrivals.dtypes)["search_id"]
     timed = arrivals.withColumn("arrived_at", F.col("arrived_at").cast("timestamp"))

@@ -1,5 +1,6 @@
 """Jobs: exactness on hot keys, order independence, upkeep, streams."""
 
+import os
 import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
@@ -297,6 +298,35 @@ def test_fast_first_publishes_once(spark, tmp_path):
     assert got == {"a": ["o4", "o3", "o2", "o1", "o0"], "b": ["x"]}
 
 
+def _one_file_batches(spark, folder, batches, schema):
+    """A stream of one micro-batch for each list of rows."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/f{k}")
+        for f in (folder / f"f{k}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + 10 * k,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    return stream.option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def test_keyed_streams_keep_late_rows(spark, tmp_path):
+    days = [5, 400, 0, 200]  # of the micro-batches: the third and fourth are far behind the second
+    stream = _one_file_batches(
+        spark, tmp_path / "requests",
+        [[(10 * k + i, T0 + timedelta(days=d, seconds=i), f"u{k}", 429) for i in range(2)] for k, d in enumerate(days)],
+        "request_id bigint, ts timestamp, user_id string, status int")
+    jobs.drain_to(state.circuit_state_stream(stream), str(tmp_path / "c"), str(tmp_path / "ccp")).awaitTermination()
+    got = {r["request_id"]: r["state"] for r in spark.read.parquet(str(tmp_path / "c")).collect()}
+    assert got == {10 * k + i: ("trips", "refused")[i] for k in range(4) for i in range(2)}
+    # "held" has an offer in each batch and is published with the last
+    arrivals = _one_file_batches(
+        spark, tmp_path / "arrivals",
+        [[(f"s{k}", T0 + timedelta(days=d), k, f"o{k}", 1.0, True), ("held", T0 + timedelta(days=d), k, f"h{k}", float(k), k == 3)] for k, d in enumerate(days)],
+        "search_id string, arrived_at timestamp, seq bigint, offer string, relevance_score double, ended boolean")
+    jobs.drain_to(state.fast_first_stream(arrivals), str(tmp_path / "f"), str(tmp_path / "fcp")).awaitTermination()
+    found = {r["search_id"]: r["offers"] for r in spark.read.parquet(str(tmp_path / "f")).collect()}
+    assert found == {f"s{k}": [f"o{k}"] for k in range(4)} | {"held": ["h3", "h2", "h1", "h0"]}
+
+
 def test_plan_limits_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as search_id", "id as position", "'a' as source")
     plan = selection.first_n(df, 5)._jdf.queryExecution().executedPlan().toString()
