@@ -11,7 +11,10 @@ from offerloom.queries.registry import query, table
 from offerloom.queries.urls import CLASSIFIED_SQL
 from offerloom.sources import serp, sitemaps
 
-_RUB = F.floor("p_retailprice").cast("string")
+def _rub():
+    return F.floor("p_retailprice").cast("string")
+
+
 _RUB_SQL = "cast(floor(p_retailprice) as bigint)"
 
 
@@ -113,12 +116,12 @@ def page_meta_tags(spark, sf_dir):
             F.lit('<meta content="'), "p_type", F.lit('" property="og:description">'),
             F.lit('<meta property="product:price:currency" content="RUB">'),
             F.lit('<meta property="og:image" content="/i/'), "p_partkey", F.lit('.png">'),
-            F.lit('<meta property="product:price:amount" content="'), _RUB, F.lit('.00">')))
+            F.lit('<meta property="product:price:amount" content="'), _rub(), F.lit('.00">')))
         .otherwise(F.concat(F.lit('<meta name="description" content="'), "p_type", F.lit('">'))),
         F.when(size == 1, F.concat(F.lit('<link rel="image_src" href="/i/'), "p_partkey", F.lit('.png">'))).otherwise(""),
         F.lit("</head><body><h1><b>"), "p_name", F.lit("</b></h1>"),
         F.when(size == 2, F.concat(F.lit('<img class=a src="/i/'), "p_partkey", F.lit('.png">'))).otherwise(""),
-        F.lit("<p>"), _RUB, F.lit(" ₽</p></body></html>"),
+        F.lit("<p>"), _rub(), F.lit(" ₽</p></body></html>"),
     )
     pages = _part(spark, sf_dir).select(
         "p_partkey", F.concat(F.lit("https://a.ru/"), "p_partkey").alias("url"), html.alias("html")
@@ -141,15 +144,15 @@ def extract_offers(spark, sf_dir):
     ld = F.to_json(
         F.struct(
             F.lit("Product").alias("@type"), F.col("p_name").alias("name"),
-            F.struct(_RUB.alias("price")).alias("offers"),
+            F.struct(_rub().alias("price")).alias("offers"),
         )
     )
     og = F.concat(F.lit('<meta property="og:title" content="'), "p_name", F.lit('">'))
     html = (
         F.when(size.isin(0, 4), F.concat(F.lit(_OPEN), ld, F.lit("</script><title>x</title>")))
-        .when(size == 1, F.concat(og, F.lit('<meta property="og:image" content="/i/1.png"><meta property="product:price:amount" content="'), _RUB, F.lit('">')))
-        .when(size == 2, F.concat(og, F.lit('<i itemprop="price" content="'), _RUB, F.lit('"></i>')))
-        .otherwise(F.concat(og, F.lit('<img alt="x" data-src="/lazy.png"><img src="/b.png"><b>'), _RUB, F.lit(" руб.</b>")))
+        .when(size == 1, F.concat(og, F.lit('<meta property="og:image" content="/i/1.png"><meta property="product:price:amount" content="'), _rub(), F.lit('">')))
+        .when(size == 2, F.concat(og, F.lit('<i itemprop="price" content="'), _rub(), F.lit('"></i>')))
+        .otherwise(F.concat(og, F.lit('<img alt="x" data-src="/lazy.png"><img src="/b.png"><b>'), _rub(), F.lit(" руб.</b>")))
     )
     pages = _part(spark, sf_dir).select(
         "p_partkey",
@@ -189,19 +192,19 @@ def _cards_html():
     kind = F.expr("(p_partkey div 8) % 5")
     generic = F.concat(
         F.lit('<div class="box"><a href="/product/'), key, F.lit('/#r"><img src="/i.png"></a><a href="/product/'),
-        key, F.lit('/">'), name, F.lit(" item</a><span>1 ₽</span><b>"), _RUB, F.lit(" ₽</b></div>"))
+        key, F.lit('/">'), name, F.lit(" item</a><span>1 ₽</span><b>"), _rub(), F.lit(" ₽</b></div>"))
     dns = F.concat(
         F.lit('<div class="catalog-product ui"><a class="catalog-product__name" href="/product/'), key,
-        F.lit('/">'), name, F.lit(' item</a><div class="catalog-product__price">'), _RUB, F.lit(" ₽</div><img data-src='/i.png'></div>"))
+        F.lit('/">'), name, F.lit(' item</a><div class="catalog-product__price">'), _rub(), F.lit(" ₽</div><img data-src='/i.png'></div>"))
     city = F.concat(
         F.lit('<article class="catalog-item"><a href="/catalog/detail/'), key, F.lit('/"><img src="/i.png"></a><p class="name">'),
-        name, F.lit(' item</p><span class="price-above-button">'), _RUB, F.lit("</span></article>"))
+        name, F.lit(' item</p><span class="price-above-button">'), _rub(), F.lit("</span></article>"))
     citi = F.concat(
         F.lit('<div data-meta-name="SnippetProductVerticalLayout"><a href="/product/'), key, F.lit('/" title="'),
-        name, F.lit(' item">x</a><span data-meta-price="1" data-price="'), _RUB, F.lit('"></span><img src="/i.png"></div>'))
+        name, F.lit(' item">x</a><span data-meta-price="1" data-price="'), _rub(), F.lit('"></span><img src="/i.png"></div>'))
     e2e4 = F.concat(
         F.lit('<div><div><a href="/catalog/item/'), key, F.lit('/">'), name,
-        F.lit(' item</a></div><div class="price-block">'), _RUB, F.lit(' ₽</div><img src="/i.png"></div>'))
+        F.lit(' item</a></div><div class="price-block">'), _rub(), F.lit(' ₽</div><img src="/i.png"></div>'))
     return F.when(kind == 0, generic).when(kind == 1, dns).when(kind == 2, city).when(kind == 3, citi).otherwise(e2e4)
 
 
@@ -233,13 +236,13 @@ from k""")
 def listing_products(spark, sf_dir):
     key, name = F.col("p_partkey"), F.col("p_name")
     card = F.concat(
-        F.lit('<div><a href="https://a.ru/product/'), key, F.lit('">'), name, F.lit(" item</a><b>"), _RUB,
+        F.lit('<div><a href="https://a.ru/product/'), key, F.lit('">'), name, F.lit(" item</a><b>"), _rub(),
         F.lit(" ₽</b></div>"))
     pages = _grid_pages(spark, sf_dir, card, "a.ru")
     product = F.struct(
         F.lit("Product").alias("@type"), F.concat_ws(" ", name, key.cast("string")).alias("name"),
         F.concat(F.lit("https://a.ru/product/"), key).alias("url"),
-        F.struct(_RUB.alias("price")).alias("offers"),
+        F.struct(_rub().alias("price")).alias("offers"),
     )
     data = (
         _part(spark, sf_dir).where("p_partkey % 8 < 5")
@@ -265,7 +268,7 @@ def broad_offers(spark, sf_dir):
     tile = F.concat(
         F.lit('<div class="tile-root"><a class="tile-hover-target" href="/product/'), key,
         F.lit('/?at=1"><span class="tsBody500Medium">'), name, F.lit(' item</span></a><span class="tsHead500Medium">'),
-        _RUB, F.lit(' ₽</span><span>4.8</span><img src="https://i.ru/1.jpg"></div>'))
+        _rub(), F.lit(' ₽</span><span>4.8</span><img src="https://i.ru/1.jpg"></div>'))
     tiles = _grid_pages(spark, sf_dir, tile, "www.ozon.ru").withColumn(
         "html",
         F.concat(
@@ -276,7 +279,7 @@ def broad_offers(spark, sf_dir):
     item = F.struct(
         F.concat(F.lit("/product/"), key, F.lit("/?x=1")).alias("link"),
         F.concat(name, F.lit(" item")).alias("title"),
-        F.concat(_RUB, F.lit(" ₽")).alias("price"),
+        F.concat(_rub(), F.lit(" ₽")).alias("price"),
     )
     grid = F.struct(F.lit("searchResultsV2").alias("component"), F.col("items"))
     noise = F.struct(F.lit("skuShelf.recommendation").alias("component"), F.col("items"))
@@ -313,7 +316,7 @@ def article_offers(spark, sf_dir):
     key, name = F.col("p_partkey"), F.col("p_name")
     card = F.concat(
         F.lit('<article><h3 data-auto="snippet-title" title="'), name, F.lit(',&nbsp;чёрный">t</h3><span data-auto="snippet-price-current">'),
-        _RUB, F.lit(' ₽</span><a href="/card/'), key, F.lit('">l</a><img src="https://i.ru/1.jpg"><div data-auto="reviews">4.8('),
+        _rub(), F.lit(' ₽</span><a href="/card/'), key, F.lit('">l</a><img src="https://i.ru/1.jpg"><div data-auto="reviews">4.8('),
         F.col("p_size"), F.lit(") · "), key, F.lit(' купили</div><div data-auto="delivery-wrapper">завтра,\n бесплатно</div></article>'))
     pages = _grid_pages(spark, sf_dir, card, "market.yandex.ru")
     found = cards.article_offers(pages)
@@ -478,7 +481,7 @@ def build_index(spark, sf_dir):
     ld = F.to_json(
         F.struct(
             F.lit("Product").alias("@type"), F.col("p_name").alias("name"),
-            F.struct(_RUB.alias("price")).alias("offers"),
+            F.struct(_rub().alias("price")).alias("offers"),
         )
     )
     pages = part.select(url.alias("url"), F.concat(F.lit(_OPEN), ld, F.lit(_CLOSE)).alias("html"))
@@ -538,7 +541,7 @@ def page_meta_offers(spark, sf_dir):
 
     html = F.concat(
         F.lit('<meta property="og:title" content="'), "p_name", F.lit('">'),
-        F.when(F.col("p_size") % 3 > 0, F.concat(F.lit('<meta property="product:price:amount" content="'), _RUB, F.lit('">'))).otherwise(""),
+        F.when(F.col("p_size") % 3 > 0, F.concat(F.lit('<meta property="product:price:amount" content="'), _rub(), F.lit('">'))).otherwise(""),
     )
     pages = _part(spark, sf_dir).select(
         F.lit("s").alias("search_id"), F.col("p_partkey").alias("position"),
