@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm import (
     chat,
+    collocations,
     crosspolytope,
     langid,
     licenses,
@@ -308,3 +309,46 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("found", F.lit(0)).alias("found"),
         "state",
     )
+
+
+_PHRASES_SQL = rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), totals AS (
+  SELECT lang, sum(len(ws))::HUGEINT AS n FROM pieces GROUP BY lang
+), counts AS (
+  SELECT lang, m, phrase, count(*) AS a FROM (
+    SELECT lang, m, unnest([array_to_string(ws[i:i + m - 1], ' ') for i in range(1, len(ws) - m + 2)])
+      AS phrase FROM pieces, (SELECT unnest(range(1, 6)) AS m))
+  GROUP BY lang, m, phrase HAVING count(*) >= 100
+), candidates AS (
+  SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM counts WHERE m > 1
+), inner_parts AS (
+  SELECT c.lang, array_to_string(c.ws[i:i + k - 1], ' ') AS phrase, max(c.a) AS longer
+  FROM candidates c, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 5)) AS k)
+  WHERE k < c.m AND i + k - 1 <= c.m GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN inner_parts p USING (lang, phrase)
+  WHERE p.longer IS NULL OR 100 * p.longer < 100 * c.a
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, n,
+    (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM kept c, (SELECT unnest(range(1, 5)) AS k), counts l, counts r, totals t
+  WHERE k < c.m AND t.lang = c.lang
+    AND l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
+    AND r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:c.m], ' ')
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM weakest QUALIFY rank <= 2000
+"""
+
+
+@_register("op12_collocations", _PHRASES_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
