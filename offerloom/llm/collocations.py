@@ -8,11 +8,12 @@ that holds one can be frequent.
 Suffixes are routed by their first two words. A route's suffixes are sorted by a three-way quicksort
 of pointers that looks at one word at a time: the pointers equal to the pivot go on to the next
 word, and their number is the count of the phrase read so far. Partitions with fewer than ``least``
-occurrences are abandoned. A route with more suffixes than ``UNEVEN`` times the mean is not sorted:
-the counts of its leading words are summed and its suffixes are routed again by one more word, up to
-``max_words`` of them, so that no phrase, however common its beginning, is one task's work.
-Equal suffixes of a task are combined before they are routed. Between tasks they travel as blocks of
-word numbers with the words' 64-bit hashes, which are seeded by the language.
+occurrences are abandoned. The routes' sizes are counted together with the words. Where a route
+would get more than ``UNEVEN`` times the mean, only the beginnings of its suffixes, which are few,
+are counted there, and the suffixes are routed by one more word, up to ``max_words`` of them, so
+that no phrase, however common its beginning, is one task's work. Equal suffixes of a task are
+combined before they are routed. Between tasks they travel as sorted and compressed blocks of word
+numbers with the words' 64-bit hashes, which are seeded by the language.
 
 The table of frequent words is turned into a bitmap of at most ``MOST_BITS`` bits, which tasks use to
 end suffixes; where it says yes wrongly, a suffix is longer than need be and the sort abandons it.
@@ -42,25 +43,20 @@ _PLAIN = bytes.maketrans(_UPPER + BREAKS, _UPPER.lower() + b"\n" * len(BREAKS))
 #: Stands for the end of a piece among words; no byte of UTF-8.
 _BREAK = b"\xff"
 #: Word positions held by a task before it hands on what it has, and words it numbers at most.
-TASK_TOKENS, TASK_WORDS = 1_500_000, 1_000_000
-#: Suffixes that a route has on average at most, and the multiple of the mean that it may have.
-ROUTE_SUFFIXES, UNEVEN, LEAST_UNEVEN = 500_000, 4, 20_000
+TASK_TOKENS, TASK_WORDS = 2_500_000, 1_000_000
+#: Bytes of text behind a route on average, and the multiple of the mean that a route may get.
+ROUTE_BYTES, UNEVEN, LEAST_UNEVEN = 6_000_000, 4, 20_000
 #: Size of the bitmap of frequent words: so many bits a word, within these limits.
 BITS_A_WORD, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 _NONE = 0
 
-_DEALT = "route long, n long, words binary, suffixes binary, weights binary, phrase array<long>, a long"
+_DEALT = "route long, n long, words binary, suffixes binary, weights binary"
 _DEALT_ARROW = pa.schema(
-    [
-        ("route", pa.int64()),
-        ("n", pa.int64()),
-        ("words", pa.binary()),
-        ("suffixes", pa.binary()),
-        ("weights", pa.binary()),
-        ("phrase", pa.list_(pa.int64())),
-        ("a", pa.int64()),
-    ]
+    [("route", pa.int64()), ("n", pa.int64())]
+    + [(c, pa.binary()) for c in ("words", "suffixes", "weights")]
 )
+#: A route's name is the number of words it is known by and its place among those.
+_DEPTH = 1 << 32
 _SORTED = "phrase array<long>, a long"
 _SORTED_ARROW = pa.schema([("phrase", pa.list_(pa.int64())), ("a", pa.int64())])
 
@@ -128,34 +124,47 @@ class Reader:
         yield from self.stretch(last=True)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("lang", pa.string()), ("word", pa.binary()), ("h", pa.int64()), ("n", pa.int64())]
-    )
-    for numbers, hashes, words in Reader().read(batches):
-        counts = np.bincount(numbers, minlength=len(words))[1:]
-        langs = pa.array([lang for lang, _ in words[1:]], pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [
-                langs,
-                pa.array([word for _, word in words[1:]], pa.binary()),
-                pa.array(hashes[1:].view(np.int64)),
-                pa.array(counts),
-            ],
-            schema=schema,
-        )
-        # The words of a language altogether, under no word.
-        sums = pa.table({"lang": langs, "n": counts}).group_by("lang").aggregate([("n", "sum")])
-        none = pa.nulls(len(sums))
-        yield pa.RecordBatch.from_arrays(
-            [
-                sums["lang"].combine_chunks(),
-                none.cast(pa.binary()),
-                none.cast(pa.int64()),
-                sums["n_sum"].combine_chunks(),
-            ],
-            schema=schema,
-        )
+_COUNTED = "lang string, word binary, h long, n long"
+_COUNTED_ARROW = pa.schema(
+    [("lang", pa.string()), ("word", pa.binary()), ("h", pa.int64()), ("n", pa.int64())]
+)
+
+
+def _counted(lang: pa.Array, word: list | None, h: np.ndarray | None, n: np.ndarray | pa.Array):
+    size = len(n)
+    columns = [
+        pa.nulls(size, pa.string()) if lang is None else lang,
+        pa.nulls(size, pa.binary()) if word is None else pa.array(word, pa.binary()),
+        pa.nulls(size, pa.int64()) if h is None else pa.array(h, pa.int64()),
+        pa.array(n, pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_COUNTED_ARROW)
+
+
+def _count_words(max_words: int, routes: int) -> Callable:
+    """Words with their counts; under no word, the words of a language altogether; under no
+    language, how many suffixes each route would get."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for numbers, hashes, words in Reader().read(batches):
+            counts = np.bincount(numbers, minlength=len(words))[1:]
+            langs = pa.array([lang for lang, _ in words[1:]], pa.string())
+            yield _counted(langs, [word for _, word in words[1:]], hashes[1:].view(np.int64), counts)
+            sums = pa.table({"lang": langs, "n": counts}).group_by("lang").aggregate([("n", "sum")])
+            yield _counted(
+                sums["lang"].combine_chunks(), None, None, sums["n_sum"].combine_chunks()
+            )
+            columns = _suffixes(numbers, max_words)
+            mixed = _mixed([hashes[c] for c in columns[:2]])
+            for depth in range(2, max_words):
+                sizes = np.bincount((mixed % np.uint64(routes)).astype(np.int64), minlength=routes)
+                at = np.flatnonzero(sizes)
+                yield _counted(None, None, depth * _DEPTH + at, sizes[at])
+                longer = columns[depth] != _NONE
+                columns = [c[longer] for c in columns]
+                mixed = _mixed([hashes[columns[depth]]], mixed[longer])
+
+    return run
 
 
 def _bitmap(words: DataFrame) -> np.ndarray:
@@ -189,9 +198,10 @@ def _is_frequent(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
 # --- routing ----------------------------------------------------------------------------------
 
 
-def _mixed(columns: list[np.ndarray]) -> np.ndarray:
-    """A hash of each row of the columns."""
-    out = np.full(len(columns[0]), 0x9E3779B97F4A7C15, dtype=np.uint64)
+def _mixed(columns: list[np.ndarray], out: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each row of the columns, or of the columns after those hashed already."""
+    if out is None:
+        out = np.full(len(columns[0]), 0x9E3779B97F4A7C15, dtype=np.uint64)
     for c in columns:
         out = (out ^ c) * np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(29)
@@ -200,114 +210,113 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _suffixes(numbers: np.ndarray, max_words: int) -> list[np.ndarray]:
+    """The words of all suffixes of two words or more by place; 0 ends a suffix."""
+    n = len(numbers)
+    padded = np.concatenate([numbers, np.zeros(max_words, dtype=numbers.dtype)])
+    at = np.flatnonzero((padded[:n] != _NONE) & (padded[1 : n + 1] != _NONE))
+    columns = [padded[at], padded[at + 1]]
+    for k in range(2, max_words):
+        columns.append(np.where(columns[-1] != _NONE, padded[at + k], _NONE))
+    return columns
+
+
 def _combined(
-    columns: list[np.ndarray], weights: np.ndarray, hashes: np.ndarray
+    columns: list[np.ndarray], weights: np.ndarray
 ) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal suffixes as one with the sum of their weights."""
+    """Suffixes in order of their words' numbers, equal ones as one with the sum of weights."""
     if not len(weights):
         return columns, weights
-    _, first, which = np.unique(
-        _mixed([hashes[c] for c in columns]), return_index=True, return_inverse=True
-    )
-    sums = np.bincount(which, weights=weights, minlength=len(first)).astype(np.int64)
-    return [c[first] for c in columns], sums
+    bits = max(1, int(max(c.max() for c in columns)).bit_length())
+    together = max(1, 63 // bits)
+    keys = []
+    for k in range(0, len(columns), together):
+        key = np.zeros(len(weights), dtype=np.int64)
+        for c in columns[k : k + together]:
+            key = (key << bits) | c
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[0] = True
+    for key in keys:
+        held = key[order]
+        new[1:] |= held[1:] != held[:-1]
+    first = np.flatnonzero(new)
+    at = order[first]
+    return [c[at] for c in columns], np.add.reduceat(weights[order], first)
 
 
 def _blocks(
-    columns: list[np.ndarray],
-    weights: np.ndarray,
-    hashes: np.ndarray,
-    leading: int,
-    routes: int,
+    columns: list[np.ndarray], weights: np.ndarray, hashes: np.ndarray, route: np.ndarray
 ) -> Iterator[dict]:
     """The suffixes of each route as one block with the words it needs."""
-    if not len(weights):
-        return
-    route = (_mixed([hashes[c] for c in columns[:leading]]) % np.uint64(routes)).astype(np.int64)
     order = np.argsort(route, kind="stable")
     route = route[order]
-    ends = [*(np.flatnonzero(np.diff(route)) + 1), len(route)]
     begin = 0
-    for end in ends:
+    for end in [*(np.flatnonzero(np.diff(route)) + 1), len(route)] if len(route) else []:
         at = order[begin:end]
-        used, numbers = np.unique(np.concatenate([c[at] for c in columns]), return_inverse=True)
-        # Number 0 stays "no word".
-        if used[0] != _NONE:
-            used, numbers = np.concatenate([[_NONE], used]), numbers + 1
+        used, numbers = np.unique(
+            np.concatenate([[_NONE], *[c[at] for c in columns]]), return_inverse=True
+        )
         kind = np.uint16 if len(used) < 1 << 16 else np.uint32
         yield {
             "route": int(route[begin]),
-            "n": end - begin,
+            "n": len(at),
             "words": hashes[used].tobytes(),
-            "suffixes": numbers.astype(kind).tobytes(),
-            "weights": weights[at].astype(np.int64).tobytes(),
-            "phrase": None,
-            "a": None,
+            "suffixes": pa.compress(numbers[1:].astype(kind).tobytes(), "zstd", asbytes=True),
+            "weights": pa.compress(weights[at].astype(np.int64).tobytes(), "zstd", asbytes=True),
         }
         begin = end
 
 
 def _opened(
-    words: bytes, suffixes: bytes, weights: bytes
+    n: int, words: bytes, suffixes: bytes, weights: bytes, max_words: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words' hashes, the suffixes as a matrix of word numbers, and their weights."""
-    hashes, sizes = np.frombuffer(words, np.uint64), np.frombuffer(weights, np.int64)
-    kind = np.uint16 if len(hashes) < 1 << 16 else np.uint32
-    return hashes, np.frombuffer(suffixes, kind).reshape(-1, len(sizes)), sizes
+    hashes = np.frombuffer(words, np.uint64)
+    kind = np.dtype(np.uint16 if len(hashes) < 1 << 16 else np.uint32)
+    size = n * max_words * kind.itemsize
+    matrix = np.frombuffer(pa.decompress(suffixes, size, "zstd"), kind).reshape(max_words, n)
+    return hashes, matrix, np.frombuffer(pa.decompress(weights, n * 8, "zstd"), np.int64)
 
 
-def _deal(bits: np.ndarray, max_words: int, routes: int) -> Callable:
+def _deal(bits: np.ndarray, max_words: int, routes: int, wide: frozenset[int]) -> Callable:
     """Suffixes of at least two frequent words, in blocks by route."""
 
+    def dealt(columns: list, weights: np.ndarray, hashes: np.ndarray) -> Iterator[dict]:
+        for depth in range(2, max_words + 1):
+            if not len(weights):
+                return
+            mixed = _mixed([hashes[c] for c in columns[:depth]])
+            route = (mixed % np.uint64(routes)).astype(np.int64) + depth * _DEPTH
+            on = np.isin(route, [r for r in wide if r // _DEPTH == depth])
+            yield from _blocks([c[~on] for c in columns], weights[~on], hashes, route[~on])
+            # Of suffixes that go on by one more word, the beginnings are counted here.
+            none = np.full(int(on.sum()), _NONE, dtype=columns[0].dtype)
+            begun, n = _combined(
+                [c[on] if k < depth else none for k, c in enumerate(columns)], weights[on]
+            )
+            if len(n):
+                mixed = _mixed([hashes[c] for c in begun[:depth]])
+                route = (mixed % np.uint64(routes)).astype(np.int64) + depth * _DEPTH
+                yield from _blocks(begun, n, hashes, route)
+            if depth < max_words:
+                on &= columns[depth] != _NONE
+            columns, weights = [c[on] for c in columns], weights[on]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for numbers, hashes, _ in Reader().read(batches):
             kept = np.where(_is_frequent(hashes, bits)[numbers], numbers, _NONE)
-            padded = np.concatenate([kept, np.zeros(max_words, dtype=kept.dtype)])
-            n = len(kept)
-            at = np.flatnonzero((padded[:n] != _NONE) & (padded[1 : n + 1] != _NONE))
-            columns = [padded[at], padded[at + 1]]
-            for k in range(2, max_words):
-                columns.append(np.where(columns[-1] != _NONE, padded[at + k], _NONE))
-            columns, weights = _combined(columns, np.ones(len(at), dtype=np.int64), hashes)
-            yield from _batches(_blocks(columns, weights, hashes, 2, routes))
-
-    return run
-
-
-def _batches(rows: Iterator[dict], most: int = 256) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= most:
-            yield pa.RecordBatch.from_pylist(held, schema=_DEALT_ARROW)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=_DEALT_ARROW)
-
-
-def _deal_again(leading: int, routes: int) -> Callable:
-    """Route suffixes by ``leading`` words, and count the shorter beginnings they had in common."""
-
-    def of_block(hashes: np.ndarray, matrix: np.ndarray, weights: np.ndarray) -> Iterator[dict]:
-        columns = list(matrix.astype(np.int64))
-        _, first, which = np.unique(
-            _mixed([hashes[c] for c in columns[: leading - 1]]),
-            return_index=True,
-            return_inverse=True,
-        )
-        sums = np.bincount(which, weights=weights, minlength=len(first)).astype(np.int64)
-        begun = np.stack([hashes[c[first]].view(np.int64) for c in columns[: leading - 1]], 1)
-        for phrase, n in zip(begun.tolist(), sums.tolist(), strict=True):
-            yield dict.fromkeys(_DEALT_ARROW.names) | {"phrase": phrase, "a": n}
-        longer = columns[leading - 1] != _NONE
-        yield from _blocks(
-            [c[longer] for c in columns], weights[longer], hashes, leading, routes
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.select(["words", "suffixes", "weights"]).to_pylist():
-                yield from _batches(of_block(*_opened(**r)))
+            columns = _suffixes(kept, max_words)
+            columns, weights = _combined(columns, np.ones(len(columns[0]), dtype=np.int64))
+            held: list[dict] = []
+            for row in dealt(columns, weights, hashes):
+                held.append(row)
+                if len(held) >= 256:
+                    yield pa.RecordBatch.from_pylist(held, schema=_DEALT_ARROW)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=_DEALT_ARROW)
 
     return run
 
@@ -345,9 +354,10 @@ def frequent_prefixes(
             stack.append((equal, depth + 1))
 
 
-def _sort_route(least: int, shortest: int) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        opened = [_opened(**r) for r in table.to_pylist()]
+def _sort_route(least: int, max_words: int) -> Callable:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        blocks = table.select(["n", "words", "suffixes", "weights"]).to_pylist()
+        opened = [_opened(**r, max_words=max_words) for r in blocks]
         known, numbers = np.unique(np.concatenate([o[0] for o in opened]), return_inverse=True)
         # Hash 0 is that of number 0 in every block, and the smallest there is.
         parts, at = [], 0
@@ -355,7 +365,8 @@ def _sort_route(least: int, shortest: int) -> Callable:
             parts.append(numbers[at : at + len(hashes)].astype(np.int32)[matrix])
             at += len(hashes)
         columns, weights = np.concatenate(parts, 1), np.concatenate([o[2] for o in opened])
-        found = list(frequent_prefixes(columns, weights, least, shortest))
+        depth = key[0].as_py() // _DEPTH
+        found = list(frequent_prefixes(columns, weights, least, depth))
         phrases = [known[columns[:n, p]].view(np.int64).tolist() for p, n, _ in found]
         return pa.table(
             [pa.array(phrases, pa.list_(pa.int64())), pa.array([c for *_, c in found], pa.int64())],
@@ -377,67 +388,30 @@ def phrase_counts(
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit(UNDETERMINED)).alias("lang"), "text"
     )
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    routes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTE_BYTES))
     counted = space.keep(
-        texts.mapInArrow(_count_words, "lang string, word binary, h long, n long")
+        texts.mapInArrow(_count_words(max_words, routes), _COUNTED)
         .groupBy("lang", "word", "h")
         .agg(F.sum("n").alias("n"))
         .where(F.col("word").isNull() | (F.col("n") >= least)),
         "words",
     )
     words = counted.where(F.col("word").isNotNull())
-    langs = counted.where(F.col("word").isNull()).select("lang", "n")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = langs.agg(F.sum("n")).first()[0] or 0
-    routes = max(parts, -(-total // ROUTE_SUFFIXES))
-    dealt = space.keep(texts.mapInArrow(_deal(_bitmap(words), max_words, routes), _DEALT), "dealt-2")
-    found, begun, leading = [], [], 2
-    while True:
-        blocks = dealt.where(F.col("route").isNotNull())
-        sizes = blocks.groupBy("route").agg(F.sum("n").alias("_n"))
-        n = sizes.agg(F.sum("_n")).first()[0] or 0
-        limit = max(LEAST_UNEVEN, n * UNEVEN // routes)
-        wide = None
-        if leading < max_words:
-            wide = space.keep(sizes.where(F.col("_n") > limit), f"wide-{leading}")
-            again = wide.agg(F.sum("_n")).first()[0] or 0
-            wide = wide.select("route") if again else None
-        even = blocks if wide is None else blocks.join(wide, "route", "left_anti")
-        found.append(
-            even.select("route", "words", "suffixes", "weights")
-            .groupBy("route")
-            .applyInArrow(_without_route(_sort_route(least, leading)), _SORTED)
-        )
-        if wide is None:
-            break
-        leading += 1
-        routes = max(parts, -(-again // ROUTE_SUFFIXES))
-        dealt = space.keep(
-            blocks.join(wide, "route", "left_semi")
-            .select("words", "suffixes", "weights")
-            .mapInArrow(_deal_again(leading, routes), _DEALT),
-            f"dealt-{leading}",
-        )
-        begun.append(dealt.where(F.col("route").isNull()).select("phrase", "a"))
-    phrases = found[0]
-    for more in found[1:]:
-        phrases = phrases.unionByName(more)
-    if begun:
-        sums = begun[0]
-        for more in begun[1:]:
-            sums = sums.unionByName(more)
-        phrases = phrases.unionByName(
-            sums.groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-        )
+    langs = counted.where(F.col("word").isNull() & F.col("lang").isNotNull()).select("lang", "n")
+    sizes = counted.where(F.col("lang").isNull())
+    total = sizes.where(F.col("h") < 3 * _DEPTH).agg(F.sum("n")).first()[0] or 0
+    limit = max(LEAST_UNEVEN, total * UNEVEN // routes)
+    # At most routes / UNEVEN at each depth.
+    wide = frozenset(r["h"] for r in sizes.where(F.col("n") > limit).select("h").collect())
+    phrases = (
+        texts.mapInArrow(_deal(_bitmap(words), max_words, routes, wide), _DEALT)
+        .groupBy("route")
+        .applyInArrow(_sort_route(least, max_words), _SORTED)
+    )
     return words, langs, space.keep(phrases, "phrases")
 
 
-def _without_route(sort: Callable) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        return sort(table.select(["words", "suffixes", "weights"]))
-
-    return run
-
-
 # --- scores -----------------------------------------------------------------------------------
 
 

@@ -75,7 +75,7 @@ def test_wide_routes_are_dealt_again(spark, monkeypatch):
     """Every route is too wide: beginnings of two, three and four words are counted apart."""
     monkeypatch.setattr(collocations, "LEAST_UNEVEN", 0)
     monkeypatch.setattr(collocations, "UNEVEN", 0)
-    monkeypatch.setattr(collocations, "ROUTE_SUFFIXES", 50)
+    monkeypatch.setattr(collocations, "ROUTE_BYTES", 500)
     monkeypatch.setattr(collocations, "TASK_TOKENS", 500)
     rows = spoken()
     got = collocations.collocations(frame(spark, rows), least=4, top=10**6).collect()
