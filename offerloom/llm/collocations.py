@@ -12,11 +12,13 @@ occurrences are abandoned. The routes' sizes are counted together with the words
 would get more than ``UNEVEN`` times the mean, only the beginnings of its suffixes, which are few,
 are counted there, and the suffixes are routed by one more word, up to ``max_words`` of them, so
 that no phrase, however common its beginning, is one task's work. Equal suffixes of a task are
-combined before they are routed. Between tasks they travel as sorted and compressed blocks of word
-numbers with the words' 64-bit hashes, which are seeded by the language.
+combined before they are routed.
 
-The table of frequent words is turned into a bitmap of at most ``MOST_BITS`` bits, which tasks use to
-end suffixes; where it says yes wrongly, a suffix is longer than need be and the sort abandons it.
+Words are known by 64-bit hashes seeded by their language. Up to ``MOST_LISTED`` frequent words are
+sent to the tasks as a list, which numbers them the same everywhere, and suffixes travel as sorted
+and compressed blocks of these numbers. More words than that are sent as a bitmap of at most
+``MOST_BITS`` bits, and each block brings the hashes of its words along. Where the bitmap takes a
+rare word for a frequent one, a suffix is longer than need be and the sort abandons it.
 
 Nulls: a null text is empty and a null language ``und``. Rows with equal ids are rows of their own.
 An empty table, or one without frequent phrases, gives an empty result. Other columns are not read.
@@ -46,6 +48,8 @@ _BREAK = b"\xff"
 TASK_TOKENS, TASK_WORDS = 2_500_000, 1_000_000
 #: Bytes of text behind a route on average, and the multiple of the mean that a route may get.
 ROUTE_BYTES, UNEVEN, LEAST_UNEVEN = 6_000_000, 4, 20_000
+#: Frequent words that are sent to tasks as a list of 12 bytes each.
+MOST_LISTED = 2_000_000
 #: Size of the bitmap of frequent words: so many bits a word, within these limits.
 BITS_A_WORD, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 _NONE = 0
@@ -64,18 +68,27 @@ _SORTED_ARROW = pa.schema([("phrase", pa.list_(pa.int64())), ("a", pa.int64())])
 # --- words ------------------------------------------------------------------------------------
 
 
+def _seed(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode())
+
+
+def word_hash(word: bytes, seed: int) -> int:
+    """Hash of a word; 0 is kept for no word."""
+    return xxhash.xxh3_64_intdigest(word, seed=seed) or 1
+
+
 class _Numbers(dict):
     """Numbers of the words of one language; the number of a break is 0."""
 
     def __init__(self, lang: str, words: list[tuple[str, bytes]], hashes: list[int]) -> None:
         super().__init__({_BREAK: _NONE})
         self.lang, self.words, self.hashes = lang, words, hashes
-        self.seed = xxhash.xxh3_64_intdigest(lang.encode())
+        self.seed = _seed(lang)
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = len(self.words)
         self.words.append((self.lang, word))
-        self.hashes.append(xxhash.xxh3_64_intdigest(word, seed=self.seed))
+        self.hashes.append(word_hash(word, self.seed))
         return value
 
 
@@ -124,23 +137,35 @@ class Reader:
         yield from self.stretch(last=True)
 
 
-_COUNTED = "lang string, word binary, h long, n long"
-_COUNTED_ARROW = pa.schema(
-    [("lang", pa.string()), ("word", pa.binary()), ("h", pa.int64()), ("n", pa.int64())]
-)
+_COUNTED = "lang string, word binary, n long"
+_COUNTED_ARROW = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
 
-def _counted(lang: pa.Array, word: list | None, h: np.ndarray | None, n: np.ndarray | pa.Array):
+def _counted(
+    lang: pa.Array | None, word: list[bytes] | None, n: np.ndarray | pa.Array
+) -> pa.RecordBatch:
     size = len(n)
     columns = [
         pa.nulls(size, pa.string()) if lang is None else lang,
         pa.nulls(size, pa.binary()) if word is None else pa.array(word, pa.binary()),
-        pa.nulls(size, pa.int64()) if h is None else pa.array(h, pa.int64()),
         pa.array(n, pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(columns, schema=_COUNTED_ARROW)
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their hashes (``lang``, ``word``, ``n``)."""
+    for batch in batches:
+        langs, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        hashes = np.array(
+            [word_hash(word, _seed(lang)) for lang, word in zip(langs, words, strict=True)],
+            dtype=np.uint64,
+        )
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(hashes.view(np.int64))], ["lang", "word", "n", "h"]
+        )
+
+
 def _count_words(max_words: int, routes: int) -> Callable:
     """Words with their counts; under no word, the words of a language altogether; under no
     language, how many suffixes each route would get."""
@@ -149,17 +174,15 @@ def _count_words(max_words: int, routes: int) -> Callable:
         for numbers, hashes, words in Reader().read(batches):
             counts = np.bincount(numbers, minlength=len(words))[1:]
             langs = pa.array([lang for lang, _ in words[1:]], pa.string())
-            yield _counted(langs, [word for _, word in words[1:]], hashes[1:].view(np.int64), counts)
+            yield _counted(langs, [word for _, word in words[1:]], counts)
             sums = pa.table({"lang": langs, "n": counts}).group_by("lang").aggregate([("n", "sum")])
-            yield _counted(
-                sums["lang"].combine_chunks(), None, None, sums["n_sum"].combine_chunks()
-            )
+            yield _counted(sums["lang"].combine_chunks(), None, sums["n_sum"].combine_chunks())
             columns = _suffixes(numbers, max_words)
             mixed = _mixed([hashes[c] for c in columns[:2]])
             for depth in range(2, max_words):
                 sizes = np.bincount((mixed % np.uint64(routes)).astype(np.int64), minlength=routes)
                 at = np.flatnonzero(sizes)
-                yield _counted(None, None, depth * _DEPTH + at, sizes[at])
+                yield _counted(None, [b"%d" % (depth * _DEPTH + i) for i in at], sizes[at])
                 longer = columns[depth] != _NONE
                 columns = [c[longer] for c in columns]
                 mixed = _mixed([hashes[columns[depth]]], mixed[longer])
@@ -187,12 +210,24 @@ def _bitmap(words: DataFrame) -> np.ndarray:
     return bits
 
 
-def _is_frequent(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def _listed(words: DataFrame) -> np.ndarray:
+    """Hashes of the frequent words, the most frequent first, after that of no word."""
+    found = words.select("h", "n").toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    return np.concatenate([np.zeros(1, dtype=np.uint64), h[np.lexsort((h, -n))]])
+
+
+def _by_bitmap(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Numbers as they are; 0 for words that are not frequent."""
     place = hashes & np.uint64(len(bits) * 8 - 1)
     known = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7))) & 1
-    known = known.astype(bool)
-    known[_NONE] = False
-    return known
+    return np.where(known.astype(bool), np.arange(len(hashes)), _NONE)
+
+
+def _by_list(hashes: np.ndarray, listed: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Numbers in the list; 0 for words that are not frequent. ``order`` sorts the list."""
+    at = order[np.minimum(np.searchsorted(listed, hashes, sorter=order), len(order) - 1)]
+    return np.where(listed[at] == hashes, at, _NONE)
 
 
 # --- routing ----------------------------------------------------------------------------------
@@ -246,25 +281,40 @@ def _combined(
     return [c[at] for c in columns], np.add.reduceat(weights[order], first)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers, all their lowest bytes first."""
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, n * 4, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def _blocks(
-    columns: list[np.ndarray], weights: np.ndarray, hashes: np.ndarray, route: np.ndarray
+    columns: list[np.ndarray],
+    weights: np.ndarray,
+    hashes: np.ndarray,
+    route: np.ndarray,
+    own_words: bool,
 ) -> Iterator[dict]:
-    """The suffixes of each route as one block with the words it needs."""
+    """The suffixes of each route as one block, with the words it needs if they are its own."""
     order = np.argsort(route, kind="stable")
     route = route[order]
     begin = 0
     for end in [*(np.flatnonzero(np.diff(route)) + 1), len(route)] if len(route) else []:
         at = order[begin:end]
-        used, numbers = np.unique(
-            np.concatenate([[_NONE], *[c[at] for c in columns]]), return_inverse=True
-        )
-        kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+        numbers = np.concatenate([c[at] for c in columns])
+        used = np.zeros(0, dtype=np.int64)
+        if own_words:
+            used, numbers = np.unique(np.append(numbers, _NONE), return_inverse=True)
+            numbers = numbers[:-1]
         yield {
             "route": int(route[begin]),
             "n": len(at),
             "words": hashes[used].tobytes(),
-            "suffixes": pa.compress(numbers[1:].astype(kind).tobytes(), "zstd", asbytes=True),
-            "weights": pa.compress(weights[at].astype(np.int64).tobytes(), "zstd", asbytes=True),
+            "suffixes": _packed(numbers),
+            "weights": _packed(weights[at]),
         }
         begin = end
 
@@ -273,15 +323,15 @@ def _opened(
     n: int, words: bytes, suffixes: bytes, weights: bytes, max_words: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words' hashes, the suffixes as a matrix of word numbers, and their weights."""
-    hashes = np.frombuffer(words, np.uint64)
-    kind = np.dtype(np.uint16 if len(hashes) < 1 << 16 else np.uint32)
-    size = n * max_words * kind.itemsize
-    matrix = np.frombuffer(pa.decompress(suffixes, size, "zstd"), kind).reshape(max_words, n)
-    return hashes, matrix, np.frombuffer(pa.decompress(weights, n * 8, "zstd"), np.int64)
+    matrix = _unpacked(suffixes, n * max_words).reshape(max_words, n)
+    return np.frombuffer(words, np.uint64), matrix, _unpacked(weights, n)
 
 
-def _deal(bits: np.ndarray, max_words: int, routes: int, wide: frozenset[int]) -> Callable:
-    """Suffixes of at least two frequent words, in blocks by route."""
+def _deal(
+    frequent: np.ndarray, listed: bool, max_words: int, routes: int, wide: frozenset[int]
+) -> Callable:
+    """Suffixes of at least two frequent words, in blocks by route. ``frequent`` is the list of
+    words or their bitmap."""
 
     def dealt(columns: list, weights: np.ndarray, hashes: np.ndarray) -> Iterator[dict]:
         for depth in range(2, max_words + 1):
@@ -290,7 +340,8 @@ def _deal(bits: np.ndarray, max_words: int, routes: int, wide: frozenset[int]) -
             mixed = _mixed([hashes[c] for c in columns[:depth]])
             route = (mixed % np.uint64(routes)).astype(np.int64) + depth * _DEPTH
             on = np.isin(route, [r for r in wide if r // _DEPTH == depth])
-            yield from _blocks([c[~on] for c in columns], weights[~on], hashes, route[~on])
+            rest = [c[~on] for c in columns]
+            yield from _blocks(rest, weights[~on], hashes, route[~on], not listed)
             # Of suffixes that go on by one more word, the beginnings are counted here.
             none = np.full(int(on.sum()), _NONE, dtype=columns[0].dtype)
             begun, n = _combined(
@@ -299,14 +350,18 @@ def _deal(bits: np.ndarray, max_words: int, routes: int, wide: frozenset[int]) -
             if len(n):
                 mixed = _mixed([hashes[c] for c in begun[:depth]])
                 route = (mixed % np.uint64(routes)).astype(np.int64) + depth * _DEPTH
-                yield from _blocks(begun, n, hashes, route)
+                yield from _blocks(begun, n, hashes, route, not listed)
             if depth < max_words:
                 on &= columns[depth] != _NONE
             columns, weights = [c[on] for c in columns], weights[on]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(frequent) if listed else None
         for numbers, hashes, _ in Reader().read(batches):
-            kept = np.where(_is_frequent(hashes, bits)[numbers], numbers, _NONE)
+            if listed:
+                kept, hashes = _by_list(hashes, frequent, order)[numbers], frequent
+            else:
+                kept = _by_bitmap(hashes, frequent)[numbers]
             columns = _suffixes(kept, max_words)
             columns, weights = _combined(columns, np.ones(len(columns[0]), dtype=np.int64))
             held: list[dict] = []
@@ -354,16 +409,17 @@ def frequent_prefixes(
             stack.append((equal, depth + 1))
 
 
-def _sort_route(least: int, max_words: int) -> Callable:
+def _sort_route(listed: np.ndarray | None, least: int, max_words: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         blocks = table.select(["n", "words", "suffixes", "weights"]).to_pylist()
         opened = [_opened(**r, max_words=max_words) for r in blocks]
-        known, numbers = np.unique(np.concatenate([o[0] for o in opened]), return_inverse=True)
-        # Hash 0 is that of number 0 in every block, and the smallest there is.
-        parts, at = [], 0
-        for hashes, matrix, _ in opened:
-            parts.append(numbers[at : at + len(hashes)].astype(np.int32)[matrix])
-            at += len(hashes)
+        known, parts, at = listed, [matrix for _, matrix, _ in opened], 0
+        if known is None:
+            known, numbers = np.unique(np.concatenate([o[0] for o in opened]), return_inverse=True)
+            # Hash 0 is that of number 0 in every block, and the smallest there is.
+            for k, (hashes, matrix, _) in enumerate(opened):
+                parts[k] = numbers[at : at + len(hashes)][matrix]
+                at += len(hashes)
         columns, weights = np.concatenate(parts, 1), np.concatenate([o[2] for o in opened])
         depth = key[0].as_py() // _DEPTH
         found = list(frequent_prefixes(columns, weights, least, depth))
@@ -392,22 +448,30 @@ def phrase_counts(
     routes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTE_BYTES))
     counted = space.keep(
         texts.mapInArrow(_count_words(max_words, routes), _COUNTED)
-        .groupBy("lang", "word", "h")
+        .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
-        .where(F.col("word").isNull() | (F.col("n") >= least)),
+        .where(F.col("word").isNull() | F.col("lang").isNull() | (F.col("n") >= least)),
+        "counted",
+    )
+    lang, word = F.col("lang"), F.col("word")
+    words = space.keep(
+        counted.where(lang.isNotNull() & word.isNotNull()).mapInArrow(
+            _hashed, "lang string, word binary, n long, h long"
+        ),
         "words",
     )
-    words = counted.where(F.col("word").isNotNull())
-    langs = counted.where(F.col("word").isNull() & F.col("lang").isNotNull()).select("lang", "n")
-    sizes = counted.where(F.col("lang").isNull())
+    langs = counted.where(word.isNull()).select("lang", "n")
+    sizes = counted.where(lang.isNull()).select(word.cast("string").cast("long").alias("h"), "n")
     total = sizes.where(F.col("h") < 3 * _DEPTH).agg(F.sum("n")).first()[0] or 0
     limit = max(LEAST_UNEVEN, total * UNEVEN // routes)
     # At most routes / UNEVEN at each depth.
     wide = frozenset(r["h"] for r in sizes.where(F.col("n") > limit).select("h").collect())
+    listed = words.count() <= MOST_LISTED
+    frequent = _listed(words) if listed else _bitmap(words)
     phrases = (
-        texts.mapInArrow(_deal(_bitmap(words), max_words, routes, wide), _DEALT)
+        texts.mapInArrow(_deal(frequent, listed, max_words, routes, wide), _DEALT)
         .groupBy("route")
-        .applyInArrow(_sort_route(least, max_words), _SORTED)
+        .applyInArrow(_sort_route(frequent if listed else None, least, max_words), _SORTED)
     )
     return words, langs, space.keep(phrases, "phrases")
 

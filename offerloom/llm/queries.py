@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm import (
+    alignment,
     chat,
     collocations,
     crosspolytope,
@@ -25,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER_FILE = "byte_bpe_50k.json"
+PIECES_FILE = "piece_bpe_32k.model"
 
 
 def _register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -41,10 +43,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(file: str = TOKENIZER_FILE) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER_FILE)
+    return public_tokenizers.path(file)
 
 
 @_register("op4_packing")
@@ -352,3 +354,10 @@ FROM weakest QUALIFY rank <= 2000
 @_register("op12_collocations", _PHRASES_SQL)
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+@_register("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(
+        _table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES_FILE)
+    )

@@ -71,8 +71,10 @@ def test_phrases(spark, least, max_words, percent):
     assert len(got) == len(set(got)) > 30
 
 
-def test_wide_routes_are_dealt_again(spark, monkeypatch):
+@pytest.mark.parametrize("most_listed", [10**6, 3])
+def test_wide_routes_are_dealt_again(spark, monkeypatch, most_listed):
     """Every route is too wide: beginnings of two, three and four words are counted apart."""
+    monkeypatch.setattr(collocations, "MOST_LISTED", most_listed)
     monkeypatch.setattr(collocations, "LEAST_UNEVEN", 0)
     monkeypatch.setattr(collocations, "UNEVEN", 0)
     monkeypatch.setattr(collocations, "ROUTE_BYTES", 500)
