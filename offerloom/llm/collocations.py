@@ -45,7 +45,7 @@ _PLAIN = bytes.maketrans(_UPPER + BREAKS, _UPPER.lower() + b"\n" * len(BREAKS))
 #: Stands for the end of a piece among words; no byte of UTF-8.
 _BREAK = b"\xff"
 #: Word positions held by a task before it hands on what it has, and words it numbers at most.
-TASK_TOKENS, TASK_WORDS = 2_500_000, 1_000_000
+TASK_TOKENS, TASK_WORDS = 1_200_000, 400_000
 #: Bytes of text behind a route on average, and the multiple of the mean that a route may get.
 ROUTE_BYTES, UNEVEN, LEAST_UNEVEN = 6_000_000, 4, 20_000
 #: Frequent words that are sent to tasks as a list of 12 bytes each.
@@ -80,14 +80,15 @@ def word_hash(word: bytes, seed: int) -> int:
 class _Numbers(dict):
     """Numbers of the words of one language; the number of a break is 0."""
 
-    def __init__(self, lang: str, words: list[tuple[str, bytes]], hashes: list[int]) -> None:
+    def __init__(self, lang: str, langs: list[str], words: list[bytes], hashes: list[int]) -> None:
         super().__init__({_BREAK: _NONE})
-        self.lang, self.words, self.hashes = lang, words, hashes
+        self.lang, self.langs, self.words, self.hashes = lang, langs, words, hashes
         self.seed = _seed(lang)
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = len(self.words)
-        self.words.append((self.lang, word))
+        self.langs.append(self.lang)
+        self.words.append(word)
         self.hashes.append(word_hash(word, self.seed))
         return value
 
@@ -99,16 +100,18 @@ class Reader:
         self._begin()
 
     def _begin(self) -> None:
-        self.words: list[tuple[str, bytes]] = [("", b"")]
+        self.langs: list[str] = [""]
+        self.words: list[bytes] = [b""]
         self.hashes: list[int] = [0]
-        self.langs: dict[str, _Numbers] = {}
+        self.numbers: dict[str, _Numbers] = {}
         self.stretches: list[np.ndarray] = []
         self.held = 0
 
     def add(self, lang: str, texts: list[bytes]) -> None:
-        numbers = self.langs.get(lang)
+        numbers = self.numbers.get(lang)
         if numbers is None:
-            numbers = self.langs[lang] = _Numbers(lang, self.words, self.hashes)
+            numbers = _Numbers(lang, self.langs, self.words, self.hashes)
+            self.numbers[lang] = numbers
         plain = b"\n".join([*texts, b""]).translate(_PLAIN)
         tokens = plain.replace(b"\n", b" " + _BREAK + b" ").split()
         self.stretches.append(
@@ -116,12 +119,13 @@ class Reader:
         )
         self.held += len(tokens)
 
-    def stretch(self, last: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-        """``(numbers, hashes, words)`` when enough is held; number 0 is a break."""
+    def stretch(self, last: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list, list]]:
+        """``(numbers, hashes, langs, words)`` when enough is held; number 0 is a break."""
         if self.held and (last or self.held >= TASK_TOKENS or len(self.words) >= TASK_WORDS):
             numbers = np.concatenate([*self.stretches, np.zeros(1, dtype=np.int32)])
-            yield numbers, np.array(self.hashes, dtype=np.uint64), self.words
+            held = numbers, np.array(self.hashes, dtype=np.uint64), self.langs, self.words
             self._begin()
+            yield held
 
     def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """All stretches of the batches' texts (``lang``, ``text``)."""
@@ -171,10 +175,10 @@ def _count_words(max_words: int, routes: int) -> Callable:
     language, how many suffixes each route would get."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for numbers, hashes, words in Reader().read(batches):
+        for numbers, hashes, langs, words in Reader().read(batches):
             counts = np.bincount(numbers, minlength=len(words))[1:]
-            langs = pa.array([lang for lang, _ in words[1:]], pa.string())
-            yield _counted(langs, [word for _, word in words[1:]], counts)
+            langs = pa.array(langs[1:], pa.string())
+            yield _counted(langs, words[1:], counts)
             sums = pa.table({"lang": langs, "n": counts}).group_by("lang").aggregate([("n", "sum")])
             yield _counted(sums["lang"].combine_chunks(), None, sums["n_sum"].combine_chunks())
             columns = _suffixes(numbers, max_words)
@@ -357,7 +361,7 @@ def _deal(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(frequent) if listed else None
-        for numbers, hashes, _ in Reader().read(batches):
+        for numbers, hashes, _, _ in Reader().read(batches):
             if listed:
                 kept, hashes = _by_list(hashes, frequent, order)[numbers], frequent
             else:

@@ -17,6 +17,7 @@ from offerloom.llm import (
     linededup,
     mixing,
     packing,
+    personal,
     tgm,
     warc,
     winnow,
@@ -361,3 +362,9 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(
         _table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES_FILE)
     )
+
+
+@_register("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return personal.find(docs, personal.fit(docs))
