@@ -498,8 +498,6 @@ NOT_SPECS = ("description", "title")
 
 # seconds without news after which a stream forgets a key
 STATE_IDLE = 86_400
-# rows of keyed streams that are further behind the newest row are dropped: longer than any log.
-STATE_DELAY = "3650 days"
 
 # embedded states: pattern, whether backslashes are doubled in the page
 STATE_SOURCES = {

@@ -28,12 +28,12 @@ class CircuitState(StatefulProcessor):
     """Holds the time until which a key's circuit is open."""
 
     def __init__(self, open_s: int = rules.CIRCUIT_OPEN, idle_s: int = rules.STATE_IDLE):
-        self.open_s = open_s
-        self.idle_ms = max(idle_s, 2 * open_s) * 1000
+        self.open_s, self.idle_ms = open_s, idle_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open_until = handle.getValueState("open_until", "micros bigint")
+        self.open_until = handle.getValueState(
+            "open_until", "micros bigint", ttlDurationMs=self.idle_ms
+        )
 
     def handleInputRows(self, key, rows, timerValues):
         frame = _in_order(rows, "micros", "request_id")
@@ -51,15 +51,8 @@ class CircuitState(StatefulProcessor):
         # Only keys that have been opened are remembered, and not for ever.
         if until != before:
             self.open_until.update((int(until),))
-            self.handle.registerTimer(until // 1000 + self.idle_ms)
         yield pd.DataFrame({"request_id": frame["request_id"], "state": states})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if self.open_until.exists() and self.open_until.get()[0] // 1000 + self.idle_ms <= due:
-            self.open_until.clear()
-        yield from ()
-
     def close(self) -> None:
         pass
 
@@ -68,25 +61,24 @@ def circuit_state_stream(
     requests: DataFrame,
     key: str = "user_id",
     open_s: int = rules.CIRCUIT_OPEN,
-    delay: str = rules.STATE_DELAY,
+    idle_s: int = rules.STATE_IDLE,
 ) -> DataFrame:
     """Request stream with ``trips``, ``refused`` or ``passes`` for every request.
 
-    A key's state expires by event time, a day and ``delay`` after its circuit has closed. Requests
-    more than ``delay`` behind the newest one are dropped.
+    No request is late: without a watermark none is dropped. A key is forgotten by the clock,
+    ``idle_s`` after its circuit last opened.
     """
-    slim = requests.withWatermark("ts", delay).select(
+    slim = requests.select(
         key,
-        "ts",
         "request_id",
         F.unix_micros("ts").alias("micros"),
         F.col("status").isin(*rules.TRIP_STATUSES).alias("trips"),
     )
     return slim.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=CircuitState(open_s),
+        statefulProcessor=CircuitState(open_s, idle_s),
         outputStructType="request_id bigint, state string",
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="ProcessingTime",
     )
 
 
@@ -94,23 +86,23 @@ class FastFirst(StatefulProcessor):
     """Buffers a search's first offers and publishes them once."""
 
     def __init__(self, n: int = rules.FAST_LIMIT, idle_s: int = rules.STATE_IDLE):
-        self.n = n
-        self.idle_ms = idle_s * 1000
+        self.n, self.idle_ms = n, idle_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.buffer = handle.getListState(
-            "buffer", "micros bigint, seq bigint, offer string, score double"
+            "buffer",
+            "micros bigint, seq bigint, offer string, score double",
+            ttlDurationMs=self.idle_ms,
+        )
+        self.published = handle.getValueState(
+            "published", "done boolean", ttlDurationMs=self.idle_ms
         )
-        self.published = handle.getValueState("published", "done boolean")
-        self.handle = handle
 
     def handleInputRows(self, key, rows, timerValues):
         frame = _in_order(rows, "micros", "seq")
         if self.published.exists():
             return
         held = list(self.buffer.get()) if self.buffer.exists() else []
-        if not held:
-            self.handle.registerTimer(int(frame["micros"].iloc[0]) // 1000 + self.idle_ms)
         offers = frame[frame["offer"].notna()]
         taken = offers.head(self.n - len(held))
         held += list(
@@ -135,30 +127,23 @@ class FastFirst(StatefulProcessor):
         else:
             self.buffer.put([tuple(o) for o in held])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.buffer.clear()
-        self.published.clear()
-        yield from ()
-
     def close(self) -> None:
         pass
 
 
 def fast_first_stream(
-    arrivals: DataFrame, n: int = rules.FAST_LIMIT, delay: str = rules.STATE_DELAY
+    arrivals: DataFrame, n: int = rules.FAST_LIMIT, idle_s: int = rules.STATE_IDLE
 ) -> DataFrame:
     """First ``n`` offers of each search as soon as they are there, or at its end.
 
     ``arrivals``: search_id, arrived_at, seq, offer (NULL on a pure end marker),
-    relevance_score, ended. A search is forgotten a day and ``delay`` after its first arrival by event
-    time. Arrivals more than ``delay`` behind the newest one are dropped.
+    relevance_score, ended. No arrival is late: without a watermark none is dropped. A search is
+    forgotten by the clock, ``idle_s`` after its last change.
     """
     kind = dict(arrivals.dtypes)["search_id"]
-    timed = arrivals.withColumn("arrived_at", F.col("arrived_at").cast("timestamp"))
-    slim = timed.withWatermark("arrived_at", delay).select(
+    slim = arrivals.select(
         "search_id",
-        "arrived_at",
-        F.unix_micros("arrived_at").alias("micros"),
+        F.unix_micros(F.col("arrived_at").cast("timestamp")).alias("micros"),
         "seq",
         "offer",
         F.col("relevance_score").alias("score"),
@@ -167,12 +152,12 @@ def fast_first_stream(
     return (
         slim.groupBy("search_id")
         .transformWithStateInPandas(
-            statefulProcessor=FastFirst(n),
+            statefulProcessor=FastFirst(n, idle_s),
             outputStructType=(
                 f"search_id {kind}, published_micros bigint, n bigint, offers array<string>"
             ),
             outputMode="Append",
-            timeMode="EventTime",
+            timeMode="ProcessingTime",
         )
         .select(
             "search_id", F.timestamp_micros("published_micros").alias("published_at"), "n", "offers"
@@ -181,21 +166,23 @@ def fast_first_stream(
 
 
 class TaskState(StatefulProcessor):
-    """Last state of a task; gone an hour after it was created."""
+    """Last state of a task, which is over a while after it was created."""
 
-    def __init__(self, ttl_s: int = rules.TASK_TTL):
-        self.ttl_ms = ttl_s * 1000
+    def __init__(self, ttl_s: int = rules.TASK_TTL, idle_s: int = rules.STATE_IDLE):
+        self.ttl_micros, self.idle_ms = ttl_s * 1_000_000, idle_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.task = handle.getValueState(
-            "task", "created bigint, status string, message string, error string"
+            "task",
+            "created bigint, status string, message string, error string",
+            ttlDurationMs=self.idle_ms,
         )
 
     def handleInputRows(self, key, rows, timerValues):
-        task = self.task.get() if self.task.exists() else None
-        changed = False
+        task, latest = self.task.get() if self.task.exists() else None, None
         for row in _in_order(rows, "micros", "seq").itertuples(index=False):
+            if task is not None and row.micros > task[0] + self.ttl_micros:
+                task = None
             if task is None and row.status != "pending":
                 continue
             created = task[0] if task else int(row.micros)
@@ -205,42 +192,159 @@ class TaskState(StatefulProcessor):
                 message, error = "Готово", None
             elif row.status == "failed":
                 message = error = row.error
-            if task is None:
-                self.handle.registerTimer(created // 1000 + self.ttl_ms)
-            task, changed = (created, row.status, message, error), True
-        if changed:
-            self.task.update(task)
+            task = latest = (created, row.status, message, error)
+        # A task that is over by now is shown with its last state.
+        if latest is not None:
+            self.task.update(latest)
             yield pd.DataFrame(
                 {
-                    "task_id": [key[0]], "created_micros": [task[0]], "status": [task[1]],
-                    "message": [task[2]], "error": [task[3]],
+                    "task_id": [key[0]], "created_micros": [latest[0]], "status": [latest[1]],
+                    "message": [latest[2]], "error": [latest[3]],
                 }
             )
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.task.clear()
-        yield from ()
-
     def close(self) -> None:
         pass
 
 
 def task_status_stream(
-    events: DataFrame, ttl_s: int = rules.TASK_TTL, delay: str = "10 minutes"
+    events: DataFrame, ttl_s: int = rules.TASK_TTL, idle_s: int = rules.STATE_IDLE
 ) -> DataFrame:
-    """Task states as they change; tasks expire by event time.
+    """Task states as they change.
 
-    ``events``: task_id, ts (timestamp), seq, status, message, error.
+    ``events``: task_id, ts (timestamp), seq, status, message, error. By the time of the events a
+    task is over ``ttl_s`` after it was created: later ones are ignored until one creates it again.
+    By the clock it is forgotten ``idle_s`` after its last change.
     """
     kind = dict(events.dtypes)["task_id"]
-    slim = events.withWatermark("ts", delay).select(
-        "task_id", "ts", F.unix_micros("ts").alias("micros"), "seq", "status", "message", "error"
+    slim = events.select(
+        "task_id", F.unix_micros("ts").alias("micros"), "seq", "status", "message", "error"
     )
     return slim.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=TaskState(ttl_s),
+        statefulProcessor=TaskState(ttl_s, idle_s),
         outputStructType=(
             f"task_id {kind}, created_micros bigint, status string, message string, error string"
         ),
         outputMode="Update",
-        timeMode="EventTime",
+        timeMode="ProcessingTime",
+    )
+
+
+class SourceDeadlines(StatefulProcessor):
+    """Sources that a search waits for. Each is reported once, with its answer or without."""
+
+    def __init__(self, wait_ms: int | None, idle_s: int):
+        self.wait_ms, self.idle_ms = wait_ms, idle_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState(
+            "waiting", "source string", "requested bigint, budget bigint, due bigint"
+        )
+        # Answers that came before their request, and sources that have been reported.
+        self.early = handle.getMapState(
+            "early", "source string", "arrived bigint, count bigint", ttlDurationMs=self.idle_ms
+        )
+        self.reported = handle.getMapState(
+            "reported", "source string", "done boolean", ttlDurationMs=self.idle_ms
+        )
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows), ignore_index=True)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        is_answer = frame["arrived"].notna()
+        out = []
+        for row in frame[~is_answer].itertuples(index=False):
+            name, asked = (row.source,), (int(row.requested), int(row.budget))
+            if self.reported.containsKey(name) or self.waiting.containsKey(name):
+                continue
+            if self.early.containsKey(name):
+                out.append(self._answered(key, row.source, *asked, *self.early.getValue(name)))
+                self.early.removeKey(name)
+                continue
+            due = now + max(1, asked[1] // 1000 if self.wait_ms is None else self.wait_ms)
+            self.waiting.updateValue(name, (*asked, due))
+            self.handle.registerTimer(due)
+        for row in frame[is_answer].itertuples(index=False):
+            name, answer = (row.source,), (int(row.arrived), int(row.count))
+            if self.waiting.containsKey(name):
+                requested, budget, _ = self.waiting.getValue(name)
+                self.waiting.removeKey(name)
+                out.append(self._answered(key, row.source, requested, budget, *answer))
+            elif not self.reported.containsKey(name):
+                self.early.updateValue(name, answer)
+        if out:
+            yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        over = [name[0] for name, entry in list(self.waiting.iterator()) if entry[2] <= now]
+        for source in over:
+            self.waiting.removeKey((source,))
+        if over:
+            yield pd.DataFrame([self._report(key, source) for source in over])
+
+    def _answered(self, key, source, requested, budget, arrived, count):
+        in_time = arrived <= requested + budget
+        return self._report(key, source, int(count) if in_time else None)
+
+    def _report(self, key, source, count=None):
+        self.reported.updateValue((source,), (True,))
+        status = "error" if count is None else "complete" if count > 0 else "empty"
+        return {
+            "search_id": key[0],
+            "source": source,
+            "timed_out": count is None,
+            "count": count or 0,
+            "status": status,
+        }
+
+    def close(self) -> None:
+        pass
+
+
+def deadline_stream(
+    requests: DataFrame,
+    answers: DataFrame,
+    wait_s: float | None = None,
+    idle_s: int = rules.STATE_IDLE,
+) -> DataFrame:
+    """One row for every source a search asks: its answer in time, or that it timed out.
+
+    ``requests``: search_id, source, requested_at, budget_s. ``answers``: search_id, source,
+    arrived_at, count; they may come before their request. An answer is judged by the times stated.
+    A source that stays silent is reported by the clock, ``wait_s`` after its request was seen, by
+    default its own budget; an answer after that changes nothing. Later copies of a request or an
+    answer are ignored. A reported source is forgotten after ``idle_s``.
+    """
+    kind = dict(requests.dtypes)["search_id"]
+    none = F.lit(None).cast("bigint")
+    asked = requests.select(
+        "search_id",
+        F.col("source").cast("string").alias("source"),
+        F.unix_micros(F.col("requested_at").cast("timestamp")).alias("requested"),
+        (F.col("budget_s") * 1_000_000).cast("bigint").alias("budget"),
+        none.alias("arrived"),
+        none.alias("count"),
+    )
+    answered = answers.where(F.col("arrived_at").isNotNull()).select(
+        "search_id",
+        F.col("source").cast("string").alias("source"),
+        none.alias("requested"),
+        none.alias("budget"),
+        F.unix_micros(F.col("arrived_at").cast("timestamp")).alias("arrived"),
+        F.coalesce(F.col("count").cast("bigint"), F.lit(0)).alias("count"),
+    )
+    wait_ms = None if wait_s is None else int(wait_s * 1000)
+    return (
+        asked.unionByName(answered)
+        .groupBy("search_id")
+        .transformWithStateInPandas(
+            statefulProcessor=SourceDeadlines(wait_ms, idle_s),
+            outputStructType=(
+                f"search_id {kind}, source string, timed_out boolean, count bigint, status string"
+            ),
+            outputMode="Append",
+            timeMode="ProcessingTime",
+        )
     )

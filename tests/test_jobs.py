@@ -12,7 +12,9 @@ from offerloom.operators import (
     circuits, evaluation, harvest, metrics, neardup, offer_index, searching, selection, setops,
     snapshots, summaries, tasks,
 )
-from offerloom.operators.ranking import best_tier, exact_ranks, lower_middle, nearest_index
+from offerloom.operators.ranking import (
+    best_tier, exact_ranks, first_by, lower_middle, nearest_index,
+)
 from offerloom.operators.urls import range_join
 from offerloom.streaming import jobs, state
 
@@ -281,7 +283,7 @@ def test_circuit_stream_equals_batch(spark, request_files, tmp_path):
         .option("recursiveFileLookup", "true").parquet(str(folder))
     )
     run = jobs.drain_to(state.circuit_state_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
-    run.awaitTermination()
+    jobs.run_to_idle(run)
     got = {r["request_id"]: r["state"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == _fold(rows)
 
@@ -293,7 +295,7 @@ def test_fast_first_publishes_once(spark, tmp_path):
         "search_id string, arrived_at timestamp, seq bigint, offer string, relevance_score double, ended boolean")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    jobs.drain_to(state.fast_first_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    jobs.run_to_idle(jobs.drain_to(state.fast_first_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")))
     got = {r["search_id"]: r["offers"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": ["o4", "o3", "o2", "o1", "o0"], "b": ["x"]}
 
@@ -314,7 +316,7 @@ def test_keyed_streams_keep_late_rows(spark, tmp_path):
         spark, tmp_path / "requests",
         [[(10 * k + i, T0 + timedelta(days=d, seconds=i), f"u{k}", 429) for i in range(2)] for k, d in enumerate(days)],
         "request_id bigint, ts timestamp, user_id string, status int")
-    jobs.drain_to(state.circuit_state_stream(stream), str(tmp_path / "c"), str(tmp_path / "ccp")).awaitTermination()
+    jobs.run_to_idle(jobs.drain_to(state.circuit_state_stream(stream), str(tmp_path / "c"), str(tmp_path / "ccp")))
     got = {r["request_id"]: r["state"] for r in spark.read.parquet(str(tmp_path / "c")).collect()}
     assert got == {10 * k + i: ("trips", "refused")[i] for k in range(4) for i in range(2)}
     # "held" has an offer in each batch and is published with the last
@@ -322,11 +324,97 @@ def test_keyed_streams_keep_late_rows(spark, tmp_path):
         spark, tmp_path / "arrivals",
         [[(f"s{k}", T0 + timedelta(days=d), k, f"o{k}", 1.0, True), ("held", T0 + timedelta(days=d), k, f"h{k}", float(k), k == 3)] for k, d in enumerate(days)],
         "search_id string, arrived_at timestamp, seq bigint, offer string, relevance_score double, ended boolean")
-    jobs.drain_to(state.fast_first_stream(arrivals), str(tmp_path / "f"), str(tmp_path / "fcp")).awaitTermination()
+    jobs.run_to_idle(jobs.drain_to(state.fast_first_stream(arrivals), str(tmp_path / "f"), str(tmp_path / "fcp")))
     found = {r["search_id"]: r["offers"] for r in spark.read.parquet(str(tmp_path / "f")).collect()}
     assert found == {f"s{k}": [f"o{k}"] for k in range(4)} | {"held": ["h3", "h2", "h1", "h0"]}
 
 
+def _states_left(query):
+    return [sum(x.numRowsTotal for x in p.stateOperators) for p in query.recentProgress]
+
+
+def test_keyed_streams_forget_by_the_clock(spark, tmp_path):
+    requests = _one_file_batches(
+        spark, tmp_path / "requests",
+        [[(10 * k + i, T0 + timedelta(days=d), f"u{i}", 429) for i in range(4)] for k, d in enumerate([0, 9, 3])],
+        "request_id bigint, ts timestamp, user_id string, status int")
+    arrivals = _one_file_batches(
+        spark, tmp_path / "arrivals", [[(f"s{k}", T0, 0, "o", 1.0, False)] for k in range(3)],
+        "search_id string, arrived_at timestamp, seq bigint, offer string, relevance_score double, ended boolean")
+    events = _one_file_batches(
+        spark, tmp_path / "events", [[(f"t{k}", T0, 0, "pending", None, None)] for k in range(3)],
+        "task_id string, ts timestamp, seq bigint, status string, message string, error string")
+    streams = {
+        "c": state.circuit_state_stream(requests, idle_s=1),
+        "f": state.fast_first_stream(arrivals, idle_s=1),
+        "t": state.task_status_stream(events, idle_s=1),
+    }
+    for name, stream in streams.items():
+        run = jobs.drain_to(stream, str(tmp_path / name), str(tmp_path / f"{name}cp"))
+        left = _states_left(jobs.run_to_idle(run, forgotten=True, timeout_s=120))
+        assert max(left) > 0 and left[-1] == 0
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 12
+
+
+def test_silent_sources_are_reported(spark, tmp_path):
+    """Answers in later batches than their requests, before them, late, twice, and none at all."""
+    at = lambda s: None if s is None else T0 + timedelta(seconds=s)
+    batches = [
+        [("q", "silent", 0, 5, None, None), ("q", "good", 0, 5, None, None), ("r", "early", None, None, 3, 7)],
+        [("q", "good", None, None, 5, 2), ("q", "good", None, None, 5, 9), ("q", "slow", 0, 5, None, None)],
+        [("q", "slow", None, None, 6, 4), ("r", "early", 0, 5, None, None), ("q", "none", 0, 5, 1, 0)],
+        [("q", "good", 0, 5, None, None), ("r", "stray", None, None, 1, 1)],
+    ]
+    log = _one_file_batches(
+        spark, tmp_path / "in",
+        [[(s, c, at(asked), budget, at(came), n) for s, c, asked, budget, came, n in rows] for rows in batches],
+        "search_id string, source string, requested_at timestamp, budget_s int, arrived_at timestamp, count int")
+    stream = state.deadline_stream(
+        log.where("requested_at is not null"), log.where("arrived_at is not null"), wait_s=30, idle_s=45)
+    run = jobs.drain_to(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    left = _states_left(jobs.run_to_idle(run, forgotten=True, timeout_s=240))
+    assert left[-1] == 0 and len(left) > 4
+    got = [tuple(r)[:5] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [
+        ("q", "good", False, 2, "complete"), ("q", "none", False, 0, "empty"),
+        ("q", "silent", True, 0, "error"), ("q", "slow", True, 0, "error"),
+        ("r", "early", False, 7, "complete"),
+    ]
+
+
+def test_open_windows_are_near_and_closed_ones_exact(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [
+        (T0 + timedelta(seconds=rng.randint(0, 7200)), rng.choice([200, 200, 429, None]), float(rng.randint(1, 5000)))
+        for _ in range(3000)
+    ]
+    rows = [(t, s, v, s == 200, False) for t, s, v in sorted(rows, key=lambda r: r[0])]
+    stream = _one_file_batches(
+        spark, tmp_path / "in", [rows[:1200], rows[1200:2000], rows[2000:]],
+        "ts timestamp, status int, latency_ms double, success boolean, cache_hit boolean")
+    out = str(tmp_path / "out")
+    jobs.drain_to(jobs.metrics_stream(stream, "1 hour"), out, str(tmp_path / "cp"), "update").awaitTermination()
+    newest = first_by(spark.read.parquet(out), ["window_start", "status"], [F.desc("batch")]).drop("batch")
+    stored = spark.read.parquet(*[str(tmp_path / "in" / f"f{k}") for k in range(3)])
+    windows = jobs.open_windows(newest)
+    near = {r.window_start: r for r in windows.collect()}
+    done = {r.window_start: r for r in jobs.closed_windows(
+        windows, stored, F.lit(T0 + timedelta(hours=1)), "1 hour").collect()}
+    for start, r in done.items():
+        held = sorted(v for t, _, v, *_ in rows if start <= t < start + timedelta(hours=1))
+        exact = [held[min(len(held) * p // 100, len(held) - 1)] for p in (50, 95)]
+        if start < T0 + timedelta(hours=1):
+            assert [r.p50, r.p95] == exact
+        else:
+            assert [r.p50, r.p95] == [near[start].p50, near[start].p95]
+        for name, p in (("p50", 0.5), ("p95", 0.95)):
+            rank = sum(v <= near[start][name] for v in held) / len(held)
+            assert abs(rank - p) < 0.05
+        known = [s for t, s, *_ in rows if start <= t < start + timedelta(hours=1) and s]
+        assert r.total_requests == len(held) and sum(r.status_counts.values()) == len(known)
+    assert len(done) >= 2
+
+
 def test_plan_limits_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as search_id", "id as position", "'a' as source")
     plan = selection.first_n(df, 5)._jdf.queryExecution().executedPlan().toString()
