@@ -12,6 +12,7 @@ from offerloom.functions.text import contains_any, first_match, has, strip, text
 from offerloom.operators.planning import computed_once
 from offerloom.operators.ranking import top_n
 from offerloom.operators.setops import ordered_union
+from offerloom.operators.settling import settle
 from offerloom.sources.dims import with_region
 
 
@@ -155,6 +156,59 @@ def _index_words(*texts: Column) -> Column:
     return F.array_distinct(F.filter(F.split(joined, r"(?U)\W+"), lambda t: t != ""))
 
 
+def _best_sets(requests: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """Best ``limit`` sets of each list of words: ``r, held, first_id, score``.
+
+    ``requests``: r, words that sets hold, the rarest first. ``sets``: held, first_id. A list opens
+    the sets that hold its first word and leaves sets without it to the list of its other words,
+    which many lists share. Those are asked for only while a set without the first word can still
+    be among the best: it scores at most their number. So a word that every set and every list
+    holds is opened once for each list of words yet more common than it, not for each query.
+    """
+    order = [F.desc("score"), F.asc("first_id")]
+    postings = sets.select("held", "first_id", F.explode("held").alias("word"))
+    own = settle(requests.select("r", F.lit(0).cast("bigint").alias("floor")).distinct())
+    longest = own.agg(F.max(F.size("r"))).first()[0] or 0
+    score = F.size(F.array_intersect("held", "r")).cast("bigint")
+    tail = F.slice("r", F.lit(2), F.size("r"))
+    opened: dict[int, DataFrame] = {}
+    asked = None
+    for size in range(longest, 0, -1):
+        now = own.where(F.size("r") == size)
+        now = now if asked is None else now.unionByName(asked)
+        # Some query that asks has ``limit`` sets that score ``floor`` at least.
+        now = now.groupBy("r").agg(F.min("floor").alias("floor"))
+        found = now.withColumn("word", F.col("r")[0]).join(postings, "word").drop("word")
+        best = top_n(found.withColumn("score", score), ["r"], order, limit)
+        opened[size] = settle(best.select("r", "floor", "held", "first_id", "score"))
+        known = F.when(F.count("*") >= limit, F.min("score")).otherwise(F.lit(0))
+        asked = (
+            opened[size]
+            .groupBy("r", "floor")
+            .agg(known.alias("known"))
+            .select(tail.alias("r"), F.greatest("floor", "known").alias("floor"))
+            .where(F.col("floor") <= F.size("r"))
+        )
+    answers = None
+    for size in range(1, longest + 1):
+        mine = opened[size].drop("floor")
+        if answers is not None:
+            others = answers.select(F.col("r").alias("_tail"), "held", "first_id")
+            passed = (
+                mine.select("r").distinct().join(others, tail == F.col("_tail")).drop("_tail")
+            )
+            both = mine.unionByName(passed.withColumn("score", score)).dropDuplicates(["r", "held"])
+            mine = top_n(both, ["r"], order, limit)
+        answers = settle(mine)
+        opened[size] = answers
+    columns = "r array<string>, held array<string>, first_id {}, score bigint"
+    kind = dict(sets.dtypes)["first_id"]
+    every = requests.sparkSession.createDataFrame([], columns.format(kind))
+    for level in opened.values():
+        every = every.unionByName(level)
+    return every
+
+
 def index_search(
     searches: DataFrame, index: DataFrame, limit: int = 10, fields: tuple[str, ...] = (
         "title", "domain", "keywords", "url",
@@ -165,7 +219,8 @@ def index_search(
     Ties go to the smaller id; a blank query gets the first documents. Searches with the
     same words are answered once. Documents are grouped by the set of query words they hold:
     equal sets score alike, so only each set's first ``limit`` ids and, per query, its best
-    ``limit`` sets can matter. Copies of one document never multiply the matching work.
+    ``limit`` sets can matter. Copies of one document never multiply the matching work, and
+    common words are opened last, once for the queries that share them (``_best_sets``).
     """
     queries = computed_once(
         searches.select("search_id", "query"), {"words": F.array_sort(_index_words(F.col("query")))}
@@ -184,15 +239,18 @@ def index_search(
         .groupBy("id")
         .agg(F.array_sort(F.collect_list("word")).alias("held"))
     )
-    firsts = top_n(known, ["held"], [F.asc("id")], limit)
+    firsts = settle(top_n(known, ["held"], [F.asc("id")], limit))
     sets = firsts.groupBy("held").agg(F.min("id").alias("first_id"))
-    scored = (
-        sets.select("held", "first_id", F.explode("held").alias("word"))
-        .join(query_words, "word")
-        .groupBy("words", "held", "first_id")
-        .agg(F.count("*").alias("score"))
+    rarity = (
+        sets.select(F.explode("held").alias("word"))
+        .groupBy("word")
+        .agg(F.count("*").alias("n"))
+    )
+    by_rarity = F.transform(
+        F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]
     )
-    best_sets = top_n(scored, ["words"], [F.desc("score"), F.asc("first_id")], limit)
+    lists = settle(query_words.join(rarity, "word").groupBy("words").agg(by_rarity.alias("r")))
+    best_sets = lists.join(_best_sets(lists, sets, limit), "r")
     answers = top_n(
         best_sets.join(firsts, "held").select("words", "id", "score"),
         ["words"],
@@ -244,12 +302,18 @@ def _trigrams(text: Column) -> Column:
     )
 
 
+#: First trigrams of query words that a plan holds.
+MOST_GRAMS = 5_000
+
+
 def sitemap_hits(searches: DataFrame, sitemap_urls: DataFrame, limit: int = 20) -> DataFrame:
     """Sitemap product URLs that contain any token of the query.
 
     ``sitemap_urls``: domain, domain_ord, position, loc. Tokens have at least three
     characters, so a URL containing one holds its first three characters as a trigram: that
-    is an equi join, and ``contains`` settles it. Each (token, domain) list is cut to its
+    is an equi join, and ``contains`` settles it. A URL yields a row for each of its trigrams that
+    begins a token; up to ``MOST_GRAMS`` of them are in the plan, and with more the join sorts
+    out the others. Each (token, domain) list is cut to its
     first ``limit`` URLs before it meets the queries, which loses nothing of the first
     ``limit`` of any union of such lists.
     """
@@ -276,8 +340,12 @@ def sitemap_hits(searches: DataFrame, sitemap_urls: DataFrame, limit: int = 20)
         .withColumn("gram", F.substring("token", 1, 3))
     )
     lowered = F.lower("loc")
+    grams = _trigrams(lowered)
+    starts = [r["gram"] for r in vocabulary.select("gram").distinct().limit(MOST_GRAMS + 1).collect()]
+    if len(starts) <= MOST_GRAMS:
+        grams = F.filter(grams, lambda g: g.isin(starts))
     matched = (
-        urls.withColumn("gram", F.explode(_trigrams(lowered)))
+        urls.withColumn("gram", F.explode(grams))
         .join(vocabulary, "gram")
         .where(F.contains(lowered, F.col("token")))
         .drop("gram")
