@@ -6,7 +6,7 @@ letters' log probabilities given their neighbours, and a Viterbi pass over the w
 for each change of language labels spans of one language.
 
 Features are hashed into ``BUCKETS`` counters per language, so that the model has one size whatever
-the training text. It is fitted on at most ``sample_per_lang`` documents of each language.
+the training text. It is fitted on at most ``sample_per_lang`` texts of each language.
 
 Nulls and texts without a letter are ``und`` with score 0 and no spans. Words in a script that no
 language uses have no label and count against the score. An empty training table gives a model
@@ -33,6 +33,8 @@ UNDETERMINED = "und"
 BUCKETS = 1 << 16
 #: Characters scored at once, and words per chunk of the Viterbi pass.
 BLOCK_CHARS, CHUNK = 1_000_000, 64
+#: Scores between two languages, over all chunks, that are computed at once.
+THROUGH_CELLS = 1 << 20
 #: Added to the score of a language that does not use a word's script.
 FOREIGN = np.float32(-40.0)
 #: Letter scores are not independent: evidence is weakened by this factor for the posterior.
@@ -155,30 +157,30 @@ def _counts(langs: list[str]) -> Callable:
 
 
 def fit(labelled: DataFrame, sample_per_lang: int = 5_000, penalty: float = 12.0) -> Model:
-    """Fit on ``text`` and ``lang`` of at most ``sample_per_lang`` rows of each language.
+    """Fit on ``text`` and ``lang`` of at most ``sample_per_lang`` texts of each language.
 
-    The rows are those whose text hashes smallest. ``penalty`` is what a change of language costs
-    in units of log probability. The number of languages bounds what comes to the driver.
+    Equal texts of a language count once. The texts are those whose hash lies in the share of all
+    hashes that holds a little less than ``sample_per_lang`` of them, and of these the smallest.
+    ``penalty`` is what a change of language costs in units of log probability. The number of
+    languages bounds what comes to the driver.
     """
     modest_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", F.xxhash64("text").alias("_h")
     )
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("_h"))
-    limits = (
-        rows.select("lang", "_h")
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= sample_per_lang)
-        .groupBy("lang")
-        .agg(F.max("_h").alias("_limit"))
-        .collect()
-    )
-    langs = sorted(r["lang"] for r in limits)
+    texts = rows.groupBy("lang", "_h").count().groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in texts.collect()}
+    langs = sorted(sizes)
     sampled = F.lit(False)
-    for r in limits:
-        sampled = sampled | ((F.col("lang") == r["lang"]) & (F.col("_h") <= r["_limit"]))
+    for lang, n in sizes.items():
+        share = min(1.0, 0.95 * sample_per_lang / n) if n > sample_per_lang else 1.0
+        limit = min(2**63 - 1, int(share * 2**64) - 2**63)
+        sampled = sampled | ((F.col("lang") == lang) & (F.col("_h") <= limit))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("_h"))
+    once = rows.where(sampled).groupBy("lang", "_h").agg(F.first("text").alias("text"))
+    chosen = once.withColumn("_rank", rank).where(F.col("_rank") <= sample_per_lang)
     counted = (
-        rows.where(sampled)
+        chosen.repartition("_h")
         .select("lang", "text")
         .mapInArrow(_counts(langs), "kind string, lang long, place long, n long")
         .groupBy("kind", "lang", "place")
@@ -226,11 +228,15 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
     padded[place] = scores
     padded = padded.reshape(total, CHUNK, n_langs)
 
-    # What a chunk adds from each entry language to each exit language.
-    through = np.full((total, n_langs, n_langs), -1e9, dtype=np.float64)
-    through[:, np.arange(n_langs), np.arange(n_langs)] = 0.0
-    for t in range(CHUNK):
-        through = _step(through, penalty)[0] + padded[:, t, None, :]
+    # What a chunk adds from each entry language to each exit language; so many chunks at once.
+    through = np.empty((total, n_langs, n_langs))
+    at_once = max(1, THROUGH_CELLS // n_langs**2)
+    for first in range(0, total, at_once):
+        part = np.full((min(at_once, total - first), n_langs, n_langs), -1e9)
+        part[:, np.arange(n_langs), np.arange(n_langs)] = 0.0
+        for t in range(CHUNK):
+            part = _step(part, penalty)[0] + padded[first : first + at_once, t, None, :]
+        through[first : first + at_once] = part
     entry = np.zeros((total, n_langs))
     longest = int(n_chunks.max(initial=0))
     order = np.argsort(-n_chunks, kind="stable")
@@ -243,19 +249,19 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
         state[active] = (state[active][:, :, None] + through[at]).max(1)
 
     stays = np.empty((CHUNK, total, n_langs), dtype=bool)
-    rival = np.empty((CHUNK, total), dtype=np.int8)
+    rival = np.empty((CHUNK, total), dtype=np.int32)
     now = entry
     for t in range(CHUNK):
         now, stays[t], rival[t] = _step(now, penalty)
         now = now + padded[:, t]
     # Backwards from each exit language; path[t] is the label of word t.
-    path = np.empty((CHUNK, total, n_langs), dtype=np.int8)
-    at = np.broadcast_to(np.arange(n_langs, dtype=np.int8), (total, n_langs))
+    path = np.empty((CHUNK, total, n_langs), dtype=np.int32)
+    at = np.broadcast_to(np.arange(n_langs, dtype=np.int32), (total, n_langs))
     for t in range(CHUNK - 1, -1, -1):
         path[t] = at
         at = np.where(np.take_along_axis(stays[t], at.astype(np.int64), 1), at, rival[t][:, None])
-    leaves = np.empty(total, dtype=np.int8)
-    exit_now = state.argmax(1).astype(np.int8)
+    leaves = np.empty(total, dtype=np.int32)
+    exit_now = state.argmax(1).astype(np.int32)
     for c in range(longest - 1, -1, -1):
         active = order[: np.searchsorted(-lengths, -c, side="left")]
         chunk = first_chunk[active] + c
@@ -325,12 +331,14 @@ def label(texts: list[str | None], model: Model, spans: bool) -> list[tuple]:
     return out
 
 
-def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+def _groups(texts: list[str | None], n_langs: int) -> Iterator[list[str | None]]:
+    """Texts that are labelled together: fewer where there are many languages."""
+    most = BLOCK_CHARS * 16 // max(16, n_langs)
     group, chars = [], 0
     for text in texts:
         group.append(text)
         chars += len(text or "")
-        if chars >= BLOCK_CHARS:
+        if chars >= most:
             yield group
             group, chars = [], 0
     if group:
@@ -347,7 +355,7 @@ def language(text: Column, model: Model, spans: bool = False) -> Column:
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for g in _groups(batch.tolist()) for r in label(g, model, spans)]
+            rows = [r for g in _groups(batch.tolist(), len(model.langs)) for r in label(g, model, spans)]
             yield pd.DataFrame(rows, columns=["lang", "score", "spans"])
 
     return run(text)

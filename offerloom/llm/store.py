@@ -1,12 +1,13 @@
 """Tables written to the shared folder between the rounds of a job.
 
-The folder is the one the session names in ``spark.checkpoint.dir``. Where that is unset, as in
-tests, the warehouse is used, which driver and executors share as well. A job's tables are deleted
+The folder is the one the session names in ``spark.checkpoint.dir``. Where that is unset, a local
+session, as in tests, uses the warehouse; on a cluster the setting is asked for. A job's tables are deleted
 when the application ends, and earlier when the job drops them.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+        root = spark.sparkContext.getCheckpointDir()
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
 

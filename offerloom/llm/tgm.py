@@ -164,13 +164,16 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.reshape(-1)).astype(bool)
 
 
-_MARKS = "doc_id long, n int, digest binary, shown array<long>, bits binary"
+_MARKS = (
+    "doc_id long, text_hash long, n int, digest binary, shown array<long>, bits binary"
+)
 
 
 def _marks(k: int, percent: int, sketch: np.ndarray) -> Callable:
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
+            ("text_hash", pa.int64()),
             ("n", pa.int32()),
             ("digest", pa.binary()),
             ("shown", pa.list_(pa.int64())),
@@ -178,23 +181,28 @@ def _marks(k: int, percent: int, sketch: np.ndarray) -> Callable:
         ]
     )
 
-    def row(doc_id: int | None, text: str | None) -> tuple:
+    def row(doc_id: int | None, text: str | None, text_hash: int) -> tuple:
         tokens = shingle_set(text, k)
         n = len(tokens)
         if not n:
-            return doc_id, 0, None, [], None
+            return doc_id, text_hash, 0, None, [], None
         common = sketch[(tokens & _MASK).astype(np.int64)]
         first = np.lexsort((tokens, common))[: n - _least_overlap(n, percent) + 1]
         digest = hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest()
-        return doc_id, n, digest, tokens[first].astype(np.int64), bitmap(tokens)
+        return doc_id, text_hash, n, digest, tokens[first].astype(np.int64), bitmap(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows = [
-                    row(d, t.as_py())
-                    for d, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)
+                    row(d, t.as_py(), h)
+                    for d, t, h in zip(
+                        part.column(0).to_pylist(),
+                        part.column(1),
+                        part.column(2).to_pylist(),
+                        strict=True,
+                    )
                 ]
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -338,10 +346,15 @@ class _Join:
             f"{name}-links",
         )
 
-    def run(self) -> DataFrame:
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        """All rows ``doc_id, text_hash, n, digest``, and ``digest, component, component_id`` of
+        each set. Rows without words have no set."""
         sketch = token_sketch(self.docs, self.k)
         marks = self.space.keep(
-            self.docs.mapInArrow(_marks(self.k, self.percent, sketch), _MARKS), "marks"
+            self.docs.withColumn("_h", _text_hash(F.col("text"))).mapInArrow(
+                _marks(self.k, self.percent, sketch), _MARKS
+            ),
+            "marks",
         )
         label = F.min(F.coalesce("doc_id", F.lit(_NO_ID)))
         classes = self.space.keep(
@@ -378,7 +391,7 @@ class _Join:
         final = components(linked.union(opened), self.space, "final")
         for name in _PASSING:
             self.space.drop(name)
-        return self._result(marks, classes, final)
+        return marks.select("doc_id", "text_hash", "n", "digest"), self._named(classes, final)
 
     def _group_links(self, posts: DataFrame, classes: DataFrame) -> DataFrame:
         """Links with the leader of each shared token: what groups are made from."""
@@ -485,49 +498,99 @@ class _Join:
         ).select("a", "b")
         return self.verified(opened.distinct(), classes, "opened")
 
-    def _result(self, marks: DataFrame, classes: DataFrame, final: DataFrame) -> DataFrame:
-        labelled = classes.select("node", "digest", "label").join(final, "node", "left")
-        of_component = (
-            labelled.where("component is not null")
-            .groupBy("component")
-            .agg(F.min("label").alias("component_label"))
+    def _named(self, classes: DataFrame, final: DataFrame) -> DataFrame:
+        labelled = self.space.keep(
+            classes.select("node", "digest", "label").join(final, "node", "left"), "labelled"
         )
-        named = self.space.keep(
-            labelled.join(of_component, "component", "left").select(
-                "digest", F.coalesce("component_label", "label").alias("component_id")
+        linked = labelled.where("component is not null")
+        of_component = self.space.keep(
+            linked.groupBy("component").agg(
+                F.min("label").alias("component_label"), F.count("*").alias("held")
             ),
-            "named",
+            "component-labels",
         )
-        known = F.when(F.col("component_id") < _NO_ID, F.col("component_id"))
-        return marks.select("doc_id", "n", "digest").join(named, "digest", "left").select(
-            "doc_id",
-            F.col("n").cast("long").alias("n_shingles"),
-            F.when(F.col("n") == 0, F.col("doc_id")).otherwise(known).alias("component_id"),
+        columns = ["digest", "component", "component_label"]
+        named = spread_join(linked, of_component, ["component"], "held", F.xxhash64("node"))
+        alone = labelled.where("component is null").select(
+            "digest", F.col("node").alias("component"), F.col("label").alias("component_label")
+        )
+        known = F.when(F.col("component_label") < _NO_ID, F.col("component_label"))
+        return self.space.keep(
+            named.select(*columns)
+            .unionByName(alone)
+            .select("digest", "component", known.alias("component_id")),
+            "named",
         )
 
 
+def _whole_id(doc_id: Column) -> Column:
+    """An id that equals itself when null."""
+    return F.struct(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"))
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
     Two documents are linked when their sets of ``k``-word shingles share at least ``percent`` of
     their union. ``component_id`` is the smallest ``doc_id`` reachable by links, itself included.
     """
-    return _Join(docs, k, percent).run()
+    rows, named = _Join(docs, k, percent).run()
+    n = F.col("n").cast("long").alias("n_shingles")
+    without = rows.where("n = 0").select("doc_id", n, F.col("doc_id").alias("component_id"))
+    return (
+        rows.where("n > 0")
+        .join(named, "digest")
+        .select("doc_id", n, "component_id")
+        .unionByName(without)
+    )
 
 
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id names their component; equal rows once."""
-    found = jaccard_components(docs, k, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    """One row of ``docs`` of each component: the one with the smallest id, null last.
+
+    Of rows with one id and different texts each belongs to its own text's component. Rows without
+    words are linked with nothing and stay, equal ones once.
+    """
+    join = _Join(docs, k, percent)
+    marks, named = join.run()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    placed = join.space.keep(
+        marks.where("n > 0")
+        .join(named, "digest")
+        .select("component", "doc_id", "text_hash", place.alias("place")),
+        "rows-of-components",
+    )
+    first = join.space.keep(
+        placed.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("held")),
+        "first-rows",
+    )
+    gone = (
+        spread_join(placed, first, ["component"], "held", F.xxhash64("doc_id", "text_hash"))
+        .where("place <> first")
+        .select("doc_id", "text_hash")
+        .distinct()
+        .select(
+            _whole_id(F.col("doc_id")).alias("_gone_id"),
+            F.col("text_hash").alias("_gone_text"),
+        )
+    )
     rows, box = boxed(docs)
     return (
         rows.withColumns(
             {
-                "_id": F.col(f"{box}.doc_id").cast("long"),
-                "_text": F.xxhash64(F.coalesce(f"{box}.text", F.lit(""))),
+                "_id": _whole_id(F.col(f"{box}.doc_id").cast("long")),
+                "_text": _text_hash(F.col(f"{box}.text")),
             }
         )
-        .join(gone, "_id", "left_anti")
+        .join(
+            gone,
+            (F.col("_id") == F.col("_gone_id")) & (F.col("_text") == F.col("_gone_text")),
+            "left_anti",
+        )
         .dropDuplicates(["_id", "_text"])
         .select(*unboxed(box, docs.columns))
     )

@@ -77,6 +77,23 @@ def test_jaccard_chain_of_near_copies(spark):
     assert kept.columns == frame(spark, rows).columns
 
 
+def test_one_row_of_each_component(spark):
+    """Repeated and null ids: each row goes with its own text's component, and one row stays."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"x{i}" for i in range(60))
+    third = " ".join(f"y{i}" for i in range(60))
+    rows = [(1, base), (2, base + " more"), (2, other), (None, third + " a"), (None, third + " b")]
+    rows += [(3, other), (3, other), (None, None), (None, ""), (7, "   "), (7, " "), (8, third.upper())]
+    kept = tgm.one_per_component(
+        frame(spark, [(*r, None, None) for r in rows]), 5, 80
+    ).select("doc_id", "text")
+    got = Counter(map(tuple, kept.collect()))
+    assert max(got.values()) == 1
+    assert {r for r in got if r[1] and r[1].strip()} == {(1, base), (2, other), (8, third.upper())}
+    assert {r for r in got if r[0] == 7} == {(7, "   "), (7, " ")}
+    assert sum(r[0] is None for r in got) == 1
+
+
 def test_winnowing(spark):
     for k, w in ((12, 8), (3, 4), (2, 2)):
         got = winnow.compare_with_edit(frame(spark, ROWS), k, w).collect()
@@ -256,6 +273,24 @@ def test_language(spark):
     assert docs.select(langid.language(F.col("text"), nothing).alias("f")).first().f.lang == "und"
 
 
+def test_viterbi_with_many_languages(monkeypatch):
+    monkeypatch.setattr(langid, "THROUGH_CELLS", 1000)
+    rng = np.random.default_rng(3)
+    scores = rng.normal(size=(200, 300)).astype(np.float32)
+    scores[:90, 299] += 9
+    scores[90:200, 128] += 9
+    labels = langid.viterbi(scores, np.array([0, 150]), 6.0)
+    assert labels.tolist() == [299] * 90 + [128] * 110
+
+
+def test_copies_of_a_text_count_once(spark):
+    rows = [(i, "der hund und die katze", "de", None) for i in range(500)]
+    rows += [(1000 + i, f"the dog and cat {i}", "en", None) for i in range(60)]
+    one = langid.fit(frame(spark, rows), sample_per_lang=20)
+    few = langid.fit(frame(spark, [rows[0], *rows[500:]]), sample_per_lang=20)
+    assert one.langs == few.langs and np.array_equal(one.scores, few.scores)
+
+
 def test_language_is_learned_from_text_alone(spark):
     got = queries.QUERIES["op1_language_id"](spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
