@@ -14,6 +14,7 @@ _FAMILIES = (
     "metrics",
     "streams",
     "searches",
+    "products",
 )
 
 
