@@ -251,17 +251,19 @@ def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
-#: Pages in an archive file, and which records of the second replica are damaged.
+#: Pages in an archive file, and which records of the second replica are damaged; foreign ones stand
+#: beside sound records of the same key. Pages without an id are filed by their URL.
 PAGES_PER_FILE = 1024
-_ROT, _CUT, _LOST = (97, 13), (193, 7), (251, 5)
+_ROT, _CUT, _LOST, _FOREIGN = (97, 13), (193, 7), (251, 5), (311, 17)
 _WARC_SQL = f"""
 WITH bodies AS (
-  SELECT page_id, page_id // {PAGES_PER_FILE} AS file, coalesce(url, '') AS url,
+  SELECT page_id, coalesce(page_id // {PAGES_PER_FILE},
+      -1 - ('0x' || left(md5(coalesce(url, '')), 4))::BIGINT) AS file, coalesce(url, '') AS url,
     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8'
       || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body,
     coalesce(html, '') AS html FROM pages
 ), records AS (
-  SELECT page_id, file, html, 149 + strlen(page_id::VARCHAR) + strlen(url)
+  SELECT page_id, file, html, url, 149 + strlen(page_id::VARCHAR) + strlen(url)
     + strlen(strlen(body)::VARCHAR) + strlen(body) + 4 AS length FROM bodies
 ), placed AS (
   SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id
@@ -275,17 +277,26 @@ WITH bodies AS (
   SELECT *, length - strlen(html) + strlen(found_html)
     - strlen((59 + strlen(html))::VARCHAR) + strlen((59 + strlen(found_html))::VARCHAR) AS now
   FROM damaged
+), ends AS (
+  SELECT file, sum(length) AS file_end FROM records GROUP BY file
+), foreign_records AS (
+  SELECT file, page_id, 149 + strlen(page_id::VARCHAR) + strlen(url) + 6 + 2 + 59 + 4 AS length
+  FROM sized WHERE page_id % {_FOREIGN[0]} = {_FOREIGN[1]} AND NOT lost AND found_html = html
 )
 SELECT file, page_id, "offset", length::BIGINT AS length,
   CASE WHEN lost THEN 0 ELSE now END::BIGINT AS found,
   CASE WHEN lost THEN 'missing' WHEN now <> length THEN 'resized' ELSE 'changed' END AS state
 FROM sized WHERE lost OR found_html <> html
+UNION ALL
+SELECT file, page_id, (file_end + coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT, NULL, length::BIGINT, 'extra'
+FROM foreign_records JOIN ends USING (file)
 """
 
 
 @_register("op10_warc_fixity", _WARC_SQL)
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of a replica of all pages in which some records have rotted, been cut or got lost."""
+    """Audit of a replica of all pages: some records rotted, were cut, got lost or came from elsewhere."""
     page, html = F.col("page_id"), F.coalesce("html", F.lit(""))
     n = F.length(html)
     damaged = (
@@ -293,17 +304,24 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(page % _ROT[0] == _ROT[1], F.concat(F.left(html, n - 1), F.lit("#")))
         .otherwise(html)
     )
-    pages = _table(spark, sf_dir, "pages").withColumn(
-        "file", F.floor(page / PAGES_PER_FILE).cast("long")
+    unnamed = -1 - F.conv(F.left(F.md5(F.coalesce("url", F.lit(""))), F.lit(4)), 16, 10).cast("long")
+    file = F.coalesce(F.floor(page / PAGES_PER_FILE).cast("long"), unnamed)
+    pages = _table(spark, sf_dir, "pages").withColumn("file", file)
+    lost = F.coalesce(page % _LOST[0] == _LOST[1], F.lit(False))
+
+    def records(rows: DataFrame, url: Column, content: Column) -> DataFrame:
+        record = warc.response_record(page, url, content)
+        return rows.select("file", page.alias("key"), record.alias("record"))
+
+    url = F.col("url")
+    ours = warc.index(warc.digests(records(pages, url, html)))
+    foreign = pages.where(
+        (page % _FOREIGN[0] == _FOREIGN[1]) & ~lost & (damaged == html)
     )
-
-    def records(content: Column) -> DataFrame:
-        record = warc.response_record(page, F.col("url"), content)
-        return pages.select("file", page.alias("key"), record.alias("record"))
-
-    ours = warc.index(warc.digests(records(html)))
-    lost = F.coalesce(F.col("key") % _LOST[0] == _LOST[1], F.lit(False))
-    theirs = warc.held(warc.digests(records(damaged).where(~lost)), ours)
+    replica = records(pages.where(~lost), url, damaged).union(
+        records(foreign, F.concat(F.coalesce(url, F.lit("")), F.lit("#again")), F.lit(""))
+    )
+    theirs = warc.held(warc.digests(replica), ours)
     return warc.audit(ours, theirs).withColumnRenamed("key", "page_id").select(
         "file",
         "page_id",

@@ -6,12 +6,14 @@ higher level ``fanout`` nodes below it. An audit compares the roots of two repli
 only where nodes differ, down to the records in the ranges that differ.
 
 Both replicas are read at the offsets of the archive's index, so a record of another length or a
-missing one is found where it stands, and those after it still agree.
-
-Nulls: a null key is a key, ordered first; null content is empty. Of rows with one file and key the
-one whose hash is smallest is the record. An empty table has no tree and no faults; files that only
-one replica has are reported record by record. A file is bounded, as archive files are; a
-range of offsets holds few records, so no node's children grow with the data.
+missing one is found where it stands, and those after it still agree. Records that only the replica
+has stand behind the file's end.
+
+Nulls: a null key is a key, ordered first; null content is empty. Every row is a record: those with
+one file and key stand in order of their hashes and are audited one by one, equal contents against
+each other first. An empty table has no tree and no faults; files that only one replica has are
+reported record by record. A file is bounded, as archive files are (rows without a key have to be
+given files as well); a range of offsets holds few records, so no node's children grow with the data.
 """
 
 from __future__ import annotations
@@ -47,31 +49,68 @@ def response_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def digests(records: DataFrame) -> DataFrame:
-    """``file, key, length, sha256`` of ``records(file, key, record)``."""
-    own = F.struct(F.sha2("record", 256).alias("sha256"), F.octet_length("record").alias("length"))
+    """``file, key, copy, length, sha256`` of ``records(file, key, record)``.
+
+    ``copy`` numbers the rows of one file, key and content from 1.
+    """
+    content = F.coalesce("record", F.lit(""))
     return (
-        records.groupBy("file", "key")
-        .agg(F.min(own).alias("_own"))
-        .select("file", "key", F.col("_own.length").cast("long").alias("length"), "_own.sha256")
+        records.groupBy(
+            "file",
+            "key",
+            F.octet_length(content).cast("long").alias("length"),
+            F.sha2(content, 256).alias("sha256"),
+        )
+        .agg(F.count("*").alias("_n"))
+        .select(
+            "file", "key", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("copy"),
+            "length", "sha256",
+        )
     )
 
 
+_IN_ORDER = ["key", "sha256", "copy"]
+
+
 def index(hashed: DataFrame) -> DataFrame:
     """Adds ``offset``: where each record of a file begins, in order of its key."""
-    before = (
-        W.partitionBy("file").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
-    )
+    before = W.partitionBy("file").orderBy(*_IN_ORDER).rowsBetween(W.unboundedPreceding, -1)
     return hashed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
 def held(hashed: DataFrame, archive_index: DataFrame) -> DataFrame:
-    """A replica's records at the offsets of the archive's index."""
-    at = archive_index.select(
-        F.col("file").alias("_file"), F.col("key").alias("_key"), "offset"
+    """A replica's records at the offsets of the archive's index.
+
+    Equal contents of one file and key meet first, the others in order of their hashes. What is
+    left over on the replica's side is foreign and follows the file's end, its ``copy`` negative.
+    """
+    own = ["file", "key", "sha256", "copy", "length"]
+    at = archive_index.select(*[F.col(c).alias(f"_{c}") for c in (*own, "offset")])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own])
+    here, there = F.col("sha256").isNotNull(), F.col("_sha256").isNotNull()
+    both = hashed.select(*own).join(at, same, "full").select(
+        *[F.when(here, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in own],
+        (here.cast("int") + there.cast("int") * 2).alias("_side"),
+        F.when(there, F.struct("_offset", "_copy")).alias("_place"),
+        (F.col("_offset") + F.col("_length")).alias("_after"),
+    )
+    nth = F.row_number().over(W.partitionBy("file", "key", "_side").orderBy("sha256", "copy"))
+    met = W.partitionBy("file", "key", F.col("_side") == 3, "_nth")
+    placed = both.withColumn("_nth", nth).withColumn(
+        "_place", F.when(F.col("_side") == 3, F.col("_place")).otherwise(F.max("_place").over(met))
+    )
+    foreign = F.col("_place").isNull()
+    earlier = (
+        W.partitionBy("file", foreign).orderBy(*_IN_ORDER).rowsBetween(W.unboundedPreceding, -1)
+    )
+    end = F.coalesce(F.max("_after").over(W.partitionBy("file")), F.lit(0))
+    behind = end + F.coalesce(F.sum("length").over(earlier), F.lit(0))
+    return (
+        placed.withColumn("offset", F.coalesce("_place._offset", behind))
+        .withColumn("copy", F.coalesce("_place._copy", -F.col("copy")))
+        .where(F.col("_side") != 2)
+        .select("file", "key", "copy", "length", "sha256", "offset")
     )
-    return hashed.join(
-        at, F.col("file").eqNullSafe(F.col("_file")) & F.col("key").eqNullSafe(F.col("_key"))
-    ).drop("_file", "_key")
 
 
 class Tree:
@@ -162,7 +201,7 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         _below(t.leaves.withColumn("range", F.floor(F.col("offset") / LEAF_BYTES)), wrong, 1)
         for t in (a, b)
     ]
-    columns = ["file", "offset", "key", "length", "sha256"]
+    columns = ["file", "offset", "key", "copy", "length", "sha256"]
     mine = leaves[0].select(*columns)
     other = leaves[1].select(*[F.col(c).alias(f"_{c}") for c in columns])
     state = (
@@ -177,7 +216,8 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
             other,
             F.col("file").eqNullSafe(F.col("_file"))
             & (F.col("offset") == F.col("_offset"))
-            & F.col("key").eqNullSafe(F.col("_key")),
+            & F.col("key").eqNullSafe(F.col("_key"))
+            & (F.col("copy") == F.col("_copy")),
             "full",
         )
         .where(~F.col("sha256").eqNullSafe(F.col("_sha256")))

@@ -116,7 +116,7 @@ def test_fixity(spark, monkeypatch):
     del bad[(1, 7)]
     bad[(2, 9)] = bad[(2, 9)][:-1] + "!"
     bad[(3, 59)] += "longer"
-    other = [(f, k, r, 1, 2) for (f, k), r in bad.items()]
+    other = [(f, k, r, 1, 2) for (f, k), r in bad.items()] + [rows[7]]
     first, second = (spark.createDataFrame(r, RECORDS) for r in (rows, other))
     ours = warc.index(warc.digests(first))
     got = warc.audit(ours, warc.held(warc.digests(second), ours)).collect()
@@ -124,7 +124,7 @@ def test_fixity(spark, monkeypatch):
         (1, 7, "missing"), (2, 9, "changed"), (3, 59, "resized"),
     ]
     ends = {f: 0 for f in range(4)}
-    for f, k, r, *_ in sorted(rows[:240]):
+    for f, k, r, *_ in sorted(rows[:240] + [rows[7]]):
         for x in got:
             if (x.file, x.key) == (f, k):
                 assert x.offset == ends[f] and x.length == len(r)
@@ -136,6 +136,39 @@ def test_fixity(spark, monkeypatch):
     assert {r.state for r in warc.audit(none, ours).collect()} == {"extra"}
 
 
+def test_fixity_of_foreign_records_and_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAF_BYTES", 16)
+    monkeypatch.setattr(warc, "FANOUT", 2)
+    rows = [(0, k, f"record {k}", 1, 2) for k in range(9)]
+    rows += [(0, None, "a", 1, 2), (0, None, "b", 1, 2), (0, None, "b", 1, 2), (0, 3, "other", 1, 2)]
+    rows += [(1, 1, None, 1, 2), (1, 1, "", 1, 2), (None, None, "lone", 1, 2)]
+    other = [r for r in rows if r[:3] not in ((0, None, "b"), (0, 5, "record 5"), (0, 3, "other"))]
+    other += [(0, None, "b", 1, 2), (0, None, "cc", 1, 2)]  # one copy has turned into cc
+    other += [(0, 3, "odder", 1, 2), (0, 4, "foreign", 1, 2), (0, 4, "foreign", 1, 2)]
+    other += [(0, 99, "behind", 1, 2), (7, 1, "new file", 1, 2), (1, 1, "x", 1, 2)]
+    first, second = (spark.createDataFrame(r, RECORDS) for r in (rows, other))
+    ours = warc.index(warc.digests(first))
+    theirs = warc.held(warc.digests(second), ours)
+    assert theirs.count() == len(other)
+    got = warc.audit(ours, theirs).collect()
+    assert sorted((r.file, r.key or -1, r.length or -1, r.found or -1, r.state) for r in got) == [
+        (0, -1, 1, 2, "resized"),
+        (0, 3, 5, 5, "changed"),
+        (0, 4, -1, 7, "extra"),
+        (0, 4, -1, 7, "extra"),
+        (0, 5, 8, -1, "missing"),
+        (0, 99, -1, 6, "extra"),
+        (1, 1, -1, 1, "extra"),
+        (7, 1, -1, 8, "extra"),
+    ]
+    end = sum(len(r[2]) for r in rows if r[0] == 0)
+    extra = sorted(r.offset for r in got if r.state == "extra" and r.file == 0)
+    assert extra == [end, end + 7, end + 14]
+    assert warc.audit(ours, warc.held(warc.digests(first), ours)).count() == 0
+    nothing = spark.createDataFrame([], RECORDS)
+    assert warc.held(warc.digests(nothing), ours).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     links += [(205, 203), (204, 205), (203, 201)]
