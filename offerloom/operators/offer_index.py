@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from offerloom.operators.ranking import first_by
+from offerloom.operators.settling import finished, settle
 
 
 def document_id(domain: Column, url: Column) -> Column:
@@ -66,3 +70,69 @@ def write_upsert(
     index = spark.read.parquet(path).drop(_BUCKET)
     merged = upsert(index, changes)
     bucketed(merged, buckets).write.mode("errorifexists").partitionBy(_BUCKET).parquet(target)
+
+
+class VersionedIndex:
+    """The index in a folder where a change rewrites only the buckets it falls into.
+
+    ``data/<version>/bucket=<n>`` holds a bucket as a version left it, ``versions/<nth>`` says for every
+    bucket which version wrote it last. A version is seen once its list is complete: readers and
+    a lost driver find the one before. One writer at a time. ``buckets`` is fixed by the first version;
+    a bucket should hold what one executor merges at a time.
+    """
+
+    def __init__(self, spark, path: str, buckets: int = 512) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _latest(self) -> tuple[int, int, dict[int, str], StructType | None]:
+        """Number of the newest version, buckets, folder of each bucket (at most ``buckets``), schema."""
+        names = finished(self.spark, f"{self.path}/versions")
+        if not names:
+            return 0, self.buckets, {}, None
+        listed = self.spark.read.parquet(f"{self.path}/versions/{names[-1]}").collect()
+        head = next(r for r in listed if r["bucket"] < 0)
+        places = {r["bucket"]: r["folder"] for r in listed if r["bucket"] >= 0}
+        return int(names[-1]), -head["bucket"], places, StructType.fromDDL(head["folder"])
+
+    def _read(self, folders: list[str], schema: StructType) -> DataFrame:
+        read = self.spark.read.schema(schema)
+        paths = [f"{self.path}/{folder}" for folder in folders]
+        return read.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def documents(self) -> DataFrame | None:
+        """All documents of the newest version, None before the first one."""
+        _, _, places, schema = self._latest()
+        return None if schema is None else self._read(list(places.values()), schema)
+
+    def apply(self, changes: DataFrame, vanished: DataFrame | None = None) -> list[int]:
+        """Take in changed documents, then drop the ids of ``vanished``; returns the buckets rewritten.
+
+        Applying the same changes twice changes no document. Rows without an id are left out.
+        """
+        nth, buckets, places, schema = self._latest()
+        changes = settle(changes.where(F.col("id").isNotNull()))
+        touching = changes.select("id")
+        if vanished is not None:
+            vanished = settle(vanished.select("id").where(F.col("id").isNotNull()))
+            touching = touching.union(vanished)
+        rows = bucketed(touching, buckets).select(_BUCKET).distinct().collect()
+        touched = sorted(r[_BUCKET] for r in rows)
+        if schema is None:
+            schema = changes.schema
+        before = self._read([places[b] for b in touched if b in places], schema)
+        merged = upsert(before, changes)
+        if vanished is not None:
+            merged = delete(merged, vanished)
+        folder = f"data/{uuid.uuid4().hex}"
+        # Rows of a bucket come together, large buckets in several files.
+        together = bucketed(merged, buckets).hint("rebalance", _BUCKET)
+        together.write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
+        written = self.spark.read.schema(f"id string, {_BUCKET} int").parquet(f"{self.path}/{folder}")
+        left = [r[_BUCKET] for r in written.select(_BUCKET).distinct().collect()]
+        places = {b: place for b, place in places.items() if b not in set(touched)}
+        places |= {b: f"{folder}/{_BUCKET}={b}" for b in left}
+        listed = [(-buckets, merged.schema.toDDL()), *sorted(places.items())]
+        self.spark.createDataFrame(listed, f"{_BUCKET} int, folder string").coalesce(1).write.mode(
+            "overwrite"
+        ).parquet(f"{self.path}/versions/{nth + 1:012d}")
+        return touched

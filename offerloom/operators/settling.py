@@ -34,6 +34,16 @@ def run_folder(spark: SparkSession) -> str:
     return name
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sub-folders of ``path`` whose job ended; none where there is no folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    marks = fs.globStatus(folder.suffix("/*/_SUCCESS"))
+    return sorted(mark.getPath().getParent().getName() for mark in marks)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder so that later rounds start from them."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import matching, price_history, ranking
+from offerloom.operators import enrichment, matching, offer_index, price_history, ranking
 
 T0 = datetime(2024, 1, 1)
 
@@ -128,3 +128,98 @@ def test_product_matches(spark, monkeypatch):
     monkeypatch.setattr(ranking, "HOT_ROWS", 10)
     assert {tuple(r) for r in matching.product_matches(df).collect()} == want
     assert matching.product_matches(df.limit(0)).count() == 0
+
+
+def _due(offers, log, now, max_tries=3, backoff=3600, lease=900, threshold=0.7):
+    newest = {}
+    for i, confidence, at in offers:
+        if i is not None and at is not None:
+            key = (at, -(confidence or 0.0))
+            newest[i] = max(newest.get(i, key), key)
+    out = set()
+    for i, (version, lack) in newest.items():
+        mine = [(at, state) for j, at, state in log if j == i and at is not None and version <= at <= now]
+        tries = [at for at, state in mine if state == "taken"]
+        if -lack >= threshold or any(s == "done" for _, s in mine) or len(tries) >= max_tries:
+            continue
+        at = version
+        if tries:
+            last = max(at for at, _ in mine)
+            at = max(last + timedelta(seconds=backoff * 2 ** (len(tries) - 1)), max(tries) + timedelta(seconds=lease))
+        if at <= now:
+            out.add((i, -lack, len(tries), at))
+    return out
+
+
+def test_due_offers(spark):
+    rng = random.Random(9)
+    hours = lambda n: T0 + timedelta(hours=rng.randint(0, n))
+    offers = [(f"o{rng.randint(0, 40)}", rng.choice([None, 0.2, 0.5, 0.7, 0.9]), hours(5)) for _ in range(70)]
+    offers += [(None, 0.1, T0), ("t", 0.1, None), ("new", 0.3, T0)]
+    log = [(f"o{rng.randint(0, 40)}", hours(30), rng.choice(["taken", "taken", "failed", "failed", "done"])) for _ in range(90)]
+    log += [("o1", None, "done"), (None, T0, "done")] + [("hot", T0, "failed")] * 300
+    now = T0 + timedelta(hours=26)
+    df = spark.createDataFrame(offers, "id string, confidence double, updated_at timestamp")
+    logged = spark.createDataFrame(log, "id string, at timestamp, state string")
+    got = enrichment.due(df, logged, F.lit(now), max_tries=3).collect()
+    want = _due(offers, log, now)
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 5
+    assert {r.tries for r in got} >= {0, 1}
+    assert enrichment.due(df.limit(0), logged, F.lit(now)).count() == 0
+
+
+def test_queue_takes_nothing_twice(spark, tmp_path):
+    offers = spark.createDataFrame(
+        [(f"o{i}", i / 10, T0) for i in range(10)], "id string, confidence double, updated_at timestamp"
+    )
+    queue = enrichment.EnrichmentQueue(spark, str(tmp_path / "queue"), max_tries=2)
+    at = lambda h: F.lit(T0 + timedelta(hours=h))
+    take = lambda h, batch, **k: {r.id for r in queue.take(offers, at(h), batch, **k).collect()}
+    assert queue.log().count() == 0
+    assert take(0, "a", limit=3) == {"o0", "o1", "o2"}
+    assert take(5, "a") == {"o0", "o1", "o2"}  # the batch again
+    assert take(0, "b") == {"o3", "o4", "o5", "o6"}
+    assert take(0, "c") == set()
+    queue.report(spark.createDataFrame([("o0", True), ("o1", False), ("o3", None)], "id string, ok boolean"), at(1), "a")
+    queue.report(spark.createDataFrame([("o0", False)], "id string, ok boolean"), at(1), "a")  # again: as it was
+    assert take(1.5, "d") == {"o2", "o4", "o5", "o6"}  # their lease and first wait are over
+    assert take(2, "e") == {"o1", "o3"}
+    queue.spark.createDataFrame([], enrichment.LOG_SCHEMA).write.parquet(str(tmp_path / "queue" / "result-empty"))
+    (tmp_path / "queue" / "taken-half").mkdir()  # a batch that never ended
+    assert take(99, "f") == set()  # all done or taken twice
+    assert queue.log().count() == 3 + 4 + 3 + 4 + 2
+
+
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    def files():
+        return {str(p) for p in (tmp_path / "ix" / "data").rglob("*.parquet")}
+
+    schema = "id string, title string, updated_at timestamp"
+    base = [(f"d{i}", f"t{i}", T0) for i in range(200)]
+    index = offer_index.VersionedIndex(spark, str(tmp_path / "ix"), buckets=16)
+    assert index.documents() is None
+    assert index.apply(spark.createDataFrame(base + [(None, "x", T0)], schema)) == list(range(16))
+    first, before = files(), {f for f in index.documents().inputFiles()}
+    change = spark.createDataFrame(
+        [("d3", "new", T0 + timedelta(1)), ("d4", "old", T0 - timedelta(1))], schema
+    )
+    gone = spark.createDataFrame([("d5",), ("none",), (None,)], "id string")
+    touched = index.apply(change, gone)
+    assert 0 < len(touched) <= 4 and first <= files()
+    kept = before & set(index.documents().inputFiles())
+    assert kept and all(f"bucket={b}/" not in f for f in kept for b in touched)
+    assert len({f.split("bucket=")[1].split("/")[0] for f in kept}) == 16 - len(touched)
+    want = {i: t for i, t, _ in base} | {"d3": "new"}
+    del want["d5"]
+    assert {r.id: r.title for r in index.documents().collect()} == want
+    index.apply(change)
+    assert {r.id: r.title for r in index.documents().collect()} == want
+    # A version whose list is not complete is not seen.
+    (tmp_path / "ix" / "versions" / "000000000009").mkdir()
+    assert index.documents().count() == len(want)
+    assert index.apply(change.limit(0)) == [] and index.documents().count() == len(want)
+    index.apply(change.limit(0), index.documents().select("id"))
+    assert index.documents().count() == 0
+    wider = change.withColumn("rating", F.lit(5))
+    index.apply(wider)
+    assert {r.rating for r in index.documents().collect()} == {5}
