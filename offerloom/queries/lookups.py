@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from offerloom.operators import harvest as hv
 from offerloom.operators import offer_index, snapshots
+from offerloom.operators.settling import run_folder
 from offerloom.queries.registry import query, table
 
 # Events as snapshots and lookups: purchases and views are stored answers, signups misses,
@@ -156,6 +157,22 @@ def index_upsert(spark, sf_dir):
     return offer_index.upsert(docs, changes).select("id", "title", "last_price")
 
 
+@query("index_versions", f"""with {_DOCS_SQL},
+u as (select *, 0 as n from docs union all select *, 1 from changes)
+select id, title, last_price from u
+where id not in (select cast(o_orderkey as varchar) from orders where o_orderstatus = 'F')
+qualify row_number() over (partition by id order by version desc, n desc) = 1""")
+def index_versions(spark, sf_dir):
+    docs, changes = _docs(spark, sf_dir)
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
+        F.col("o_orderkey").cast("string").alias("id")
+    )
+    index = offer_index.VersionedIndex(spark, run_folder(spark), buckets=64)
+    index.apply(docs)
+    index.apply(changes, gone)
+    return index.documents().select("id", "title", "last_price")
+
+
 @query("index_delete", """select cast(p_partkey as varchar) as id, p_name as title from part
 where p_partkey not in (select o_orderkey from orders where o_orderstatus = 'F')""")
 def index_delete(spark, sf_dir):
