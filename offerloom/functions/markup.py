@@ -65,17 +65,27 @@ def _is_product(node: Column) -> Column:
     return ~_is_list(node) & F.array_contains(_types(node), "Product")
 
 
+def _depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text are nested; those inside strings do not count."""
+    unescaped = F.regexp_replace(text, r"(?s)\\.", "")
+    outside = F.regexp_replace(unescaped, r'"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(outside, r"[^\[\]{}]", ""), "")
+
+    def step(seen: Column, bracket: Column) -> Column:
+        now = seen["now"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(seen["top"], now).alias("top"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+    return F.aggregate(brackets, start, step)["top"]
+
+
 def product_nodes(blocks: Column) -> Column:
     """Product nodes of lists, graphs and item lists at any depth, in document order."""
-    nesting = F.aggregate(
-        F.transform(blocks, lambda b: F.length(F.regexp_replace(F.to_json(b), r"[^\[{]", ""))),
-        F.lit(0),
-        lambda deepest, own: F.greatest(deepest, own),
-    )
-    # No value lies deeper than the text has opening brackets. Once only products are left, what
-    # remains of the steps does nothing.
+    # No product lies deeper than the block's brackets. Once only products are left, what remains of
+    # the steps does nothing.
+    nesting = F.array_max(F.transform(blocks, lambda b: _depth(F.to_json(b))))
     nodes = F.aggregate(
-        F.sequence(F.lit(0), nesting),
+        F.sequence(F.lit(0), F.coalesce(nesting, F.lit(0))),
         F.filter(blocks, lambda b: b.isNotNull()),
         lambda nodes, _: F.when(
             F.exists(nodes, lambda n: ~_is_product(n)), _flat(F.transform(nodes, _unwrap))

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,24 @@ def test_corrections(spark):
     df = spark.createDataFrame(rows, "query string, html string")
     got = {r["query"]: r["correction"] for r in corrections_from_pages(df).collect()}
     assert got == {"ipone": "iphone", "teh": "the end"} or got == {"ipone": "iphone"}
+
+
+def test_json_ld_of_many_products_in_linear_time(spark):
+    def page(n):
+        items = [
+            {"@type": "ListItem", "item": {"@type": "Product", "name": f'p {i} [{{"]', "offers": {"price": str(i + 1)}}}
+            for i in range(n)
+        ]
+        block = [[{"@graph": [{"@type": "ItemList", "itemListElement": items}, {"@type": "Organization"}]}], []]
+        return f'<script type="application/ld+json">{json.dumps(block)}</script>'
+
+    def timed(n):
+        df = spark.createDataFrame([(1, "https://a.ru/x", page(n))], "page_id int, url string, html string")
+        start = time.monotonic()
+        rows = extraction.jsonld_products(df).select("position", "title").collect()
+        assert [(r.position, r.title) for r in rows] == [(i, f'p {i} [{{"]') for i in range(n)]
+        return time.monotonic() - start
+
+    timed(10)
+    few, many = timed(4000), timed(40000)
+    assert many < 20 * max(few, 1.0)
