@@ -3,31 +3,37 @@
 Texts and templates are read as lower-case words of letters and digits and as hashes of ``SHINGLE``
 words. A text is covered by windows of ``WINDOW`` shingles that overlap by half; a template is cut
 into runs of half a window, each of which lies within some window wherever it occurs. Each of
-``BANDS`` orders of the hashes makes a band of its smallest one. A run of ``r`` shingles makes up at
-least ``r / WINDOW`` of a window that holds it, so a template that occurs with one shingle is missed
-with probability ``(1 - 1 / WINDOW) ** BANDS``, 2e-4, and one with a whole run with 5e-20.
-
-A band can only agree where the window holds a template's band value, so only windows around such
-values are looked at: the result is that of testing all windows. What is retrieved is verified
-exactly: the share of the template's distinct shingles that the text holds is at least
-``containment``.
-
-Null and empty texts match nothing. Rows are kept apart by ``doc_id`` and text; equal rows are
-reported once. An empty table gives an empty result. Templates are a small table given by the
-caller: their band values are part of the plan.
+``BANDS`` seeded hashes of the shingles is an order of its own, and a band holds the smallest value
+of one order. A window with ``r`` of a run's shingles agrees with it in one band with probability
+``r / (WINDOW + run - r)`` at least, so a template of one shingle is missed with probability
+``(1 - 1 / WINDOW) ** BANDS``, 2e-4, and one that occurs with a whole run with
+``(1 - run / WINDOW) ** BANDS``, 5e-20. A share of 0.8 of the template's shingles leaves a run whole
+unless the differences are spread over all of them.
+
+A band can only agree in a window that holds a shingle of some template, so bands are made of such
+windows alone: the result is that of testing all windows. What is retrieved is verified exactly: the
+share of the template's distinct shingles that the text holds is at least ``containment``.
+
+Templates are ``(license, text)`` pairs or a table with these columns, of any size: their shingles
+and bands are tables that are joined, and broadcast only where they have at most ``SMALL`` rows.
+Rows of a license with several texts are told apart by text. Null and empty texts, and templates
+without a license or with fewer than ``SHINGLE`` words, match nothing. Rows of texts are kept apart
+by ``doc_id`` and text; equal rows are reported once. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerloom.llm.store import Workspace
 from offerloom.llm.text import whole
 
 SHINGLE, WINDOW, BANDS = 5, 8, 64
 _RUN = WINDOW // 2
 WORDS = r"([\p{L}\p{N}]+)"
+#: A template table with more rows is shuffled instead of broadcast.
+SMALL = 500_000
 
 #: Texts of notices and headers (fixed values).
 TEMPLATES = (
@@ -88,26 +94,30 @@ def shingle_hashes(text: Column) -> Column:
     )[0]
 
 
-def _seeds() -> list[int]:
-    """A fixed order of the hashes for each band: spread over the range by the golden ratio."""
-    step = 0x9E3779B97F4A7C15
-    return [((step * (b + 1)) % (1 << 64)) - (1 << 63) for b in range(BANDS)]
-
-
-def _smallest(hashes: Column, seed: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(seed))))
+def bands(hashes: Column) -> Column:
+    """The smallest value of a window in each of the seeded orders."""
 
+    def smallest(seed: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda x: F.xxhash64(F.lit(seed), x)))
 
-def bands(hashes: Column) -> Column:
-    """The smallest hash of a window in each band's order, as the hash itself."""
-    return F.array(*[_smallest(hashes, s).bitwiseXOR(F.lit(s)) for s in _seeds()])
+    return F.array(*[smallest(b) for b in range(BANDS)])
 
 
-def template_table(spark: SparkSession, templates: tuple = TEMPLATES) -> DataFrame:
-    """``license, shingles`` of each template: its distinct hashes in order."""
-    rows = spark.createDataFrame(list(templates), "license string, text string")
-    return rows.select("license", shingle_hashes(F.col("text")).alias("shingles")).where(
-        F.size("shingles") > 0
+def template_table(
+    spark: SparkSession, templates: tuple | DataFrame = TEMPLATES
+) -> DataFrame:
+    """``license, template, shingles``: the distinct hashes of each text in order."""
+    rows = templates
+    if not isinstance(rows, DataFrame):
+        rows = spark.createDataFrame(list(rows), "license string, text string")
+    return (
+        rows.select(
+            "license",
+            F.xxhash64("text").alias("template"),
+            F.array_distinct(shingle_hashes(F.col("text"))).alias("shingles"),
+        )
+        .where(F.col("license").isNotNull() & (F.size("shingles") > 0))
+        .dropDuplicates(["license", "template"])
     )
 
 
@@ -121,69 +131,90 @@ def _runs(table: DataFrame) -> DataFrame:
         )
     )
     return table.withColumn("_start", F.explode(starts)).select(
-        "license", F.slice("shingles", F.col("_start") + 1, F.lit(_RUN)).alias("run")
+        "license",
+        "template",
+        F.slice("shingles", F.col("_start") + 1, F.lit(_RUN)).alias("run"),
+    )
+
+
+def _beside(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it is small."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
+
+def _blocks(hashes: Column) -> Column:
+    """Runs of a text with the half window before and after them, where windows can lie."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(hashes) - 1, F.lit(_RUN)),
+        lambda b: F.struct(
+            F.slice(hashes, b + 1, F.lit(_RUN)).alias("own"),
+            F.when(b >= _RUN, F.slice(hashes, b - _RUN + 1, F.lit(WINDOW))).alias("before"),
+            F.slice(hashes, b + 1, F.lit(WINDOW)).alias("after"),
+        ),
     )
 
 
 def scan(
-    docs: DataFrame, templates: tuple = TEMPLATES, containment: float = 0.8
+    docs: DataFrame, templates: tuple | DataFrame = TEMPLATES, containment: float = 0.8
 ) -> DataFrame:
     """``doc_id, license, matched, total, containment`` for every verified template of a text."""
     spark = docs.sparkSession
-    table = template_table(spark, templates)
-    template_bands = (
+    work = Workspace(spark, "licenses")
+    table = work.keep(template_table(spark, templates), "templates")
+    key = ["doc_id", "_row"]
+    held_by = table.select("license", "template", F.explode("shingles").alias("shingle"))
+    known = work.keep(held_by.select("shingle").distinct(), "known")
+    template_bands = work.keep(
         _runs(table)
-        .select("license", F.posexplode(bands(F.col("run"))).alias("band", "value"))
-        .distinct()
+        .select("license", "template", F.posexplode(bands(F.col("run"))).alias("band", "value"))
+        .distinct(),
+        "bands",
     )
-    values = sorted({r["value"] for r in template_bands.select("value").collect()})
-    known = sorted({x for r in table.select("shingles").collect() for x in r["shingles"]})
-    hashed = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("_row"),
-        shingle_hashes(F.col("text")).alias("_h"),
-    )
-    at_value = F.filter(
-        F.transform("_h", lambda x, i: F.when(x.isin(values), i)), lambda i: i.isNotNull()
+    blocks = (
+        docs.select(
+            "doc_id",
+            F.xxhash64("text").alias("_row"),
+            shingle_hashes(F.col("text")).alias("_h"),
+        )
+        .where(F.size("_h") > 0)
+        .select(*key, F.explode(_blocks(F.col("_h"))).alias("_block"))
+        .select(*key, "_block.*")
     )
-    block = F.transform(at_value, lambda i: F.floor(i / _RUN).cast("int") * _RUN)
-    starts = F.filter(
-        F.array_distinct(F.concat(block, F.transform(block, lambda b: b - _RUN))),
-        lambda b: b >= 0,
+    found = work.keep(
+        blocks.withColumn("shingle", F.explode("own"))
+        .join(_beside(known), "shingle", "left_semi")
+        .select(*key, "shingle", "before", "after"),
+        "found",
     )
     windows = (
-        hashed.withColumn("_starts", starts)
-        .where(F.size("_starts") > 0)
-        .withColumn("_found", F.array_distinct(F.filter("_h", lambda x: x.isin(known))))
-        .select(
-            "doc_id",
-            "_row",
-            "_found",
-            F.transform(
-                "_starts", lambda b: F.slice(F.col("_h"), b + 1, F.lit(WINDOW))
-            ).alias("_windows"),
-        )
-        .select("doc_id", "_row", "_found", F.explode("_windows").alias("_window"))
+        found.select(*key, F.explode(F.array("before", "after")).alias("_window"))
+        .where(F.col("_window").isNotNull())
+        .distinct()
     )
+    named = ["license", "template"]
     retrieved = (
-        windows.select(
-            "doc_id", "_row", "_found", F.posexplode(bands(F.col("_window"))).alias("band", "value")
-        )
-        .join(F.broadcast(template_bands), ["band", "value"])
-        .groupBy("doc_id", "_row", "license")
-        .agg(F.first("_found").alias("_found"))
+        windows.select(*key, F.posexplode(bands(F.col("_window"))).alias("band", "value"))
+        .join(_beside(template_bands), ["band", "value"])
+        .select(*key, *named)
+        .distinct()
+    )
+    matched = (
+        found.select(*key, "shingle")
+        .distinct()
+        .join(_beside(held_by), "shingle")
+        .groupBy(*key, *named)
+        .agg(F.count("*").alias("matched"))
+    )
+    totals = table.select(*named, F.size("shingles").cast("long").alias("total"))
+    verified = matched.join(_beside(totals), named).withColumn(
+        "containment", F.col("matched").cast("double") / F.col("total")
     )
-    distinct = table.select("license", F.array_distinct("shingles").alias("shingles"))
-    matched = F.size(F.array_intersect("_found", "shingles")).cast("long")
+    # Null ids are rows like others, so they are compared as equal.
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*key, *named]]
     return (
-        retrieved.join(F.broadcast(distinct), "license")
-        .select(
-            "doc_id",
-            "license",
-            matched.alias("matched"),
-            F.size("shingles").cast("long").alias("total"),
-        )
-        .withColumn("containment", F.col("matched").cast("double") / F.col("total"))
-        .where(F.col("containment") >= containment)
+        verified.where(F.col("containment") >= containment)
+        .alias("v")
+        .join(retrieved.alias("r"), same, "left_semi")
+        .select("doc_id", "license", "matched", "total", "containment")
         .distinct()
     )

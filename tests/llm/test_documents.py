@@ -319,6 +319,39 @@ def test_license_scan(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_templates_as_a_table(spark, monkeypatch):
+    texts = [("a", "one two three four five six"), ("a", "red green blue black white grey"),
+             ("b", "Too short"), (None, "one two three four five six"), ("c", None)]
+    table = spark.createDataFrame(texts, "license string, text string").withColumn("x", F.lit(1))
+    rows = [(None, "see ONE two, three four five six", None, None),
+            (None, "see ONE two, three four five six", None, None),
+            (1, "red green blue black white grey", None, None), (2, "", None, None)]
+    want = {(None, "a", 2, 2, 1.0), (1, "a", 2, 2, 1.0)}
+    got = licenses.scan(frame(spark, rows), table).collect()
+    assert set(map(tuple, got)) == want and len(got) == 2
+    # Tables too large to broadcast are shuffled, with the same result.
+    monkeypatch.setattr(licenses, "SMALL", 0)
+    assert set(map(tuple, licenses.scan(frame(spark, rows), table).collect())) == want
+    nothing = table.where("false")
+    assert licenses.scan(frame(spark, rows), nothing).count() == 0
+
+
+def test_license_bands_are_independent_orders(spark):
+    """One shingle of a window of eight is found in some band but for the stated probability."""
+    n = 20_000
+    shingle = [F.xxhash64(F.col("id"), F.lit(j)) for j in range(licenses.WINDOW)]
+    missed = (
+        spark.range(n)
+        .select(F.array(*shingle).alias("w"))
+        .select(licenses.bands(F.col("w")).alias("all"),
+                licenses.bands(F.slice("w", 3, 1)).alias("one"))
+        .where(F.size(F.array_intersect("all", "one")) == 0)
+        .count()
+    )
+    stated = (1 - 1 / licenses.WINDOW) ** licenses.BANDS
+    assert missed <= n * stated + 4 * (n * stated) ** 0.5
+
+
 @pytest.mark.parametrize(
     "name",
     ["op5_license_scan", "op6_line_dedup", "op7_mixing", "op9_chat_snapshots", "op10_warc_fixity"],
