@@ -7,9 +7,11 @@ expressions afterwards.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import accumulate
 
 _VOID = frozenset(
     "area base br col embed hr img input link meta source track wbr".split()
@@ -20,33 +22,76 @@ _STEP = re.compile(r"([a-z0-9]*)((?:\.[\w-]+)*)(#[\w-]+)?((?:\[[^\]]+\])*)", re.
 _ATTR = re.compile(r"\[([\w-]+)(?:([*^]?=)['\"]?([^'\"\]]*)['\"]?)?\]")
 
 
+_UNSEEN = ("script", "style")
+
+
+class Page:
+    """Elements and shown texts of a page in document order: what a node holds is a range of each.
+
+    ``known`` keeps what readers have found out about the page as a whole.
+    """
+
+    __slots__ = ("nodes", "pieces", "known", "_joined", "_hits")
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.pieces: list[str] = []
+        self.known: dict = {}
+        self._joined: dict[str, tuple[str, list[int]]] = {}
+        self._hits: dict[str, list[int]] = {}
+
+    def hits(self, selectors: str) -> list[int]:
+        """Places of all elements that one of the alternatives matches."""
+        if selectors not in self._hits:
+            plans = [_compile(part.strip()) for part in selectors.split(",")]
+            self._hits[selectors] = [
+                i for i, n in enumerate(self.nodes) if any(_matches(n, plan) for plan in plans)
+            ]
+        return self._hits[selectors]
+
+    def joined(self, separator: str) -> tuple[str, list[int]]:
+        """All texts as one, and where each begins in it."""
+        if separator not in self._joined:
+            steps = (len(piece) + len(separator) for piece in self.pieces)
+            starts = list(accumulate(steps, initial=0))
+            self._joined[separator] = (separator.join(self.pieces), starts)
+        return self._joined[separator]
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "children", "page", "place", "past", "begin", "end")
 
-    def __init__(self, tag, attrs, parent):
+    def __init__(self, tag, attrs, parent, page):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.page, self.place, self.begin = page, len(page.nodes), len(page.pieces)
+        self.past = self.end = None
+        page.nodes.append(self)
+
+    def close(self):
+        """Nothing that comes later on the page is below this node."""
+        self.past, self.end = len(self.page.nodes), len(self.page.pieces)
+
+    def below(self) -> tuple[int, int]:
+        """The range of places of its descendants."""
+        return self.place + 1, len(self.page.nodes) if self.past is None else self.past
 
     def walk(self):
         """Descendants in document order."""
-        stack = list(reversed(self.children))
-        while stack:
-            item = stack.pop()
-            if isinstance(item, Node):
-                yield item
-                stack.extend(reversed(item.children))
-
-    def texts(self):
-        stack = list(reversed(self.children))
-        while stack:
-            item = stack.pop()
-            if isinstance(item, Node):
-                if item.tag not in ("script", "style"):
-                    stack.extend(reversed(item.children))
-            elif item.strip():
-                yield item.strip()
+        return (self.page.nodes[i] for i in range(*self.below()))
+
+    def span(self, separator: str = "") -> tuple[str, int, int]:
+        """The page's text and the range of it that this node shows."""
+        text, starts = self.page.joined(separator)
+        begin = starts[self.begin]
+        # The last piece has no separator behind it.
+        end = starts[len(self.page.pieces) if self.end is None else self.end] - len(separator)
+        return text, begin, max(begin, end)
 
     def text(self, separator: str = "") -> str:
-        return separator.join(self.texts())
+        if self.tag in _UNSEEN:
+            return separator.join(t.strip() for t in self.children if t.strip())
+        text, begin, end = self.span(separator)
+        return text[begin:end]
 
     def attr(self, name: str) -> str:
         return self.attrs.get(name) or ""
@@ -57,11 +102,13 @@ class Node:
 
     def matching(self, selectors: str):
         """Like ``select``, one match at a time."""
-        plans = [_compile(part.strip()) for part in selectors.split(",")]
-        return (node for node in self.walk() if any(_matches(node, plan) for plan in plans))
+        hits = self.page.hits(selectors)
+        first, past = self.below()
+        for i in range(bisect_left(hits, first), bisect_left(hits, past)):
+            yield self.page.nodes[hits[i]]
 
     def first(self, *selectors: str) -> Node | None:
-        """First match of the first selector that has one; the walk stops there."""
+        """First match of the first selector that has one."""
         for selector in selectors:
             found = next(self.matching(selector), None)
             if found is not None:
@@ -78,7 +125,8 @@ class Node:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.current = Node("", {}, None)
+        self.page = Page()
+        self.root = self.current = Node("", {}, None, self.page)
         self.open = Counter()
 
     def parse_marked_section(self, i, report=1):
@@ -89,18 +137,23 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if self.current.tag in _CLOSED_BY.get(tag, ()):
             self._leave()
-        node = Node(tag, dict(attrs), self.current)
+        node = Node(tag, dict(attrs), self.current, self.page)
         self.current.children.append(node)
-        if tag not in _VOID:
+        if tag in _VOID:
+            node.close()
+        else:
             self.current = node
             self.open[tag] += 1
 
     def _leave(self):
         self.open[self.current.tag] -= 1
+        self.current.close()
         self.current = self.current.parent
 
     def handle_startendtag(self, tag, attrs):
-        self.current.children.append(Node(tag, dict(attrs), self.current))
+        node = Node(tag, dict(attrs), self.current, self.page)
+        node.close()
+        self.current.children.append(node)
 
     def handle_endtag(self, tag):
         # A tag that is not open closes nothing, however deep the page.
@@ -111,6 +164,8 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data):
         self.current.children.append(data)
+        if self.current.tag not in _UNSEEN and (shown := data.strip()):
+            self.page.pieces.append(shown)
 
 
 def parse(html: str | None) -> Node:
@@ -170,24 +225,31 @@ def _step_ok(node: Node, step) -> bool:
 
 
 def _matches(node: Node, plan) -> bool:
+    """Whether the node and a chain of elements above it fit the steps, the last step first."""
     if not _step_ok(node, plan[-1]):
         return False
-    direct, current = plan[-1][4], node
-    for step in reversed(plan[:-1]):
-        candidates = [current.parent] if direct else list(current.ancestors())
-        current = next((a for a in candidates if a is not None and _step_ok(a, step)), None)
-        if current is None:
-            return False
-        direct = step[4]
-    return True
-
-
-def image_sources(node: Node, *attributes: str) -> list[str]:
+    # The chains found so far, each as the element it has reached; a step that may skip elements
+    # goes on from the nearest one that fits and, if that leads nowhere, from those above it.
+    waiting = [(node, len(plan) - 1)]
+    seen = set()
+    while waiting:
+        current, at = waiting.pop()
+        if at == 0:
+            return True
+        for above in current.ancestors(1 if plan[at][4] else None):
+            if (above.place, at) in seen:
+                break
+            if _step_ok(above, plan[at - 1]):
+                waiting.append((above, at - 1))
+            if not plan[at][4]:
+                seen.add((above.place, at))
+    return False
+
+
+def image_sources(node: Node, *attributes: str):
     """First entry of every image attribute below a node, inline data left out."""
-    found = []
-    for image in node.select("img"):
+    for image in node.matching("img"):
         value = next((image.attr(a) for a in attributes if image.attr(a)), "")
         entry = value.split()[0].rstrip(",") if value.split() else ""
         if entry and not entry.startswith("data:"):
-            found.append(entry)
-    return found
+            yield entry

@@ -93,6 +93,34 @@ def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
     return F.transform(places, lambda i: F.get(items, i))
 
 
+def last_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The last item of each key, at the place of the key's first one.
+
+    Items are sorted by key and place; a key's first and last ones are where neighbours differ.
+    """
+    fields = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
+    ordered = F.array_sort(F.filter(fields, lambda x: x["k"].isNotNull()))
+
+    def edges(step: int) -> Column:
+        """Places whose neighbour on one side has another key or is not there."""
+        return F.transform(
+            F.array(ordered),
+            lambda o: F.filter(
+                o,
+                lambda x, i: ~x["k"].eqNullSafe(
+                    F.when(i + step >= 0, F.get(o, F.greatest(i + step, F.lit(0))))["k"]
+                ),
+            ),
+        )[0]
+
+    ends = F.array_sort(
+        F.zip_with(
+            edges(-1), edges(1), lambda a, b: F.struct(a["i"].alias("first"), b["i"].alias("last"))
+        )
+    )
+    return F.transform(ends, lambda e: F.get(items, e["last"]))
+
+
 _ENTITY = r"(?s)&#?[0-9A-Za-z]+;|&|[^&]+"
 
 

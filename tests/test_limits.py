@@ -64,6 +64,18 @@ def test_first_of_each_in_a_long_array(spark):
     assert got == list(range(20_000)) and time.time() - started < 20
 
 
+def test_last_of_each_in_a_long_array(spark):
+    frame = spark.range(1).select(
+        F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda i: F.struct((i % 20_000).alias("k"), i.alias("v"))).alias("a")
+    )
+    started = time.time()
+    got = frame.select(text.last_of_each(F.col("a"), lambda x: x["k"]).alias("x")).first().x
+    assert [x.k for x in got] == list(range(20_000)) and time.time() - started < 20
+    assert [x.v for x in got] == [40_000 + k if k < 10_000 else 20_000 + k for k in range(20_000)]
+    small = frame.select(text.last_of_each(F.array(), lambda x: x).alias("x")).first().x
+    assert small == []
+
+
 def test_no_page_ends_a_job(spark):
     assert dom.parse("<div><![foo bar]><p>x</p></div>").text() == "x"
     assert dom.parse("<div>" * 5_000 + "</x>" * 50_000 + "y").text() == "y"
@@ -93,6 +105,50 @@ def test_many_cards_on_one_page():
     assert len(found) == 10_000 and time.process_time() - started < 2
 
 
+def test_cards_of_elements_that_are_never_closed():
+    html = "".join(
+        f'<div><a href="/product/{i}" title="Some product {i}">p<b>{1000 + i} ₽' for i in range(2_000)
+    )
+    started = time.process_time()
+    root = dom.parse(f"<body><div>{html}")
+    found = cards._LayoutReader(rules.GENERIC_LAYOUT).read(root)
+    assert len(found) == 2_000 and time.process_time() - started < 5
+
+
+def test_specifications_in_linear_time():
+    line = '<li><div><span data-auto="product-spec">Label {0}</span></div><i> value {0}</i></li>'
+    lines = "".join(line.format(i) for i in range(10_000))
+    want = {f"Label {i}": f"value {i}" for i in range(10_000)}
+    for page in (f"<body><ul>{lines}</ul></body>", "<div>" * 10_000 + lines):
+        started = time.process_time()
+        assert cards._specifications(dom.parse(page)) == want
+        assert time.process_time() - started < 5
+    open_lines = lines.replace("</li>", "").replace("</div>", "").replace("<li>", "<section>")
+    started = time.process_time()
+    found = cards._specifications(dom.parse(open_lines))
+    assert len(found) < 20 and time.process_time() - started < 5
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<p><b data-auto="product-spec">Color</b><i>red</i></p>', {"Color": "red"}),
+        ('<p><u>Color</u><b data-auto="product-spec">Color</b><i>red</i></p>', {"Color": "Colorred"}),
+        ('<div>apiary<p><b data-auto="product-spec">Color</b></p></div>', {}),
+        ('<div><p><b data-auto="product-spec">Color</b></p> widgets</div>', {}),
+        ('<p>by <b data-auto="product-spec">Color</b><i>red</i></p>', {}),
+        ('<p><b data-auto="product-spec">Color</b>' + "x" * 201 + "</p>", {}),
+        ('<p><b data-auto="product-spec">Color</b>' + "x" * 200 + "</p>", {"Color": "x" * 200}),
+        ('<body><b data-auto="product-spec">Color</b>red</body>', {}),
+        ('<p><b data-auto="product-spec"></b>red</p>', {}),
+        ('<p><b data-auto="product-spec">A</b></p><p><b data-auto="product-spec">A</b>1</p>', {"A": "1"}),
+        ('<p><b data-auto="product-spec">A</b>1</p><p><b data-auto="product-spec">A</b>2</p>', {"A": "1"}),
+    ],
+)
+def test_specification_beside_its_label(html, want):
+    assert cards._specifications(dom.parse(html)) == want
+
+
 def test_corrections_belong_to_searches(spark):
     searches = spark.createDataFrame(
         [(str(i), " ноутбук ", "spb") for i in range(20)], "search_id string, query string, region string"
