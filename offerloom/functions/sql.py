@@ -1,39 +1,48 @@
-"""The same rules as SQL functions, for users who write ``spark.sql``."""
+"""The Column rules as SQL functions, for users who write ``spark.sql``.
+
+The body of a function is the SQL text that Spark itself gives for the Column rule, so that a rule is
+stated once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-
-# name -> (arguments, result type, body)
-SQL_FUNCTIONS = {
-    "parse_price": (
-        "s STRING",
-        "BIGINT",
-        r"""nullif(greatest(coalesce(try_cast(
-              regexp_extract(translate(trim(s), '  ', ''), r'^(\d+)[.,]\d{1,2}$', 1) AS BIGINT),
-            try_cast(regexp_replace(s, r'(?U)[^\d]', '') AS BIGINT)), 0), 0)""",
-    ),
-    "title_key": (
-        "s STRING",
-        "STRING",
-        r"""regexp_replace(regexp_replace(regexp_replace(
-              translate(lower(s), 'ё', 'е'), r'(?U)[^\w\s]', ' '), r'(?U)\s+', ' '), r'^ | $', '')""",
-    ),
-    "url_host": (
-        "u STRING",
-        "STRING",
-        r"""regexp_replace(lower(regexp_extract(u, r'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)),
-              r'^www\.', '')""",
-    ),
-    "url_key": ("u STRING", "STRING", "substring_index(u, '#', 1)"),
-    "is_ru_host": ("h STRING", "BOOLEAN", "h like '%.ru' or h like '%.рф'"),
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from offerloom.functions import price, text, url
+
+#: name -> (argument, its type, rule); rules without lambda functions, which have no SQL text.
+SQL_FUNCTIONS: dict[str, tuple[str, str, Callable[[Column], Column]]] = {
+    "parse_price": ("s", "STRING", price.parse_price),
+    "parse_price_kopecks": ("s", "STRING", price.parse_price_kopecks),
+    "title_key": ("s", "STRING", text.title_key),
+    "url_host": ("u", "STRING", url.host),
+    "url_path": ("u", "STRING", url.path),
+    "url_query": ("u", "STRING", url.query_string),
+    "url_key": ("u", "STRING", url.url_key),
+    "is_ru_host": ("h", "STRING", url.is_ru),
+    "is_blacklisted_host": ("h", "STRING", url.is_blacklisted),
+    "is_fetch_blocked_host": ("h", "STRING", url.is_fetch_blocked),
 }
 
 
+def _body(spark: SparkSession, argument: str, kind: str, rule: Callable) -> tuple[str, str]:
+    """Result type and SQL text of a rule."""
+    frame = spark.createDataFrame([], f"{argument} {kind}").select(
+        rule(F.col(argument)).alias("result")
+    )
+    plan = frame._jdf.queryExecution().analyzed()
+    return frame.schema[0].dataType.simpleString(), plan.projectList().head().child().sql()
+
+
 def register_functions(spark: SparkSession) -> list[str]:
     """Create the temporary SQL functions of this session and return their names."""
-    for name, (arguments, result, body) in SQL_FUNCTIONS.items():
+    for name, (argument, kind, rule) in SQL_FUNCTIONS.items():
+        result, body = _body(spark, argument, kind, rule)
         spark.sql(
-            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}"
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({argument} {kind}) "
+            f"RETURNS {result} RETURN {body}"
         )
     return list(SQL_FUNCTIONS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerloom.operators import selection as sel
-from offerloom.operators import setops, summaries
+from offerloom.operators import setops, sql_jobs, summaries
 from offerloom.operators.ranking import top_n
 from offerloom.operators.urls import classify_urls
 from offerloom.queries.inputs import (
@@ -31,6 +31,40 @@ def price_summary(spark, sf_dir):
     return summaries.price_summary(order_offers(spark, sf_dir))
 
 
+@query("sql_table_functions", f"""with {ORDER_OFFERS_SQL}, {PART_LINKS_SQL},
+one as (select min(search_id) as least from order_offers)
+select search_id, 'all' as kind, count(*) filter (price > 0) as n,
+       cast(floor(median(price) filter (price > 0)) as bigint) as median_price
+from order_offers group by search_id
+union all
+select search_id, 'one', count(*) filter (price > 0),
+       cast(floor(median(price) filter (price > 0)) as bigint)
+from order_offers, one where search_id = least group by search_id
+union all
+select search_id, 'sources', count(distinct source), null from order_offers group by search_id
+union all
+select search_id, 'rollup', count(*), max(price) filter (price > 0) from order_offers group by search_id
+union all
+select search_id, 'links', count(*), null from part_links group by search_id""")
+def sql_table_functions(spark, sf_dir):
+    """Jobs called by name from SQL: over all searches, and over one."""
+    offers = order_offers(spark, sf_dir)
+    offers.createOrReplaceTempView("_order_offers")
+    part_links(spark, sf_dir).createOrReplaceTempView("_part_links")
+    sql_jobs.register_jobs(spark, offers="_order_offers", links="_part_links")
+    return spark.sql("""
+        SELECT search_id, 'all' AS kind, total_found AS n, median_price FROM price_summary()
+        UNION ALL
+        SELECT search_id, 'one', total_found, median_price
+        FROM price_summary((SELECT min(search_id) FROM _order_offers))
+        UNION ALL
+        SELECT search_id, 'sources', count(*), NULL FROM source_groups() GROUP BY search_id
+        UNION ALL
+        SELECT search_id, 'rollup', count, max_price FROM summary_rollup() WHERE level = 1
+        UNION ALL
+        SELECT search_id, 'links', count(quality), NULL FROM classified_urls() GROUP BY search_id""")
+
+
 @query("price_summary_by_source", f"""with {ORDER_OFFERS_SQL}
 select source, count(*) filter (price > 0) as total_found,
        min(price) filter (price > 0) as min_price,

@@ -193,3 +193,37 @@ def test_descriptions(spark):
         "Проза\n\nХарактеристики:\n• Цвет: синий\n\nРейтинг: 5 (12 отзывов)\nКупили: 7\nДоставка: завтра"
     )
     assert row["c"] == "T\n\n★ 4.8 · 1 234 отзывов\n\nОригинал"
+
+
+def test_sql_functions_are_the_column_rules(spark):
+    from offerloom.functions import sql
+
+    assert sql.register_functions(spark) == list(sql.SQL_FUNCTIONS)
+    values = ["1 750.00", "2\u202f499 ₽", "0", "", None, "Ёлка, «Стол»  2!", "https://WWW.Shop.RU/a//b;c?x=1#y",
+              "//ozon.ru/t", "it's \\ a 'quote'", "shop.рф", "www.avito.ru", "9" * 30]
+    frame = spark.createDataFrame([(v,) for v in values], "s string")
+    for name, (_, _, rule) in sql.SQL_FUNCTIONS.items():
+        got = frame.select(rule(F.col("s")).alias("x"), F.expr(f"{name}(s)").alias("y"))
+        assert got.where("NOT x <=> y").count() == 0, name
+
+
+def test_sql_jobs(spark):
+    from offerloom.operators import sql_jobs
+
+    rows = [("a", "s1", "x.ru", 300), ("a", "s2", "y.ru", 100), ("a", "s1", "x.ru", 0), ("b", "s1", "z.ru", 0),
+            (None, "s1", "x.ru", 7)]
+    offers = spark.createDataFrame(rows, "search_id string, source string, source_domain string, price bigint")
+    offers.withColumn("search", F.lit("a")).createOrReplaceTempView("some_offers")
+    assert sql_jobs.register_jobs(spark, offers="some_offers") == list(sql_jobs.OFFER_JOBS)
+    every = spark.sql("SELECT * FROM price_summary()").collect()
+    assert {tuple(r)[:2] for r in every} == {("a", 2), ("b", 0), (None, 1)}
+    assert [tuple(r) for r in spark.sql("SELECT * FROM price_summary('a')").collect()] == [("a", 2, 100, 200, 300)]
+    assert spark.sql("SELECT * FROM price_summary('none')").count() == 0
+    sources = spark.sql("SELECT source FROM source_groups('a') ORDER BY source").collect()
+    assert [r.source for r in sources] == ["s1", "s2"]
+    # The search reaches the rows before they are grouped.
+    plan = spark.sql("SELECT * FROM source_groups('a')")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Filter") > plan.rindex("Aggregate")
+    offers.where("false").createOrReplaceTempView("no_offers")
+    sql_jobs.register_jobs(spark, offers="no_offers")
+    assert spark.sql("SELECT * FROM summary_rollup()").count() == 0
