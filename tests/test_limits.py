@@ -86,12 +86,41 @@ def test_no_page_ends_a_job(spark):
     assert cards.broad_offers(pages).count() == 0
 
 
-def test_state_deeper_than_the_stack():
-    node = {"description": "a text that is long enough to count"}
-    for _ in range(5_000):
-        node = {"x": [node]}
-    assert states.description(node).startswith("a text")
-    assert states.specifications({"a": node, "name": "Color", "value": "red"}) == {"Color": "red"}
+def test_state_of_many_levels():
+    inner = '{"description": "a text that is long enough to count"}'
+    deep = '{"x": [' * 800 + inner + "]}" * 800
+    state = states.shredded('{"a": ' + deep + ', "name": "Color", "value": "red"}')
+    assert states.description(state).startswith("a text")
+    assert states.specifications(state) == {"Color": "red"}
+    assert states.shredded("[" * 200_000) is None and states.description(None) is None
+
+
+def test_state_in_document_order():
+    state = states.shredded(json.dumps({
+        "z": [{"description": "the first text that is long enough"}, [{"name": "A", "value": 1}]],
+        "b": {"description": "the second text that is long enough", "name": "A", "value": 2},
+        "specs": [{"key": "B", "text": "x"}, {"key": "C", "value": ""}, "D"],
+    }))
+    assert states.description(state).startswith("the first")
+    assert list(states.specifications(state).items()) == [("B", "x"), ("A", "2")]
+    # A value that is stated again later is not there.
+    again = states.shredded('{"a": {"name": "A", "value": "1"}, "a": {"name": "B", "value": "2"}}')
+    assert states.specifications(again) == {"B": "2"}
+
+
+def test_grid_items_of_nested_widgets():
+    main, skip = rules.MAIN_GRID_WIDGETS[0], rules.SKIP_WIDGETS[0]
+    name, items = rules.WIDGET_NAMES[0][0], rules.STATE_ITEM_LISTS[0]
+    page = {
+        "w": [{name: main, "v": {items: [{"id": 1}, {}], "u": {name: skip, items: [{"id": 2}], "t": {items: [{"id": 3}]}}}}],
+        items: [{"id": 4}],
+        "x": {name: skip, "y": {name: main, items: [{"id": 5}]}},
+    }
+    assert states.grid_items(states.shredded(json.dumps(page))) == [{"id": 1}, {}, {"id": 5}]
+    stored = {"widgetStates": {rules.STATE_GRID_KEYS[0]: json.dumps(page), "other": page}}
+    assert states.widget_items(states.shredded(json.dumps(stored))) == [{"id": 1}, {}, {"id": 5}]
+    deep = '{"x": ' * (rules.STATE_LEVELS + 1) + json.dumps(page) + "}" * (rules.STATE_LEVELS + 1)
+    assert states.grid_items(states.shredded(deep)) == []
 
 
 def test_many_cards_on_one_page():
