@@ -89,14 +89,6 @@ def _repeat_test(ratio: float):
     return repeats
 
 
-@F.pandas_udf(T.DoubleType())
-def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of matched characters of two titles."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])
-
-
 def near_duplicate_survivors(
     offers: DataFrame,
     limit: int = rules.MAX_RESULTS,

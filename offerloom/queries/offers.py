@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerloom.functions import offer as o
@@ -408,3 +409,46 @@ def sql_functions(spark, sf_dir):
         "p_partkey", "parse_price(price_text) as price_rub", "title_key(title) as title_key",
         "url_host(url) as host", "is_ru_host(url_host(url)) as ru",
     )
+
+
+@query("tile_enrichment", """with offers as (
+  select p_partkey, p_brand, p_size, row_number() over (partition by p_brand, p_size order by p_partkey) as rank from part),
+blocks as (select p_brand, p_size, min(rank) as block from offers where rank <= 2 and p_partkey % 7 = 0 group by p_brand, p_size),
+joined as (select offers.*, rank <= 2 and p_partkey % 7 <> 0 and p_partkey % 5 <> 0
+    and (block is null or rank < block) as applies
+  from offers left join blocks using (p_brand, p_size))
+select p_partkey, rank,
+  case when applies and p_partkey % 3 = 0 then 'Проза ' || cast(p_partkey as varchar)
+       when applies and p_partkey % 2 = 0 then 'features' else 'preview' end as description,
+  case when applies and p_partkey % 2 = 0 then 'Вес=' || cast(p_size as varchar) else '' end as chars,
+  applies and p_partkey % 6 = 0 as both_parts
+from joined""")
+def tile_enrichment(spark, sf_dir):
+    """Stored details reach the first ranks of a search, up to its first blocked page."""
+    part = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    url = F.concat(F.lit("https://shop.ru/product/"), key)
+    offers = part.select(
+        "p_partkey",
+        F.concat_ws("/", "p_brand", "p_size").alias("search_id"),
+        url.alias("product_url"),
+        F.lit("preview").alias("description"),
+        F.create_map().cast("map<string,string>").alias("characteristics"),
+    ).withColumn("rank", F.row_number().over(W.partitionBy("search_id").orderBy("p_partkey")).cast("bigint"))
+    details = part.where((key % 5 != 0) | (key % 7 == 0)).select(
+        url.alias("product_url"),
+        F.when(key % 7 == 0, "blocked").otherwise("ok").alias("state"),
+        F.when(key % 3 == 0, F.concat(F.lit("Проза "), key)).alias("description"),
+        F.when(key % 2 == 0, F.create_map(F.lit("Вес"), F.col("p_size").cast("string"))).alias("characteristics"),
+    )
+    # The page's text comes first, then the listed characteristics.
+    about, chars = F.col("description"), F.array_join(
+        F.transform(F.map_entries("characteristics"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|"
+    )
+    lines = F.split(about, "\n")
+    return ops.enrich_tiles(offers, details).select(
+        "p_partkey", "rank",
+        F.when((chars != "") & ~about.startswith("Проза"), "features").otherwise(lines[0]).alias("description"),
+        chars.alias("chars"),
+        ((chars != "") & about.startswith("Проза") & (F.size(lines) > 1)).alias("both_parts"),
+    )
