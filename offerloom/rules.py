@@ -498,6 +498,8 @@ NOT_SPECS = ("description", "title")
 
 # seconds without news after which a stream forgets a key
 STATE_IDLE = 86_400
+#: Buckets that streams of many short-lived keys hold their state in.
+STATE_BUCKETS = 512
 
 # embedded states: pattern, whether backslashes are doubled in the page
 STATE_SOURCES = {

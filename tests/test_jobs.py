@@ -545,3 +545,22 @@ def test_sitemap_search(spark, monkeypatch):
     assert sorted((r["search_id"], r["rank"], r["url"]) for r in again) == sorted(
         (k, i + 1, u) for k, found in got.items() for i, u in enumerate(found)
     )
+
+
+def test_streams_of_many_keys_hold_few_states(spark, tmp_path):
+    """State calls and timers grow with the buckets, not with searches and sources."""
+    arrivals = spark.range(20_000).select(
+        F.col("id").alias("search_id"), F.lit(T0).alias("arrived_at"), F.col("id").alias("seq"),
+        F.lit("o").alias("offer"), F.lit(1.0).alias("relevance_score"), (F.col("id") % 2 == 0).alias("ended"))
+    arrivals.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(arrivals.schema).parquet(str(tmp_path / "in"))
+    asked = stream.select("search_id", F.lit("s").alias("source"), F.col("arrived_at").alias("requested_at"), F.lit(9).alias("budget_s"))
+    answers = stream.where("ended").select("search_id", F.lit("s").alias("source"), "arrived_at", F.col("seq").alias("count"))
+    streams = {"f": state.fast_first_stream(stream), "d": state.deadline_stream(asked, answers, wait_s=1, idle_s=900)}
+    for name, rows in streams.items():
+        run = jobs.drain_to(rows, str(tmp_path / name), str(tmp_path / f"{name}cp"))
+        left = _states_left(jobs.run_to_idle(run, timeout_s=240))
+        assert 0 < max(left) < 20_000 // 4
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 10_000
+    d = spark.read.parquet(str(tmp_path / "d"))
+    assert d.where("not timed_out and search_id % 2 = 0 and count = search_id").count() == 10_000
