@@ -81,16 +81,21 @@ def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
 
     Items are sorted by key and place, so that each is compared with its neighbour only.
     """
-    fields = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
-    ordered = F.array_sort(F.filter(fields, lambda x: x["k"].isNotNull()))
-    firsts = F.transform(
-        F.array(ordered),
-        lambda o: F.filter(
-            o, lambda x, i: (i == 0) | ~x["k"].eqNullSafe(F.get(o, F.greatest(i - 1, F.lit(0)))["k"])
-        ),
-    )[0]
-    places = F.array_sort(F.transform(firsts, lambda x: x["i"]))
-    return F.transform(places, lambda i: F.get(items, i))
+
+    def firsts(held: Column) -> Column:
+        fields = F.transform(held, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
+        ordered = F.array_sort(F.filter(fields, lambda x: x["k"].isNotNull()))
+        kept = F.transform(
+            F.array(ordered),
+            lambda o: F.filter(
+                o, lambda x, i: (i == 0) | ~x["k"].eqNullSafe(F.get(o, F.greatest(i - 1, F.lit(0)))["k"])
+            ),
+        )[0]
+        places = F.array_sort(F.transform(kept, lambda x: x["i"]))
+        return F.transform(places, lambda i: F.get(held, i))
+
+    # The list is bound, or it would be made anew for each item that is looked up.
+    return F.transform(F.array(items), firsts)[0]
 
 
 def last_of_each(items: Column, key: Callable[[Column], Column]) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.queries.registry import table
+from offerloom.queries.registry import spread, table
 
 # Orders as offers: a customer is a search, the priority class the source.
 _SOURCE_OF_PRIORITY = """case substr(o_orderpriority, 1, 1)
@@ -77,7 +77,8 @@ part_links as (
 
 
 def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    part = spread(rows, "p_partkey").select(
         "p_partkey", "p_name", "p_brand", "p_size",
         F.expr(_SLUG).alias("slug"),
         F.expr("cast(p_partkey as string)").alias("pk"),

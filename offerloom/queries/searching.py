@@ -10,7 +10,7 @@ from offerloom.functions.similarity import token_overlap
 from offerloom.operators import neardup, searching
 from offerloom.operators import selection as sel
 from offerloom.queries.inputs import PAGE_HITS_SQL, PART_LINKS_SQL, part_links
-from offerloom.queries.registry import query, table
+from offerloom.queries.registry import query, spread, table
 
 # Every part is a search of its own; brands and sizes give regions and word mixes.
 _QUERY_TEXT = """case p_size % 8
@@ -25,7 +25,8 @@ SEARCHES_SQL = f"""searches as (
 
 
 def searches(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return spread(part, "p_partkey").select(
         F.col("p_partkey").alias("search_id"),
         F.expr(_QUERY_TEXT.replace("varchar", "string")).alias("query"),
         F.expr(_REGION).alias("region"),

@@ -1,8 +1,12 @@
 """Registered queries on rows and sizes that the given tables do not show."""
 
+import time
+
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from offerloom.functions.text import first_of_each
 from offerloom.queries.registry import ORACLES
 
 
@@ -16,3 +20,21 @@ def test_page_meta_titles_with_other_entities(spark, tmp_path):
         con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
         want = con.execute(f"select page_id, title from ({ORACLES['page_meta']})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_rows_of_a_small_file_reach_all_tasks(spark, tmp_path):
+    from offerloom.queries import extraction, inputs, searching
+
+    spark.range(50).selectExpr(
+        "id as p_partkey", "'a b' as p_name", "'x' as p_brand", "'t' as p_type", "cast(id as int) as p_size",
+        "1.5D as p_retailprice").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    least = spark.sparkContext.defaultParallelism
+    for read in (extraction._part, searching.searches, inputs.part_links):
+        assert read(spark, str(tmp_path)).rdd.getNumPartitions() >= max(2, least)
+
+
+def test_first_of_each_makes_its_list_once(spark):
+    items = F.transform(F.sequence(F.lit(1), F.col("id")), lambda i: F.sha2(i.cast("string"), 512))
+    started = time.monotonic()
+    row = spark.range(10_000, 10_001).select(F.size(first_of_each(items, F.lower)).alias("n")).first()
+    assert row["n"] == 10_000 and time.monotonic() - started < 30
