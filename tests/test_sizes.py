@@ -38,3 +38,17 @@ def test_first_of_each_makes_its_list_once(spark):
     started = time.monotonic()
     row = spark.range(10_000, 10_001).select(F.size(first_of_each(items, F.lower)).alias("n")).first()
     assert row["n"] == 10_000 and time.monotonic() - started < 30
+
+
+def test_page_readers_take_small_batches_in_any_session(spark, tmp_path):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.range(1).selectExpr(
+        "id as p_partkey", "'a b' as p_name", "'x' as p_brand", "'t' as p_type", "1 as p_size",
+        "1.5D as p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "10000")
+    try:
+        entry.queries()["broad_offers"](spark, str(tmp_path))
+        assert spark.conf.get(rows) == "512"
+    finally:
+        spark.conf.set(rows, before)
