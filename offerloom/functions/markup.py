@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerloom import rules
 from offerloom.functions.price import parse_price
-from offerloom.functions.text import first_match, first_of_each, strip, unescape
+from offerloom.functions.text import bound, first_match, first_of_each, strip, unescape
 
 _BLOCK = r'(?s)type="application/ld\+json"[^>]*>(.*?)</script>'
 
@@ -147,9 +147,14 @@ def tags(html: Column, name: str) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Decoded attribute value of one tag, NULL when absent or empty."""
-    pattern = rf"(?is)[\s\"']{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
-    return F.nullif(unescape(value), F.lit(""))
+    pattern = rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+    value = bound(
+        F.regexp_extract(tag, pattern, 1),
+        lambda v: F.when(
+            v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)
+        ).otherwise(v),
+    )
+    return bound(unescape(value), lambda v: F.when(v != "", v))
 
 
 def _tag_where(found: Column, name: str, value: str) -> Column:
@@ -160,10 +165,16 @@ def _tag_where(found: Column, name: str, value: str) -> Column:
 
 def meta_content(metas: Column, name: str) -> Column:
     """Content of the meta tag with this property, else with this name."""
-    return F.coalesce(
-        attribute(_tag_where(metas, "property", name), "content"),
-        attribute(_tag_where(metas, "name", name), "content"),
-    )
+
+    def content(naming: Column) -> Column:
+        return F.coalesce(
+            attribute(_tag_where(naming, "property", name), "content"),
+            attribute(_tag_where(naming, "name", name), "content"),
+        )
+
+    # Few tags hold the words; patterns are tried on these alone.
+    naming = F.filter(metas, lambda t: t.rlike(f"(?i){name}"))
+    return bound(naming, lambda n: F.when(F.size(n) > 0, content(n)))
 
 
 def link_href(links: Column, rel: str) -> Column:
@@ -173,7 +184,8 @@ def link_href(links: Column, rel: str) -> Column:
 def element_text(html: Column, name: str) -> Column:
     """Text of the first element of a kind, NULL when empty."""
     inner = F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1)
-    return F.nullif(strip(unescape(F.regexp_replace(inner, r"(?s)<[^>]*>", ""))), F.lit(""))
+    text = strip(unescape(F.regexp_replace(inner, r"(?s)<[^>]*>", "")))
+    return bound(text, lambda t: F.when(t != "", t))
 
 
 def first_image(images: Column, *attributes: str) -> Column:
@@ -217,12 +229,13 @@ def metadata(
     description = F.coalesce(
         meta_content(metas, "og:description"), meta_content(metas, "description")
     )
-    price = parse_price(
+    price = bound(
         F.coalesce(
             meta_content(metas, "product:price:amount"),
-            F.nullif(ld_price, F.lit("")),
+            F.when(ld_price != "", ld_price),
             sign_price(html),
-        )
+        ),
+        parse_price,
     )
     return {
         "title": title,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterable
 from functools import cache
@@ -67,6 +66,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is computed once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def unique_ignoring_case(items: Column) -> Column:
     """Keep the first of the items that differ only in case."""
     return first_of_each(items, F.lower)
@@ -103,39 +107,62 @@ def last_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
 
     Items are sorted by key and place; a key's first and last ones are where neighbours differ.
     """
-    fields = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
-    ordered = F.array_sort(F.filter(fields, lambda x: x["k"].isNotNull()))
 
-    def edges(step: int) -> Column:
-        """Places whose neighbour on one side has another key or is not there."""
-        return F.transform(
-            F.array(ordered),
-            lambda o: F.filter(
+    def lasts(held: Column) -> Column:
+        fields = F.transform(held, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
+        ordered = F.array_sort(F.filter(fields, lambda x: x["k"].isNotNull()))
+
+        def edges(o: Column, step: int) -> Column:
+            """Places whose neighbour on one side has another key or is not there."""
+            return F.filter(
                 o,
                 lambda x, i: ~x["k"].eqNullSafe(
                     F.when(i + step >= 0, F.get(o, F.greatest(i + step, F.lit(0))))["k"]
                 ),
+            )
+
+        ends = bound(
+            ordered,
+            lambda o: F.array_sort(
+                F.zip_with(
+                    edges(o, -1),
+                    edges(o, 1),
+                    lambda a, b: F.struct(a["i"].alias("first"), b["i"].alias("last")),
+                )
             ),
-        )[0]
-
-    ends = F.array_sort(
-        F.zip_with(
-            edges(-1), edges(1), lambda a, b: F.struct(a["i"].alias("first"), b["i"].alias("last"))
         )
-    )
-    return F.transform(ends, lambda e: F.get(items, e["last"]))
+        return F.transform(ends, lambda e: F.get(held, e["last"]))
+
+    return bound(items, lasts)
 
 
 _ENTITY = r"(?s)&#?[0-9A-Za-z]+;|&|[^&]+"
 
 
+#: What stands before a name and before its characters in the table of entities.
+_NAME, _MEANS = "\x01", "\x02"
+
+
 @cache
 def _named_entities() -> str:
-    """Characters of the named entities as JSON, from the standard table."""
-    return json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+    """Named entities and their characters as one text, from the standard table.
+
+    A plan holds the table for every text that it decodes, and each task reads the plan: a map of
+    its entries takes a task longer than its rows.
+    """
+    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return "".join(f"{_NAME}{k}{_MEANS}{v}" for k, v in named.items())
+
+
+def _entity(name: Column) -> Column:
+    """Characters of a named entity, NULL for other names."""
+    table = F.lit(_named_entities())
+    key = F.concat(F.lit(_NAME), name, F.lit(_MEANS))
+    found = F.substring_index(F.split_part(table, key, F.lit(2)), _NAME, 1)
+    return F.when(F.contains(table, key), found)
 
 
-def _decoded(piece: Column, named: Column) -> Column:
+def _decoded(piece: Column) -> Column:
     """One entity decoded; anything else as it is."""
     hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
     decimal = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1)
@@ -149,7 +176,7 @@ def _decoded(piece: Column, named: Column) -> Column:
     return F.when(~piece.startswith("&") | (F.length(piece) < 3), piece).otherwise(
         F.coalesce(
             F.when(digits != "", F.coalesce(character, F.lit("\ufffd"))),
-            F.try_element_at(named, word),
+            _entity(word),
             piece,
         )
     )
@@ -159,13 +186,10 @@ def unescape(text: Column) -> Column:
     """Decode HTML entities, named and numbered. The text is split once at its ampersands."""
 
     def full(value: Column) -> Column:
-        named = F.from_json(F.lit(_named_entities()), "map<string,string>")
         pieces = F.regexp_extract_all(value, F.lit(_ENTITY), 0)
-        return F.array_join(F.transform(pieces, lambda x: _decoded(x, named)), "")
+        return F.array_join(F.transform(pieces, _decoded), "")
 
-    return F.transform(
-        F.array(text), lambda t: F.when(t.contains("&"), full(t)).otherwise(t)
-    )[0]
+    return bound(text, lambda t: F.when(t.contains("&"), full(t)).otherwise(t))
 
 
 def strip_markup(text: Column) -> Column:

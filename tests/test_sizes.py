@@ -3,6 +3,7 @@
 import time
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -52,3 +53,27 @@ def test_page_readers_take_small_batches_in_any_session(spark, tmp_path):
         assert spark.conf.get(rows) == "512"
     finally:
         spark.conf.set(rows, before)
+
+
+def test_page_meta_plan_holds_no_map_of_entities(spark):
+    """Each task reads its plan, with a map of 2,125 entries for every text that is decoded."""
+    from offerloom.operators.extraction import page_meta
+
+    pages = spark.range(1).selectExpr("'https://a.ru/1' as url", "'<title>a &copy; b</title>' as html")
+    found = page_meta(pages)
+    assert found.select("title").first()["title"] == "a © b"
+    assert "keys: [" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("tag, want", [
+    ('<meta property="OG:Title" content="a &amp; b">', "a & b"),
+    ("<meta name=og:title content='say \"x\"'>", 'say "x"'),
+    ("<meta name='og:title' content=bare>", "bare"),
+    ('<meta name="og:title" content="">', None),
+    ('<meta name="og:titles" content="x">', None),
+])
+def test_meta_content(spark, tag, want):
+    from offerloom.functions import markup
+
+    row = spark.range(1).select(markup.meta_content(F.array(F.lit("<meta>"), F.lit(tag)), "og:title").alias("c")).first()
+    assert row["c"] == want
