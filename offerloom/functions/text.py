@@ -158,8 +158,13 @@ def _entity(name: Column) -> Column:
     """Characters of a named entity, NULL for other names."""
     table = F.lit(_named_entities())
     key = F.concat(F.lit(_NAME), name, F.lit(_MEANS))
-    found = F.substring_index(F.split_part(table, key, F.lit(2)), _NAME, 1)
-    return F.when(F.contains(table, key), found)
+
+    def means(place: Column) -> Column:
+        # An entity is one or two characters.
+        after = F.substring(table, place + F.length(key), F.lit(3))
+        return F.when(place > 0, F.substring_index(after, _NAME, 1))
+
+    return bound(F.instr(table, key), means)
 
 
 def _decoded(piece: Column) -> Column:
