@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from offerloom.functions.text import first_of_each
+from offerloom.functions.text import first_of_each, last_of_each
 from offerloom.queries.registry import ORACLES
 
 
@@ -41,6 +41,13 @@ def test_first_of_each_makes_its_list_once(spark):
     assert row["n"] == 10_000 and time.monotonic() - started < 30
 
 
+def test_last_of_each_makes_its_list_once(spark):
+    items = F.transform(F.sequence(F.lit(1), F.col("id")), lambda i: F.sha2(i.cast("string"), 512))
+    started = time.monotonic()
+    row = spark.range(10_000, 10_001).select(F.size(last_of_each(items, F.lower)).alias("n")).first()
+    assert row["n"] == 10_000 and time.monotonic() - started < 30
+
+
 def test_page_readers_take_small_batches_in_any_session(spark, tmp_path):
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.range(1).selectExpr(
