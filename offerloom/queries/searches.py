@@ -10,7 +10,7 @@ from offerloom.operators.settling import settle
 from offerloom.plans import marketplaces, other_shops
 from offerloom.plans.search import search_responses
 from offerloom.queries.inputs import ORDER_OFFERS_SQL, order_offers
-from offerloom.queries.registry import query, table
+from offerloom.queries.registry import query, spread, table
 
 
 @query("search_responses", f"""with {ORDER_OFFERS_SQL},
@@ -130,7 +130,9 @@ select search_id, p_partkey, domain, price from c
 qualify row_number() over (partition by search_id order by p_partkey) <= 15""")
 def other_shops_query(spark, sf_dir):
     """Every part is a product page found for its brand; the brand's query matches them all."""
-    part = table(spark, sf_dir, "part")
+    part = spread(
+        table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice"), "p_partkey"
+    )
     domain = F.concat(F.lit("shop"), F.col("p_partkey") % 40, F.lit(".ru"))
     url = F.concat(F.lit("https://"), domain, F.lit("/product/"), "p_partkey")
     searches = part.select(

@@ -84,3 +84,22 @@ def test_meta_content(spark, tag, want):
 
     row = spark.range(1).select(markup.meta_content(F.array(F.lit("<meta>"), F.lit(tag)), "og:title").alias("c")).first()
     assert row["c"] == want
+
+
+def test_other_shops_reads_its_parts_on_all_tasks(spark, tmp_path, monkeypatch):
+    from offerloom.queries import searches
+
+    spark.range(50).selectExpr(
+        "id as p_partkey", "'a b' as p_name", "'x' as p_brand", "'t' as p_type", "cast(id as int) as p_size",
+        "1.5D as p_retailprice").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    seen = []
+
+    def collect(found, hits, pages, links):
+        seen.extend([hits, pages])
+        raise StopIteration
+
+    monkeypatch.setattr(searches.other_shops, "collect_other_shops", collect)
+    with pytest.raises(StopIteration):
+        entry.queries()["other_shops"](spark, str(tmp_path))
+    least = max(2, spark.sparkContext.defaultParallelism)
+    assert [df.rdd.getNumPartitions() >= least for df in seen] == [True, True]
